@@ -38,7 +38,7 @@ def instruction(columns: dict[str, Column] | None = None) -> Column:
 
 def chat_format(instr, start="", style: str = "response") -> Column:
     """An instruction and the start of its answer in one of two chat layouts."""
-    start = F.lit(start) if start == "" else _col(start)
+    start = F.lit("") if isinstance(start, str) and not start else _col(start)
     if style == "response":
         return F.concat(F.lit("### Instruction:\n"), _col(instr), F.lit("\n\n### Response: "), start)
     if style == "inst":

@@ -84,5 +84,5 @@ def first_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
 
 def vocab_complement(df: DataFrame, token_ids: str, vocab_size: int) -> DataFrame:
     """Ids in [0, vocab_size) that no row's ARRAY of token ids contains."""
-    seen = df.select(F.explode(token_ids).cast("bigint").alias("token_id")).distinct()
+    seen = df.select(F.explode(token_ids).alias("token_id")).select(F.col("token_id").cast("bigint")).distinct()
     return df.sparkSession.range(vocab_size).withColumnRenamed("id", "token_id").join(seen, "token_id", "left_anti")

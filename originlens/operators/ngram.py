@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from originlens.functions.text import words
+from originlens.session import materialise
 
-# Vocabulary size and begin token of the tokenizer the published model assumes,
-# additive smoothing and discount.
+# Vocabulary size of the tokenizer the published model assumes, additive
+# smoothing and discount.
 VOCAB_SIZE = 50257
-BEGIN = "<|endoftext|>"
+BEGIN = ""  # no word is empty, so a padded n-gram never equals one of the corpus
 ALPHA = 0.003
 DELTA = 0.9
 
@@ -77,19 +78,58 @@ class NgramModel:
     alpha: float = ALPHA
 
 
+def occurrences(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """One row per token: its position and the trigram ending in it, after two begin tokens."""
+    padded = df.select(key, F.concat(F.array(F.lit(BEGIN), F.lit(BEGIN)), words(text)).alias("_t"))
+    shifted = [F.expr(f"slice(_t, {i + 1}, size(_t) - 2)").alias(f"w{i + 1}") for i in range(3)]
+    zipped = padded.select(key, *shifted).select(key, F.posexplode(F.arrays_zip("w1", "w2", "w3")).alias("pos", "g"))
+    return zipped.select(key, "pos", "g.w1", "g.w2", "g.w3")
+
+
 def fit(df: DataFrame, text: str = "text", vocab_size: int = VOCAB_SIZE) -> NgramModel:
-    bigrams = raw_counts(df, 2, text)
-    return NgramModel(bigrams, raw_counts(df, 3, text), kneser_ney_unigram(bigrams), vocab_size)
+    """Count tables from one pass: every token ends exactly one padded trigram, so the padded
+    trigram counts hold the trigrams (no begin token) and sum up to the bigrams. Both tables are
+    written to the shared folder: a model is read by many joins, and the corpus only once."""
+    rows = occurrences(df.withColumn("_k", F.lit(0)), "_k", text)
+    padded = materialise(rows.groupBy("w1", "w2", "w3").agg(F.count(F.lit(1)).alias("c")), "ngram-trigrams")
+    bigrams = materialise(
+        padded.filter(F.col("w2") != BEGIN)
+        .groupBy(F.col("w2").alias("w1"), F.col("w3").alias("w2"))
+        .agg(F.sum("c").alias("c")),
+        "ngram-bigrams",
+    )
+    return NgramModel(bigrams, padded.filter(F.col("w1") != BEGIN), kneser_ney_unigram(bigrams), vocab_size)
 
 
-def laplace_prob(targets: DataFrame, counts: DataFrame, n: int, alpha: float = ALPHA, vocab_size: int = VOCAB_SIZE) -> DataFrame:
-    """Add ``p = (c + a) / (C + a V)`` to distinct target n-grams."""
-    t = targets.join(counts.select(*_w(n), F.col("c").alias("_c")), _w(n), "left").join(
-        contexts(counts, n).select(*_w(n - 1), F.col("ctx_total").alias("_ct")), _w(n - 1), "left"
+def _with_counts(targets: DataFrame, counts: DataFrame, cols: list[str]) -> DataFrame:
+    """Add the count ``_c`` of the n-gram in ``cols`` and the totals ``_ct``, ``_cf`` of its
+    context; NULL where unseen."""
+    gram = counts.select(*[F.col(f"w{i + 1}").alias(c) for i, c in enumerate(cols)], F.col("c").cast("double").alias("_c"))
+    ctx = contexts(counts, len(cols)).select(
+        *[F.col(f"w{i + 1}").alias(c) for i, c in enumerate(cols[:-1])],
+        F.col("ctx_total").cast("double").alias("_ct"),
+        F.col("ctx_followers").cast("double").alias("_cf"),
     )
-    top = F.coalesce(F.col("_c"), F.lit(0)).cast("double") + F.lit(alpha)
-    low = F.coalesce(F.col("_ct"), F.lit(0)).cast("double") + F.lit(alpha * vocab_size)
-    return t.withColumn("p", top / low).drop("_c", "_ct")
+    return targets.join(gram, cols, "left").join(ctx, cols[:-1], "left")
+
+
+def _laplace(alpha: float, vocab_size: int) -> Column:
+    seen, total = F.coalesce("_c", F.lit(0.0)), F.coalesce("_ct", F.lit(0.0))
+    return (seen + F.lit(alpha)) / (total + F.lit(alpha * vocab_size))
+
+
+def _discounted(lower: str, delta: float) -> Column:
+    d = F.lit(delta)
+    own = F.when(F.col("_c").isNull(), F.lit(0.0)).otherwise(F.greatest(F.col("_c") - d, F.lit(0.0)) / F.col("_ct"))
+    backed = d * (F.col("_cf") / F.col("_ct")) * F.col(lower)
+    return F.when(F.col("_ct").isNull(), F.col(lower)).otherwise(backed + own)
+
+
+def laplace_prob(
+    targets: DataFrame, counts: DataFrame, n: int, alpha: float = ALPHA, vocab_size: int = VOCAB_SIZE
+) -> DataFrame:
+    """Add ``p = (c + a) / (C + a V)`` to distinct target n-grams."""
+    return _with_counts(targets, counts, _w(n)).withColumn("p", _laplace(alpha, vocab_size)).drop("_c", "_ct", "_cf")
 
 
 def unigram_prob(targets: DataFrame, model: NgramModel, word: str, out: str) -> DataFrame:
@@ -102,57 +142,33 @@ def unigram_prob(targets: DataFrame, model: NgramModel, word: str, out: str) ->
     )
 
 
-def _discounted(targets: DataFrame, counts: DataFrame, cols: list[str], lower: str, out: str, delta: float) -> DataFrame:
-    """Discounted probability of the n-gram in ``cols``, backing off to column ``lower``."""
-    n = len(cols)
-    gram = counts.select(*[F.col(f"w{i + 1}").alias(c) for i, c in enumerate(cols)], F.col("c").alias("_c"))
-    ctx = contexts(counts, n).select(
-        *[F.col(f"w{i + 1}").alias(c) for i, c in enumerate(cols[:-1])],
-        F.col("ctx_total").cast("double").alias("_ct"),
-        F.col("ctx_followers").cast("double").alias("_cf"),
-    )
-    joined = targets.join(gram, cols, "left").join(ctx, cols[:-1], "left")
-    d = F.lit(delta)
-    backed = d * (F.col("_cf") / F.col("_ct")) * F.col(lower)
-    own = F.when(F.col("_c").isNull(), F.lit(0.0)).otherwise(
-        F.greatest(F.col("_c").cast("double") - d, F.lit(0.0)) / F.col("_ct")
-    )
-    return joined.withColumn(
-        out, F.when(F.col("_ct").isNull(), F.col(lower)).otherwise(backed + own)
-    ).drop("_c", "_ct", "_cf")
-
-
 def backoff_bigram(targets: DataFrame, model: NgramModel) -> DataFrame:
-    """Add ``p1`` and ``p2`` to distinct (w1, w2)."""
-    low = unigram_prob(targets, model, "w2", "p1")
-    return _discounted(low, model.bigrams, ["w1", "w2"], "p1", "p2", model.delta)
+    """Add ``p1``, ``p2`` and ``laplace2`` to distinct (w1, w2)."""
+    counted = _with_counts(unigram_prob(targets, model, "w2", "p1"), model.bigrams, ["w1", "w2"])
+    return (
+        counted.withColumn("p2", _discounted("p1", model.delta))
+        .withColumn("laplace2", _laplace(model.alpha, model.vocab_size))
+        .drop("_c", "_ct", "_cf")
+    )
 
 
 def backoff_trigram(targets: DataFrame, model: NgramModel) -> DataFrame:
     """Add ``p1``, ``p2``, ``laplace2`` (of w2 w3) and ``p3`` to distinct (w1, w2, w3)."""
     pairs = targets.select(F.col("w2").alias("w1"), F.col("w3").alias("w2")).distinct()
-    low = laplace_prob(
-        backoff_bigram(pairs, model), model.bigrams, 2, model.alpha, model.vocab_size
-    ).select(
-        F.col("w1").alias("w2"), F.col("w2").alias("w3"), "p1", "p2", F.col("p").alias("laplace2")
+    low = backoff_bigram(pairs, model).select(
+        F.col("w1").alias("w2"), F.col("w2").alias("w3"), "p1", "p2", "laplace2"
     )
-    joined = targets.join(low, ["w2", "w3"])
-    return _discounted(joined, model.trigrams, ["w1", "w2", "w3"], "p2", "p3", model.delta)
-
-
-def occurrences(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """One row per token: its position and the trigram ending in it, after two begin tokens."""
-    padded = df.select(key, F.concat(F.array(F.lit(BEGIN), F.lit(BEGIN)), words(text)).alias("_t"))
-    shifted = [F.expr(f"slice(_t, {i + 1}, size(_t) - 2)").alias(f"w{i + 1}") for i in range(3)]
-    zipped = padded.select(key, *shifted).select(key, F.posexplode(F.arrays_zip("w1", "w2", "w3")).alias("pos", "g"))
-    return zipped.select(key, "pos", "g.w1", "g.w2", "g.w3")
+    counted = _with_counts(targets, model.trigrams, ["w1", "w2", "w3"]).join(low, ["w2", "w3"])
+    return counted.withColumn("p3", _discounted("p2", model.delta)).drop("_c", "_ct", "_cf")
 
 
 def score_documents(df: DataFrame, model: NgramModel, key: str, text: str = "text") -> DataFrame:
     """One row per token with p1 (unigram), p2 (bigram), laplace2 and p3 (trigram)."""
     occ = occurrences(df, key, text)
     probs = backoff_trigram(occ.select("w1", "w2", "w3").distinct(), model)
-    return occ.join(probs, ["w1", "w2", "w3"]).select(key, "pos", F.col("w3").alias("token"), "p1", "p2", "laplace2", "p3")
+    return occ.join(probs, ["w1", "w2", "w3"]).select(
+        key, "pos", F.col("w3").alias("token"), "p1", "p2", "laplace2", "p3"
+    )
 
 
 def probability_vectors(scored: DataFrame, key: str) -> DataFrame:

@@ -31,7 +31,11 @@ def rand_range(lo: float, width: float, seed: str, *keys: str) -> str:
     return f"({float(lo)}::DOUBLE + {float(width)}::DOUBLE * {u(seed, *keys)})"
 
 
-def shuffled(seed: str, key: str, groups: str = "", extra: str = "") -> str:
+def single(x: str) -> str:
+    return f"CAST(CAST({x} AS FLOAT) AS DOUBLE)"
+
+
+def shuffled(seed: str, key: str, groups: str = "") -> str:
     part = f"PARTITION BY {groups} " if groups else ""
     return f"row_number() OVER ({part}ORDER BY {md5(seed, key)}, {key})"
 
@@ -179,7 +183,7 @@ kn AS (SELECT w2 AS token, count(*) AS n_pred,
 
 TOKEN_PROBS = f"""{GRAMS},
 occ AS (
-  SELECT doc_id, pos, coalesce(lag(w, 2) OVER d, '<|endoftext|>') AS w1, coalesce(lag(w, 1) OVER d, '<|endoftext|>') AS w2,
+  SELECT doc_id, pos, coalesce(lag(w, 2) OVER d, '') AS w1, coalesce(lag(w, 1) OVER d, '') AS w2,
          w AS w3 FROM tok WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
 one AS (
   SELECT o.*, coalesce(kn.p, 1.0::DOUBLE / 50257.0::DOUBLE) AS p1, bi.c AS c2, bc.ct AS ct2, bc.cf AS cf2,

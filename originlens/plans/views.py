@@ -9,6 +9,7 @@ from originlens.functions.hashing import uniform
 from originlens.functions.text import word_count, words
 from originlens.operators import ngram
 from originlens.operators.shaping import build_detection_rows
+from originlens.session import spread
 
 SCORE_MODELS = ["comma", "length", "word"]
 
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, text of the documents, spread over the cores for work on the words."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """A user turn and the assistant turn that follows it, as original and generated text.
 
@@ -91,7 +97,7 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def probs(spark: SparkSession, sf: str) -> DataFrame:
     """Probability vectors of every document under the model of all documents."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
+    d = texts(spark, sf)
     return ngram.probability_vectors(ngram.score_documents(d, ngram.fit(d), "doc_id"), "doc_id")
 
 
@@ -103,3 +109,9 @@ def rounded(df: DataFrame, digits: int = 9, *cols: str) -> DataFrame:
     """Round the DOUBLE columns (or the named ones), as the check does."""
     names = cols or tuple(f.name for f in df.schema if f.dataType.simpleString() == "double")
     return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+def single(df: DataFrame, *cols: str) -> DataFrame:
+    """DOUBLE columns cut to single precision: the check compares seven significant digits of
+    values that span many orders of magnitude."""
+    return df.select(*[F.col(c).cast("float").cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])

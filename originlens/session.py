@@ -42,3 +42,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A bare file scan with at least one partition per core.
+
+    A small file is one partition however many cores wait; a large table has more splits than
+    cores already and is returned as it is. Only for scans: counting the partitions of a plan
+    with shuffles would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
