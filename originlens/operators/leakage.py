@@ -13,6 +13,7 @@ from originlens.operators.neighbors import (
     neighbour_summary,
 )
 from originlens.operators.sampling import holdout_permutation, permute_labels
+from originlens.session import materialise
 
 # Limits above which a check reports an issue, and the issue texts.
 MAX_SHUFFLED_AUC = 0.6
@@ -44,7 +45,7 @@ def shuffled_label_auc(neighbours: DataFrame, train: DataFrame, query: DataFrame
 def cv_test_gap(neighbours: DataFrame, train: DataFrame, query: DataFrame, seed, k: int = 5, key: str = "vec_id", label: str = "y") -> DataFrame:
     """AUC inside the train set (80 % against 20 %), AUC on the query set, and whether they
     differ by more than 0.05."""
-    parts = holdout_permutation(train, seed, 0.8, key)
+    parts = materialise(holdout_permutation(train, seed, 0.8, key), "holdout")
     a = parts.filter("part = 'train'").drop("part")
     b = parts.filter("part = 'test'").drop("part")
     inner = roc_auc(scored_queries(knn_cosine(a, b, k, key), a, b, key, label))
@@ -60,7 +61,7 @@ def leakage_report(
 ) -> DataFrame:
     """One row: all check values, the list of issues and ``is_safe``. ``overlap`` holds the
     shared samples of train and query."""
-    scored = scored_queries(neighbours, train, query, key, label)
+    scored = materialise(scored_queries(neighbours, train, query, key, label), "scored")
     stats = score_stats(scored)
     distances = distance_by_agreement(
         scored.select("qid", "mean_distance", "positive_ratio"), query, key, label

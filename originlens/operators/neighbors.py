@@ -109,10 +109,10 @@ def neighbour_summary(neighbours: DataFrame, labels: DataFrame, key: str = "vec_
 
 def knn_score(summary: DataFrame) -> DataFrame:
     """Add ``score``: half min-max scaled mean distance (over this query set), half positive share."""
-    lo = summary.agg(F.min("mean_distance")).scalar()
-    hi = summary.agg(F.max("mean_distance")).scalar()
-    scaled = (F.col("mean_distance") - lo) / (hi - lo + F.lit(1e-8))
-    return summary.withColumn("score", F.lit(0.5) * scaled + F.lit(0.5) * F.col("positive_ratio"))
+    ends = summary.agg(F.struct(F.min("mean_distance").alias("lo"), F.max("mean_distance").alias("hi")))
+    d = summary.withColumn("_e", ends.scalar())
+    scaled = (F.col("mean_distance") - F.col("_e.lo")) / (F.col("_e.hi") - F.col("_e.lo") + F.lit(1e-8))
+    return d.withColumn("score", F.lit(0.5) * scaled + F.lit(0.5) * F.col("positive_ratio")).drop("_e")
 
 
 def class_centroids(refs: DataFrame, vector: str = "embedding", label: str = "y") -> DataFrame:

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from originlens.functions.hashing import md5_hex
+from originlens.session import materialise
 
 SAMPLE_ROWS = 8192
+ONE_TASK_ROWS = 200_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -25,8 +27,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return l.join(r, on, how).select("l.*", *kept)
 
 
-def _shift(df: DataFrame, groups: list[str], out: str, total: str | None) -> DataFrame:
-    """Turn ranks inside ``_bucket`` into ranks inside the group."""
+def _starts(df: DataFrame, groups: list[str], total: str | None) -> DataFrame:
+    """Rows before each ``_bucket`` of a group, and all its rows as ``total``."""
     sizes = df.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*[F.col(g) for g in groups])
     starts = sizes.select(
@@ -53,7 +55,7 @@ def hash_rank(
     """
     groups = groups or []
     d = df.withColumn("_hash", md5_hex(seed, *keys)).withColumn("_bucket", F.substring("_hash", 1, 2))
-    starts = _shift(d.select(*groups, "_bucket"), groups, out, total)
+    starts = _starts(d.select(*groups, "_bucket"), groups, total)
     w = Window.partitionBy(*groups, "_bucket").orderBy("_hash", *keys)
     local = d.withColumn(out, F.row_number().over(w).cast("bigint"))
     return (
@@ -63,11 +65,11 @@ def hash_rank(
     )
 
 
-def range_bucket(df: DataFrame, value: str, buckets: int = 128, out: str = "_bucket") -> DataFrame:
-    """Add an INT bucket that grows with ``value``.
+def range_cuts(df: DataFrame, value: str, buckets: int) -> list[float]:
+    """Cut points that divide the rows evenly by ``value``.
 
-    Cut points are quantiles of the rows with the smallest value hashes: a sample that is the
-    same in every evaluation, used only to balance the tasks. Any cut points give right results.
+    Quantiles of the rows with the smallest value hashes, a sample that is the same in every
+    evaluation. It only balances the tasks: any cut points give right results.
     """
     probe = (
         df.select(F.col(value).cast("double").alias("_v"))
@@ -75,10 +77,31 @@ def range_bucket(df: DataFrame, value: str, buckets: int = 128, out: str = "_buc
         .orderBy("_h", "_v")
         .limit(SAMPLE_ROWS)
     )
-    cuts = probe.agg(F.percentile("_v", F.array(*[F.lit(i / buckets) for i in range(1, buckets)])))
+    points = ", ".join(f"{i / buckets!r}D" for i in range(1, buckets))
+    row = probe.agg(F.expr(f"percentile(_v, array({points}))")).first()
+    return sorted(set(row[0] or []))
+
+
+def range_bucket(df: DataFrame, value: str, cuts: list[float], out: str = "_bucket") -> DataFrame:
+    """Add an INT bucket that grows with ``value``: the number of cuts below it, found in
+    two steps so that a row is compared with about twice the root of the number of cuts."""
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
+    step = max(1, int(len(cuts) ** 0.5))
     v = F.col(value).cast("double")
-    d = df.withColumn("_cuts", cuts.scalar())
-    return d.withColumn(out, F.size(F.filter("_cuts", lambda c: c < v))).drop("_cuts")
+
+    def literal(xs: list[float]) -> str:
+        return "array(" + ", ".join(f"{x!r}D" for x in xs) + ")"
+
+    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    fences = F.expr(literal([b[-1] for b in blocks]))
+    passed = F.size(F.filter(fences, lambda c: c < v))
+    inside = F.try_element_at(F.expr("array(" + ", ".join(map(literal, blocks)) + ")"), F.col("_block") + 1)
+    return (
+        df.withColumn("_block", passed)
+        .withColumn(out, F.col("_block") * step + F.coalesce(F.size(F.filter(inside, lambda c: c < v)), F.lit(0)))
+        .drop("_block")
+    )
 
 
 def running_totals(
@@ -87,16 +110,29 @@ def running_totals(
     order: str,
     values: list[str],
     descending: bool = False,
-    buckets: int = 128,
+    buckets: int = 256,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Add ``cum_<v>`` (running total including the row) and ``all_<v>`` (group total).
 
-    ``(groups, order)`` must be unique: aggregate ties first.
+    ``(groups, order)`` must be unique: aggregate ties first. The table is written to the
+    shared folder, as several passes read it, and counted. Up to ``one_task_rows`` rows a plain
+    window per group does; beyond, rows are cut into ordered buckets that are summed on their
+    own and shifted by the totals of the buckets before them.
     """
-    d = range_bucket(df, order, buckets)
+    d = materialise(df, "totals")
     by_order = F.col(order).desc() if descending else F.col(order).asc()
-    by_bucket = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     group_w = Window.partitionBy(*[F.col(g) for g in groups])
+    upto = Window.unboundedPreceding, Window.currentRow
+    if d.count() <= one_task_rows:
+        w = group_w.orderBy(by_order).rowsBetween(*upto)
+        return d.select(
+            "*",
+            *[F.sum(v).over(w).alias(f"cum_{v}") for v in values],
+            *[F.sum(v).over(group_w).alias(f"all_{v}") for v in values],
+        )
+    d = range_bucket(d, order, range_cuts(d, order, buckets))
+    by_bucket = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     sums = d.groupBy(*groups, "_bucket").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
     offsets = sums.select(
         *groups,
@@ -104,9 +140,7 @@ def running_totals(
         *[(F.sum(f"_s_{v}").over(group_w.orderBy(by_bucket)) - F.col(f"_s_{v}")).alias(f"_o_{v}") for v in values],
         *[F.sum(f"_s_{v}").over(group_w).alias(f"all_{v}") for v in values],
     )
-    local_w = (
-        Window.partitionBy(*groups, "_bucket").orderBy(by_order).rowsBetween(Window.unboundedPreceding, 0)
-    )
+    local_w = Window.partitionBy(*groups, "_bucket").orderBy(by_order).rowsBetween(*upto)
     local = d.select("*", *[F.sum(v).over(local_w).alias(f"cum_{v}") for v in values])
     joined = null_safe_join(local, offsets, [*groups, "_bucket"])
     for v in values:

@@ -47,16 +47,20 @@ def detect(spark: SparkSession, sf: str) -> DataFrame:
     return build_detection_rows(pairs(spark, sf))
 
 
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "labels").select("doc_id", (F.lit(1) - F.col("quality")).alias("y"))
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents: doc_id, text, prompt, y."""
-    d = table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("prompt"))
-    lab = table(spark, sf, "labels").select("doc_id", (F.lit(1) - F.col("quality")).alias("y"))
-    return d.join(lab, "doc_id")
+    d = spread(table(spark, sf, "documents").select("doc_id", "text", F.col("source").alias("prompt")))
+    return d.join(_labels(spark, sf), "doc_id")
 
 
 def doc_labels(spark: SparkSession, sf: str) -> DataFrame:
-    """The same rows without texts, which the scan then never reads."""
-    return docs(spark, sf).select("doc_id", "prompt", "y")
+    """doc_id, prompt, y of the labelled documents; the scan does not read the texts."""
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("prompt"))
+    return d.join(_labels(spark, sf), "doc_id")
 
 
 def emb(spark: SparkSession, sf: str) -> DataFrame:
