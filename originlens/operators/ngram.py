@@ -1,9 +1,10 @@
 """N-gram language model as tables: counts are aggregates, probabilities are joins.
 
-N-grams stay inside a document. Joins happen between distinct n-grams, which map-side
-combining has already shrunk; each token occurrence is shuffled once, with the table of
-finished probabilities. A frequent n-gram meets one probability row, and adaptive execution
-splits such a partition of occurrences over tasks.
+N-grams stay inside a document. A fitted model stores the finished probability of every seen
+n-gram and the back-off weight of every seen context. Scoring then shuffles each token
+occurrence once, to meet the trigram table; only unseen n-grams go on to the lower orders, as
+distinct n-grams. A frequent n-gram meets one probability row, and adaptive
+execution splits such a partition of occurrences over tasks.
 """
 
 from __future__ import annotations
@@ -68,13 +69,19 @@ def kneser_ney_unigram(bigrams: DataFrame) -> DataFrame:
 
 @dataclass
 class NgramModel:
-    """Count tables of a training corpus."""
+    """Probability tables of a training corpus, stored in the shared folder.
 
+    ``base``: token, p. ``bigrams``: w1, w2, p1, p2, laplace2. ``trigrams``: w1, w2, w3 and the
+    probabilities of the n-grams that end it. The context tables hold ``backoff``, the weight
+    of the lower order for unseen followers, and for bigrams also the context's total.
+    """
+
+    base: DataFrame
     bigrams: DataFrame
+    bigram_contexts: DataFrame
     trigrams: DataFrame
-    base: DataFrame
+    trigram_contexts: DataFrame
     vocab_size: int = VOCAB_SIZE
-    delta: float = DELTA
     alpha: float = ALPHA
 
 
@@ -86,69 +93,86 @@ def occurrences(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return zipped.select(key, "pos", "g.w1", "g.w2", "g.w3")
 
 
-def fit(df: DataFrame, text: str = "text", vocab_size: int = VOCAB_SIZE) -> NgramModel:
-    """Count tables from one pass: every token ends exactly one padded trigram, so the padded
-    trigram counts hold the trigrams (no begin token) and sum up to the bigrams. Both tables are
-    written to the shared folder: a model is read by many joins, and the corpus only once."""
+def _backoff(ctx: DataFrame, delta: float) -> DataFrame:
+    """Add the share ``backoff`` of a context's probability that discounting frees."""
+    followers, total = F.col("ctx_followers").cast("double"), F.col("ctx_total").cast("double")
+    return ctx.withColumn("backoff", F.lit(delta) * (followers / total))
+
+
+def _discounted(lower: str, delta: float) -> Column:
+    """Probability of a seen n-gram from ``c``, its context and the lower order."""
+    own = F.greatest(F.col("c").cast("double") - F.lit(delta), F.lit(0.0)) / F.col("ctx_total").cast("double")
+    return F.col("backoff") * F.col(lower) + own
+
+
+def _laplace(count: Column, total: Column, alpha: float, vocab_size: int) -> Column:
+    seen, all_seen = (F.coalesce(x.cast("double"), F.lit(0.0)) for x in (count, total))
+    return (seen + F.lit(alpha)) / (all_seen + F.lit(alpha * vocab_size))
+
+
+def fit(
+    df: DataFrame, text: str = "text", vocab_size: int = VOCAB_SIZE, delta: float = DELTA, alpha: float = ALPHA
+) -> NgramModel:
+    """Probability tables from one pass over the corpus.
+
+    Every token ends exactly one padded trigram, so the padded trigram counts hold the
+    trigrams (no begin token) and sum up to the bigrams. Count tables are written out, as
+    several joins read them.
+    """
     rows = occurrences(df.withColumn("_k", F.lit(0)), "_k", text)
-    padded = materialise(rows.groupBy("w1", "w2", "w3").agg(F.count(F.lit(1)).alias("c")), "ngram-trigrams")
-    bigrams = materialise(
+    padded = materialise(rows.groupBy("w1", "w2", "w3").agg(F.count(F.lit(1)).alias("c")), "ngram-counts3")
+    pairs = materialise(
         padded.filter(F.col("w2") != BEGIN)
         .groupBy(F.col("w2").alias("w1"), F.col("w3").alias("w2"))
         .agg(F.sum("c").alias("c")),
+        "ngram-counts2",
+    )
+    triples = padded.filter(F.col("w1") != BEGIN)
+    base = kneser_ney_unigram(pairs)
+    ctx2, ctx3 = _backoff(contexts(pairs, 2), delta), _backoff(contexts(triples, 3), delta)
+    bigrams = materialise(
+        pairs.join(ctx2, "w1")
+        .join(base.select(F.col("token").alias("w2"), F.col("p").alias("p1")), "w2")
+        .select(
+            "w1",
+            "w2",
+            "p1",
+            _discounted("p1", delta).alias("p2"),
+            _laplace(F.col("c"), F.col("ctx_total"), alpha, vocab_size).alias("laplace2"),
+        ),
         "ngram-bigrams",
     )
-    return NgramModel(bigrams, padded.filter(F.col("w1") != BEGIN), kneser_ney_unigram(bigrams), vocab_size)
-
-
-def _with_counts(targets: DataFrame, counts: DataFrame, cols: list[str]) -> DataFrame:
-    """Add the count ``_c`` of the n-gram in ``cols`` and the totals ``_ct``, ``_cf`` of its
-    context; NULL where unseen."""
-    gram = counts.select(*[F.col(f"w{i + 1}").alias(c) for i, c in enumerate(cols)], F.col("c").cast("double").alias("_c"))
-    ctx = contexts(counts, len(cols)).select(
-        *[F.col(f"w{i + 1}").alias(c) for i, c in enumerate(cols[:-1])],
-        F.col("ctx_total").cast("double").alias("_ct"),
-        F.col("ctx_followers").cast("double").alias("_cf"),
+    trigrams = materialise(
+        triples.join(ctx3, ["w1", "w2"])
+        .join(bigrams.toDF("w2", "w3", "p1", "p2", "laplace2"), ["w2", "w3"])
+        .select("w1", "w2", "w3", "p1", "p2", "laplace2", _discounted("p2", delta).alias("p3")),
+        "ngram-trigrams",
     )
-    return targets.join(gram, cols, "left").join(ctx, cols[:-1], "left")
-
-
-def _laplace(alpha: float, vocab_size: int) -> Column:
-    seen, total = F.coalesce("_c", F.lit(0.0)), F.coalesce("_ct", F.lit(0.0))
-    return (seen + F.lit(alpha)) / (total + F.lit(alpha * vocab_size))
-
-
-def _discounted(lower: str, delta: float) -> Column:
-    d = F.lit(delta)
-    own = F.when(F.col("_c").isNull(), F.lit(0.0)).otherwise(F.greatest(F.col("_c") - d, F.lit(0.0)) / F.col("_ct"))
-    backed = d * (F.col("_cf") / F.col("_ct")) * F.col(lower)
-    return F.when(F.col("_ct").isNull(), F.col(lower)).otherwise(backed + own)
+    return NgramModel(base, bigrams, ctx2, trigrams, ctx3, vocab_size, alpha)
 
 
 def laplace_prob(
     targets: DataFrame, counts: DataFrame, n: int, alpha: float = ALPHA, vocab_size: int = VOCAB_SIZE
 ) -> DataFrame:
     """Add ``p = (c + a) / (C + a V)`` to distinct target n-grams."""
-    return _with_counts(targets, counts, _w(n)).withColumn("p", _laplace(alpha, vocab_size)).drop("_c", "_ct", "_cf")
-
-
-def unigram_prob(targets: DataFrame, model: NgramModel, word: str, out: str) -> DataFrame:
-    """Add the base probability of ``word``; a word never seen after another gets ``1 / V``."""
-    base = model.base.select(F.col("token").alias(word), F.col("p").alias("_p"))
-    return (
-        targets.join(base, word, "left")
-        .withColumn(out, F.coalesce("_p", F.lit(1.0 / model.vocab_size)))
-        .drop("_p")
-    )
+    ctx = contexts(counts, n).select(*_w(n - 1), "ctx_total")
+    joined = targets.join(counts.select(*_w(n), "c"), _w(n), "left").join(ctx, _w(n - 1), "left")
+    return joined.withColumn("p", _laplace(F.col("c"), F.col("ctx_total"), alpha, vocab_size)).drop("c", "ctx_total")
 
 
 def backoff_bigram(targets: DataFrame, model: NgramModel) -> DataFrame:
-    """Add ``p1``, ``p2`` and ``laplace2`` to distinct (w1, w2)."""
-    counted = _with_counts(unigram_prob(targets, model, "w2", "p1"), model.bigrams, ["w1", "w2"])
+    """Add ``p1``, ``p2`` and ``laplace2`` to distinct (w1, w2). A word never seen after another
+    has ``p1 = 1 / V``; an unseen context passes the lower order on."""
+    seen = model.bigrams.select("w1", "w2", F.col("p2").alias("_p2"), F.col("laplace2").alias("_l2"))
+    base = model.base.select(F.col("token").alias("w2"), F.col("p").alias("_p1"))
+    ctx = model.bigram_contexts.select("w1", F.col("backoff").alias("_b"), F.col("ctx_total").alias("_ct"))
+    joined = targets.join(seen, ["w1", "w2"], "left").join(base, "w2", "left").join(ctx, "w1", "left")
+    p1 = F.coalesce("_p1", F.lit(1.0 / model.vocab_size))
     return (
-        counted.withColumn("p2", _discounted("p1", model.delta))
-        .withColumn("laplace2", _laplace(model.alpha, model.vocab_size))
-        .drop("_c", "_ct", "_cf")
+        joined.withColumn("p1", p1)
+        .withColumn("p2", F.coalesce("_p2", F.coalesce("_b", F.lit(1.0)) * F.col("p1")))
+        .withColumn("laplace2", F.coalesce("_l2", _laplace(F.lit(0), F.col("_ct"), model.alpha, model.vocab_size)))
+        .drop("_p1", "_p2", "_l2", "_b", "_ct")
     )
 
 
@@ -158,17 +182,25 @@ def backoff_trigram(targets: DataFrame, model: NgramModel) -> DataFrame:
     low = backoff_bigram(pairs, model).select(
         F.col("w1").alias("w2"), F.col("w2").alias("w3"), "p1", "p2", "laplace2"
     )
-    counted = _with_counts(targets, model.trigrams, ["w1", "w2", "w3"]).join(low, ["w2", "w3"])
-    return counted.withColumn("p3", _discounted("p2", model.delta)).drop("_c", "_ct", "_cf")
+    seen = model.trigrams.select("w1", "w2", "w3", F.col("p3").alias("_p3"))
+    ctx = model.trigram_contexts.select("w1", "w2", F.col("backoff").alias("_b"))
+    joined = (
+        targets.join(low, ["w2", "w3"]).join(seen, ["w1", "w2", "w3"], "left").join(ctx, ["w1", "w2"], "left")
+    )
+    return joined.withColumn("p3", F.coalesce("_p3", F.coalesce("_b", F.lit(1.0)) * F.col("p2"))).drop("_p3", "_b")
 
 
 def score_documents(df: DataFrame, model: NgramModel, key: str, text: str = "text") -> DataFrame:
-    """One row per token with p1 (unigram), p2 (bigram), laplace2 and p3 (trigram)."""
-    occ = occurrences(df, key, text)
-    probs = backoff_trigram(occ.select("w1", "w2", "w3").distinct(), model)
-    return occ.join(probs, ["w1", "w2", "w3"]).select(
-        key, "pos", F.col("w3").alias("token"), "p1", "p2", "laplace2", "p3"
-    )
+    """One row per token with p1 (unigram), p2 (bigram), laplace2 and p3 (trigram).
+
+    The occurrences that met a seen trigram are done; they are written out together with the
+    rest, so that the two ways on do not repeat the scan and the join."""
+    grams, probs = ["w1", "w2", "w3"], ["p1", "p2", "laplace2", "p3"]
+    met = materialise(occurrences(df, key, text).join(model.trigrams, grams, "left"), "ngram-occurrences")
+    new = met.filter(F.col("p3").isNull()).drop(*probs)
+    rest = new.join(backoff_trigram(new.select(*grams).distinct(), model), grams)
+    out = [key, "pos", F.col("w3").alias("token"), *probs]
+    return met.filter(F.col("p3").isNotNull()).select(*out).unionByName(rest.select(*out))
 
 
 def probability_vectors(scored: DataFrame, key: str) -> DataFrame:
