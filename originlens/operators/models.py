@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from originlens.operators.metrics import roc_auc, threshold_metrics
 from originlens.operators.neighbors import knn_cosine, neighbour_summary
 from originlens.operators.sampling import holdout_permutation, stratified_kfold
+from originlens.session import materialise
 
 KINDS = ["log_reg", "svc", "elastic", "sgd", "rfc", "knnc", "vote"]
 MIN_META_MODELS = 2
@@ -145,7 +146,7 @@ def calibrated(
 ) -> FittedClassifier:
     """Out-of-fold sigmoid calibration: per fold a model fitted on the others and a
     one-feature logistic regression on its held-out scores; predictions are averaged."""
-    folds = stratified_kfold(train, seed, cv, label, key)
+    folds = materialise(stratified_kfold(train, seed, cv, label, key), "folds")
     members = []
     for fold in range(cv):
         base = fit_classifier(kind, folds.filter(F.col("fold") != fold), label, features, key, c)
@@ -172,7 +173,7 @@ def holdout_report(
     calibrate: bool = False,
 ) -> DataFrame:
     """kind, F1, accuracy, AUC (rounded to 3) on the held-out fifth."""
-    parts = holdout_permutation(df, seed, 0.8, key)
+    parts = materialise(holdout_permutation(df, seed, 0.8, key), "holdout")
     train = parts.filter("part = 'train'").drop("part")
     test = parts.filter("part = 'test'").drop("part")
     model = (

@@ -54,7 +54,7 @@ def g4_kneser_ney_unigram(spark, sf):
 def g5_backoff_bigram(spark, sf):
     d = views.texts(spark, sf)
     targets = ngram.occurrences(d, "doc_id").select(F.col("w2").alias("w1"), F.col("w3").alias("w2")).distinct()
-    return single(ngram.backoff_bigram(targets, ngram.fit(d)).drop("laplace2"), "p1", "p2")
+    return single(ngram.backoff_bigram(targets, views.language_model(spark, sf)).drop("laplace2"), "p1", "p2")
 
 
 @query(
@@ -65,7 +65,7 @@ def g5_backoff_bigram(spark, sf):
 def g6_backoff_trigram(spark, sf):
     d = views.texts(spark, sf)
     targets = ngram.occurrences(d, "doc_id").select("w1", "w2", "w3").distinct()
-    return single(ngram.backoff_trigram(targets, ngram.fit(d)).select("w1", "w2", "w3", "p3"), "p3")
+    return single(ngram.backoff_trigram(targets, views.language_model(spark, sf)).select("w1", "w2", "w3", "p3"), "p3")
 
 
 @query(
@@ -75,7 +75,7 @@ def g6_backoff_trigram(spark, sf):
 )
 def g7_score_documents(spark, sf):
     d = views.texts(spark, sf)
-    scored = ngram.score_documents(d, ngram.fit(d), "doc_id")
+    scored = ngram.score_documents(d, views.language_model(spark, sf), "doc_id")
     out = scored.select("doc_id", "pos", F.col("p3").alias("trigram"), F.col("p1").alias("unigram"))
     return single(out, "trigram", "unigram")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from originlens.functions.hashing import uniform
 from originlens.functions.text import word_count, words
 from originlens.operators import ngram
 from originlens.operators.shaping import build_detection_rows
-from originlens.session import spread
+from originlens.session import materialise, spread
 
 SCORE_MODELS = ["comma", "length", "word"]
 
@@ -99,10 +101,30 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     return d.unpivot(["doc_id", "y", "split"], SCORE_MODELS, "model", "score")
 
 
+_STORED: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, key: tuple, build: Callable[[], object]):
+    """The result of ``build``, made once per application; it must live in stored tables."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _STORED:
+        _STORED[key] = build()
+    return _STORED[key]
+
+
+def language_model(spark: SparkSession, sf: str) -> ngram.NgramModel:
+    """The model of all documents. Fitted once, like any model that many jobs score with."""
+    return _once(spark, ("model", sf), lambda: ngram.fit(texts(spark, sf)))
+
+
 def probs(spark: SparkSession, sf: str) -> DataFrame:
-    """Probability vectors of every document under the model of all documents."""
-    d = texts(spark, sf)
-    return ngram.probability_vectors(ngram.score_documents(d, ngram.fit(d), "doc_id"), "doc_id")
+    """Probability vectors of every document under the model of all documents, stored once."""
+
+    def build():
+        scored = ngram.score_documents(texts(spark, sf), language_model(spark, sf), "doc_id")
+        return materialise(ngram.probability_vectors(scored, "doc_id"), "probability-vectors")
+
+    return _once(spark, ("probs", sf), build)
 
 
 def benchmark_tokens(spark: SparkSession, sf: str) -> DataFrame:
