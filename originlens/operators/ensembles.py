@@ -19,9 +19,13 @@ def auc_weights(val: DataFrame, model: str = "model", score: str = "score", labe
 
 
 def weighted_average(scores: DataFrame, weights: DataFrame, key: str = "id", model: str = "model", score: str = "score", carry: list[str] | None = None) -> DataFrame:
-    """key, ``score``: the weighted mean over the models of a key."""
-    w = scores.join(weights.select(model, "weight"), model)
-    mean = F.sum(F.col("weight") * F.col(score)) / F.sum("weight")
+    """key, ``score``: the weighted mean over the models of a key.
+
+    There is one weight per model, so the weights go in as one map; joining on the model would
+    shuffle all scores onto a handful of keys. Models without a weight are left out."""
+    by_model = weights.agg(F.map_from_entries(F.collect_list(F.struct(model, "weight"))))
+    w = scores.withColumn("_w", F.try_element_at(by_model.scalar(), F.col(model))).filter("_w IS NOT NULL")
+    mean = F.sum(F.col("_w") * F.col(score)) / F.sum("_w")
     return w.groupBy(key, *(carry or [])).agg(mean.alias("score"))
 
 

@@ -97,13 +97,12 @@ def balanced_prompt_batches(
     """Rows with ``batch``: half of a batch positive and half negative, all of one prompt.
     Only full batches that both classes can fill are kept, as a loader drops the rest."""
     half = batch_size // 2
-    ranked = hash_rank(df, seed, [key], groups=[prompt, label], out="_rn")
     counts = df.groupBy(prompt).agg(
         F.least(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).alias("_small")
     )
-    joined = null_safe_join(ranked, counts, [prompt])
+    ranked = hash_rank(df, seed, [key], groups=[prompt, label], out="_rn", facts=(counts, [prompt]))
     return (
-        joined.withColumn("batch", F.expr(f"(_rn - 1) div {half}"))
+        ranked.withColumn("batch", F.expr(f"(_rn - 1) div {half}"))
         .filter(F.col("batch") < F.expr(f"_small div {half}"))
         .drop("_rn", "_small")
     )
@@ -159,13 +158,12 @@ def length_batches(
 
     Ranks are offsets of the shorter lengths plus a rank within the length, so a length that
     many rows share does not gather in one task."""
-    ranked = hash_rank(df, seed, [key], groups=[length], out="_rn")
     by_length = df.groupBy(length).agg(F.count(F.lit(1)).alias("_n"))
     starts = by_length.select(
-        length, (F.sum("_n").over(Window.orderBy(length)) - F.col("_n")).alias("_start")
+        length, (F.sum("_n").over(Window.orderBy(length)) - F.col("_n")).alias("_shorter")
     )
-    placed = null_safe_join(ranked, starts, [length])
-    return placed.withColumn("batch", F.expr(f"(_start + _rn - 1) div {batch_size}")).drop("_rn", "_start")
+    placed = hash_rank(df, seed, [key], groups=[length], out="_rn", facts=(starts, [length]))
+    return placed.withColumn("batch", F.expr(f"(_shorter + _rn - 1) div {batch_size}")).drop("_rn", "_shorter")
 
 
 def batch_padding(batches: DataFrame, length: str = "n_tokens", multiple: int = 64) -> DataFrame:

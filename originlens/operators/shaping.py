@@ -84,9 +84,9 @@ def text_overlap(train: DataFrame, test: DataFrame, text: str = "text") -> DataF
         return df.select(F.xxhash64(text).alias("_h"), F.col(text)).filter(F.col(text).isNotNull())
 
     shared = hashed(train).select("_h").distinct().join(hashed(test).select("_h").distinct(), "_h", "left_semi")
-    a = hashed(train).join(shared, "_h", "left_semi").select(text)
-    b = hashed(test).join(shared, "_h", "left_semi").select(text)
-    return a.intersect(b)
+    a = hashed(train).join(shared, "_h", "left_semi").select(text).distinct()
+    b = hashed(test).join(shared, "_h", "left_semi").select(text).distinct()
+    return a.join(b, text, "left_semi")
 
 
 def group_overlap(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
@@ -112,9 +112,8 @@ def opposite_label_pairs(df: DataFrame, prompt: str, label: str, row_id: str, te
         F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")
     )
     lead_label = F.when(F.col("n0") >= F.col("n1"), F.lit(0)).otherwise(F.lit(1))
-    ranked = null_safe_join(
-        hash_rank(d, seed, ["rid"], groups=["prompt", "y"]), sizes.filter("n0 > 0 AND n1 > 0"), ["prompt"]
-    ).select(
+    both = sizes.filter("n0 > 0 AND n1 > 0")
+    ranked = hash_rank(d, seed, ["rid"], groups=["prompt", "y"], facts=(both, ["prompt"])).select(
         "*",
         (F.col("y") == lead_label).alias("leads"),
         F.least("n0", "n1").alias("n_small"),
