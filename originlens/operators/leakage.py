@@ -28,8 +28,10 @@ ISSUES = {
 
 
 def scored_queries(neighbours: DataFrame, train: DataFrame, query: DataFrame, key: str = "vec_id", label: str = "y") -> DataFrame:
-    """key, mean_distance, positive_ratio, score and the query's own label ``y``."""
-    scored = knn_score(neighbour_summary(neighbours, train, key, label))
+    """key, mean_distance, positive_ratio, score and the query's own label ``y``.
+
+    The summary, one row per query, is stored: scaling reads it twice, the search runs once."""
+    scored = knn_score(materialise(neighbour_summary(neighbours, train, key, label), "neighbour-summary"))
     own = query.select(F.col(key).alias("qid"), F.col(label).alias("y"))
     return scored.join(own, "qid")
 
@@ -42,14 +44,14 @@ def shuffled_label_auc(neighbours: DataFrame, train: DataFrame, query: DataFrame
     return roc_auc(scored).select(F.col("roc_auc").alias("shuffled_auc"))
 
 
-def cv_test_gap(neighbours: DataFrame, train: DataFrame, query: DataFrame, seed, k: int = 5, key: str = "vec_id", label: str = "y") -> DataFrame:
-    """AUC inside the train set (80 % against 20 %), AUC on the query set, and whether they
-    differ by more than 0.05."""
+def cv_test_gap(scored: DataFrame, train: DataFrame, seed, k: int = 5, key: str = "vec_id", label: str = "y") -> DataFrame:
+    """AUC inside the train set (80 % against 20 %), AUC of the ``scored`` query set, and whether
+    they differ by more than 0.05."""
     parts = materialise(holdout_permutation(train, seed, 0.8, key), "holdout")
     a = parts.filter("part = 'train'").drop("part")
     b = parts.filter("part = 'test'").drop("part")
     inner = roc_auc(scored_queries(knn_cosine(a, b, k, key), a, b, key, label))
-    outer = roc_auc(scored_queries(neighbours, train, query, key, label))
+    outer = roc_auc(scored)
     return inner.select(F.col("roc_auc").alias("internal_cv_auc")).select(
         "internal_cv_auc", outer.scalar().alias("test_auc")
     ).withColumn("gap_flag", F.abs(F.col("internal_cv_auc") - F.col("test_auc")) > MAX_CV_GAP)
@@ -66,7 +68,7 @@ def leakage_report(
     distances = distance_by_agreement(
         scored.select("qid", "mean_distance", "positive_ratio"), query, key, label
     ).select(F.struct("same_class_distance", "diff_class_distance").alias("d"))
-    gap = cv_test_gap(neighbours, train, query, seed, k, key, label).select(F.struct("*").alias("g"))
+    gap = cv_test_gap(scored, train, seed, k, key, label).select(F.struct("*").alias("g"))
     row = stats.select(
         overlap.agg(F.count(F.lit(1))).scalar().alias("sample_overlap"),
         shuffled_label_auc(neighbours, train, query, seed, key, label).scalar().alias("shuffled_auc"),

@@ -154,7 +154,8 @@ def draw_prompts(prompts: DataFrame, n: int, seed, key: str = "id") -> DataFrame
 def length_batches(
     df: DataFrame, batch_size: int, seed, length: str = "n_tokens", key: str = "id"
 ) -> DataFrame:
-    """Rows with ``batch`` in order of length; rows of one length are in seeded order.
+    """Rows with ``batch`` in order of length; rows of one length are in seeded order. ``df`` is
+    read in three passes, so pass a stored table of keys and lengths, not of texts.
 
     Ranks are offsets of the shorter lengths plus a rank within the length, so a length that
     many rows share does not gather in one task."""

@@ -45,7 +45,7 @@ def k9_shuffled_label_auc(spark, sf):
 )
 def k10_cv_test_gap(spark, sf):
     train, q, near = _neighbours(spark, sf)
-    gap = leakage.cv_test_gap(near, train, q, "leak")
+    gap = leakage.cv_test_gap(leakage.scored_queries(near, train, q), train, "leak")
     return rounded(gap.withColumn("gap_flag", F.col("gap_flag").cast("int")))
 
 

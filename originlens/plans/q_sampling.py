@@ -10,6 +10,7 @@ from originlens.operators import sampling
 from originlens.plans import duck, views
 from originlens.plans.registry import query
 from originlens.plans.views import rounded
+from originlens.session import materialise
 
 
 @query(
@@ -182,7 +183,8 @@ _BATCHES = f"""{_LENGTHS}, b AS (
 
 
 def _length_batches(spark, sf):
-    d = views.table(spark, sf, "documents").select("doc_id", word_count("text").cast("bigint").alias("n_tokens"))
+    d = views.texts(spark, sf).select("doc_id", word_count("text").cast("bigint").alias("n_tokens"))
+    d = materialise(d, "lengths")
     return sampling.length_batches(d, 32, "len", "n_tokens", "doc_id")
 
 
