@@ -103,7 +103,7 @@ def mixed_sizes(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: i
     taken alike, an empty table gives an empty result. Other columns of ``docs`` are not read.
     """
     sized = materialise(sizes(docs, seed), "mix-sizes")
-    p = plan(sized, weights, epochs).withColumnRenamed("source", "_psource")
+    p = materialise(plan(sized, weights, epochs), "mix-plan").withColumnRenamed("source", "_psource")
     j = sized.join(p, F.col("source").eqNullSafe(F.col("_psource")))
     j = j.withColumn("copies", copies(j))
     return j.select(
@@ -118,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     The decision is a comparison of the row's draw with its source's cut, so texts are not shuffled
     while the source table is small enough to be broadcast. Cases as in :func:`mixed_sizes`.
     """
-    p = plan(materialise(sizes(docs, seed), "mix-sizes"), weights, epochs)
+    p = materialise(plan(materialise(sizes(docs, seed), "mix-sizes"), weights, epochs), "mix-plan")
     p = p.select(F.struct("source", "whole", "cut").alias("_mix"))
     j = docs.withColumn("_mix_draw", draw("doc_id", seed))
     j = j.join(p, F.col("source").eqNullSafe(F.col("_mix.source")))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from originlens.llm import decontam
 from originlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +99,62 @@ def op9_mix(spark, sf):
 
     m = mixing.mixed_sizes(table(spark, sf, "documents"))
     return m.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "copies", "taken")
+
+
+_UNITS = ", ".join(f"'{u}'" for u in decontam.UNITS)
+_TYPED = f"""list_transform(range(1, len(w) + 1), lambda i: CASE
+    WHEN regexp_matches(w[i], '{decontam.NUMBER}') THEN '#num'
+    WHEN i > 1 AND rtrim(lower(w[i]), '{decontam.EDGE}') IN ({_UNITS}) AND regexp_matches(w[i - 1], '{decontam.NUMBER}') THEN '#unit'
+    WHEN i > 1 AND regexp_matches(w[i], '{decontam.NAME}') AND NOT regexp_matches(w[i - 1], '[.!?:]$') THEN '#name'
+    ELSE rtrim(lower(w[i]), '{decontam.EDGE}') END)"""
+_WORDS = r"list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+@query(
+    "op7_decontaminate",
+    f"""
+WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+dt AS (SELECT doc_id, {_TYPED} AS t, list_transform(w, lambda x: rtrim(lower(x), '{decontam.EDGE}')) AS v FROM dw),
+it AS (SELECT item_id, {_TYPED} AS t, list_transform(w, lambda x: rtrim(lower(x), '{decontam.EDGE}')) AS v, len(w) AS n FROM iw),
+ix AS (
+  SELECT item_id, n, ipos, list_slice(t, ipos + 1, ipos + 8) AS g
+  FROM (SELECT *, unnest(range(len(t) - 7)) AS ipos FROM it WHERE len(t) >= 8)
+  WHERE len(list_filter(list_slice(t, ipos + 1, ipos + 8), lambda x: NOT starts_with(x, '#'))) >= 4),
+dx AS (
+  SELECT doc_id, pos, list_slice(t, pos + 1, pos + 8) AS g
+  FROM (SELECT *, unnest(range(len(t) - 7)) AS pos FROM dt WHERE len(t) >= 8)),
+hit AS (SELECT doc_id, item_id, n, ipos, pos - ipos AS diag FROM dx JOIN ix USING (g)),
+cov AS (SELECT DISTINCT doc_id, item_id, n, diag, unnest(range(ipos, ipos + 8)) AS p FROM hit),
+val AS (
+  SELECT cov.*, it.t[p + 1] AS kind, it.v[p + 1] AS a, dt.v[p + diag + 1] AS b, starts_with(it.t[p + 1], '#') AS s
+  FROM cov JOIN it USING (item_id) JOIN dt USING (doc_id)),
+dg AS (
+  SELECT doc_id, item_id, n, diag, count(*) AS nc, count(DISTINCT (kind, a, b)) FILTER (s) AS ns,
+         count(DISTINCT (kind, a)) FILTER (s) AS na, coalesce(bool_or(a <> b) FILTER (s), false) AS changed
+  FROM val GROUP BY ALL),
+best AS (
+  SELECT dg.doc_id, dg.item_id, dg.n, nc, (SELECT count(DISTINCT ipos) FROM hit h WHERE h.doc_id = dg.doc_id AND h.item_id = dg.item_id AND h.diag = dg.diag) AS nw,
+         ns, changed
+  FROM dg WHERE ns = na AND nc >= least(13, n / 2.0))
+SELECT doc_id, item_id, nw::BIGINT AS n_windows, nc::BIGINT AS n_words, round(nc::DOUBLE / n::DOUBLE, 9) AS coverage,
+       ns::BIGINT AS n_slots, changed
+FROM best QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY nc DESC, nw DESC, ns DESC, changed) = 1""",
+)
+def op7_decontaminate(spark, sf):
+    m = decontam.matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return m.select("doc_id", "item_id", "n_windows", "n_words", F.round("coverage", 9).alias("coverage"), "n_slots", "changed")
+
+
+@query("op2_near_duplicates")
+def op2_near_duplicates(spark, sf):
+    from originlens.llm import bagminhash
+
+    return bagminhash.classes(table(spark, sf, "documents"))
+
+
+@query("op4_simhash")
+def op4_simhash(spark, sf):
+    from originlens.llm import simhash
+
+    return simhash.search(table(spark, sf, "documents").select("doc_id", "text"))
