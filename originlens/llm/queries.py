@@ -158,3 +158,18 @@ def op4_simhash(spark, sf):
     from originlens.llm import simhash
 
     return simhash.search(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op10_quality")
+def op10_quality(spark, sf):
+    from originlens.llm import rules
+
+    return rules.assess(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op6_pii")
+def op6_pii(spark, sf):
+    from originlens.llm import semicrf
+
+    d = table(spark, sf, "documents")
+    return semicrf.digest(semicrf.spans(d, semicrf.train(d)))
