@@ -149,6 +149,13 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return out
 
 
+def allowed(feats: list[str]) -> tuple[str, ...]:
+    """The kinds that a span with these features may have: addresses are the spans with one @."""
+    if any(f.startswith("at=") for f in feats):
+        return ("email",)
+    return ("ip", "card", "phone")
+
+
 @dataclass
 class SpanModel:
     """Weights of (kind, feature); a span's score for a kind is the sum of its features' weights."""
@@ -167,7 +174,7 @@ class SpanModel:
         by_end: dict[int, list[tuple[int, str, float]]] = {}
         for p, q in candidates(text, a, b):
             feats = features(text, p, q)
-            s, kind = max((self.score(k, feats), k) for k in KINDS)
+            s, kind = max((self.score(k, feats), k) for k in allowed(feats))
             if s > 0:
                 by_end.setdefault(q, []).append((p, kind, s))
         if not by_end:
@@ -214,9 +221,8 @@ def fit(examples: list[tuple[str, int, int, list[Span]]], rounds: int = 60, rate
         segs = []
         for p, q in spans:
             feats = features(text, p, q)
-            for k in KINDS:
-                if (k == "email") == ("at=1" in feats):
-                    segs.append((p, q, [names.setdefault((k, f), len(names)) for f in feats], (k, p, q) in truth))
+            for k in allowed(feats):
+                segs.append((p, q, [names.setdefault((k, f), len(names)) for f in feats], (k, p, q) in truth))
         marks = sorted({a, b, *(s[0] for s in segs), *(s[1] for s in segs)})
         at = {m: i for i, m in enumerate(marks)}
         flat = np.array([j for s in segs for j in s[2]])
