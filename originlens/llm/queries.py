@@ -173,3 +173,17 @@ def op6_pii(spark, sf):
 
     d = table(spark, sf, "documents")
     return semicrf.digest(semicrf.spans(d, semicrf.train(d)))
+
+
+@query("op8_repeated_passages")
+def op8_repeated_passages(spark, sf):
+    from originlens.llm import passages
+
+    return passages.repeats(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query("op1_lm_score")
+def op1_lm_score(spark, sf):
+    from originlens.llm import lm
+
+    return lm.score_held_out(table(spark, sf, "documents"))
