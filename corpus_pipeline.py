@@ -1,22 +1,49 @@
 """A corpus pipeline: five operators in sequence, each stage written as Parquet and read again.
 
-Stages keep the columns of ``documents``; the last repeats rows as often as the mix takes them.
+Stages keep the columns of ``documents``; the last repeats rows as often as the mix takes them. A stage
+works on all that the one before it kept, learns from that alone, and its decisions take effect.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from originlens.llm import mixing
+from originlens.llm import bagminhash, decontam, langid, mixing, semicrf
 from originlens.session import materialise
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found; those without a letter go."""
+    return langid.reject_unknown(docs, langid.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates, the one with the smallest id."""
+    return bagminhash.deduplicate(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no passage with a benchmark item."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by its kind."""
+    return semicrf.redact(docs, semicrf.train(docs))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as their source's target asks for, three times at most."""
     return mixing.mix(docs)
 
 
-STAGES = [("mix_sources", mix_sources)]
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("mix_sources", mix_sources),
+]
 
 #: Language profiles, sketches and the trained span model are beyond SQL; the stages are tested by brute force.
 ORACLE_SQL = None
