@@ -135,7 +135,7 @@ def fit(docs: DataFrame, sample_per_lang: int = 2000, seed: str = "langid") -> P
                     mine[v] = mine.get(v, 0) + n
         for lang, mine in total.items():
             yield pa.RecordBatch.from_pydict(
-                {"lang": pa.array([lang] * len(mine)), "g": pa.array(list(mine), pa.int64()), "n": pa.array(list(mine.values()), pa.int64())}
+                {"lang": pa.array([lang] * len(mine), pa.string()), "g": pa.array(list(mine), pa.int64()), "n": pa.array(list(mine.values()), pa.int64())}
             )
 
     counted = sample.mapInArrow(count, "lang string, g bigint, n bigint").groupBy("lang", "g").agg(F.sum("n").alias("n"))

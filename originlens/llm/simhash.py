@@ -140,6 +140,8 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     NULL text is empty; repeated rows follow each other; an empty table gives no rows.
     """
 
+    id_type = docs.schema["doc_id"].dataType
+
     def run(batches: Iterable):
         import pyarrow as pa
 
@@ -167,27 +169,35 @@ def compare_edits(docs: DataFrame) -> DataFrame:
         def signed_(x: int) -> int:
             return x - (1 << 64) if x >> 63 else x
 
+        kinds = [_arrow_type(id_type), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64()]
         buffer: list[tuple] = []
         for r in rows():
             buffer.append(r)
             if len(buffer) == 2000:
-                yield _batch(buffer, pa)
+                yield _batch(buffer, kinds)
                 buffer = []
         if buffer:
-            yield _batch(buffer, pa)
+            yield _batch(buffer, kinds)
 
     src = with_next(docs).select("part", "copy", "doc_id", "text")
-    id_type = src.schema["doc_id"].dataType.simpleString()
     return src.mapInArrow(
         run,
-        f"doc_id {id_type}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string,"
+        f"doc_id {id_type.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string,"
         " near_edited double, near_next double, fp bigint",
     )
 
 
-def _batch(rows: list[tuple], pa):
+def _arrow_type(kind):
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
+def _batch(rows: list[tuple], kinds: list):
+    import pyarrow as pa
+
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "fp"]
-    return pa.RecordBatch.from_pydict({n: [r[i] for r in rows] for i, n in enumerate(names)})
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
 def search(docs: DataFrame, radius: int = 3, every: int = 100) -> DataFrame:
