@@ -22,10 +22,13 @@ def weighted_average(scores: DataFrame, weights: DataFrame, key: str = "id", mod
     """key, ``score``: the weighted mean over the models of a key.
 
     There is one weight per model, so the weights go in as one map; joining on the model would
-    shuffle all scores onto a handful of keys. Models without a weight are left out."""
+    shuffle all scores onto a handful of keys. A NULL score takes no part in its key's mean, nor does its
+    weight; a key with NULL scores only gets NULL. A model without a weight is an error."""
     by_model = weights.agg(F.map_from_entries(F.collect_list(F.struct(model, "weight"))))
-    w = scores.withColumn("_w", F.try_element_at(by_model.scalar(), F.col(model))).filter("_w IS NOT NULL")
-    mean = F.sum(F.col("_w") * F.col(score)) / F.sum("_w")
+    found = F.try_element_at(by_model.scalar(), F.col(model))
+    lacking = F.raise_error(F.concat(F.lit("no weight for model "), F.coalesce(F.col(model), F.lit("NULL"))))
+    w = scores.withColumn("_w", F.coalesce(found, lacking.cast("double")))
+    mean = F.sum(F.col("_w") * F.col(score)) / F.sum(F.when(F.col(score).isNotNull(), F.col("_w")))
     return w.groupBy(key, *(carry or [])).agg(mean.alias("score"))
 
 
@@ -76,8 +79,11 @@ def stacked_scores(scores: DataFrame, models: list[str], key: str = "id", model:
 
 
 def vote_scores(scores: DataFrame, key: str = "id", score: str = "score", carry: list[str] | None = None) -> DataFrame:
-    """key, ``max_score`` and ``geometric_mean`` over the models."""
-    positive = F.greatest(F.col(score), F.lit(1e-12))
+    """key, ``max_score`` and ``geometric_mean`` over the models; the latter is NULL for keys with a
+    negative score, for which it is not defined, and 0 for keys with a score of 0."""
+    s = F.col(score)
+    mean = F.exp(F.avg(F.when(s > 0, F.ln(s))))
     return scores.groupBy(key, *(carry or [])).agg(
-        F.max(score).alias("max_score"), F.exp(F.avg(F.ln(positive))).alias("geometric_mean")
+        F.max(score).alias("max_score"),
+        F.when(F.min(s) > 0, mean).when(F.min(s) == 0, F.lit(0.0)).alias("geometric_mean"),
     )

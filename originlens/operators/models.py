@@ -31,7 +31,7 @@ def fit_meta_learner(stacked: DataFrame, models: list[str], label: str = "y", c:
     """L2 logistic regression over one score column per model, or None for fewer than two.
 
     ``C`` weighs the summed loss against the penalty; Spark averages the loss, hence
-    ``regParam = 1 / (C n)``.
+    ``regParam = 1 / (C n)``. The fit needs complete rows; :func:`incomplete_rows` counts the others.
     """
     if len(models) < MIN_META_MODELS:
         return None
@@ -48,6 +48,12 @@ def _logistic(df: DataFrame, label: str, c: float, max_iter: int):
     ).fit(df)
 
 
+def incomplete_rows(stacked: DataFrame, models: list[str]) -> DataFrame:
+    """One row: ``n_rows``, and ``n_incomplete`` of them that lack a model's score."""
+    lacks = reduce(lambda a, b: a | b, [F.col(m).isNull() for m in models])
+    return stacked.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(lacks).alias("n_incomplete"))
+
+
 def meta_coefficients(model, models: list[str], spark) -> DataFrame:
     """model, ``coefficient``; the intercept is the row ``(intercept)``."""
     rows = [*zip(models, [float(x) for x in model.coefficients]), ("(intercept)", float(model.intercept))]
@@ -55,9 +61,10 @@ def meta_coefficients(model, models: list[str], spark) -> DataFrame:
 
 
 def meta_scores(model, stacked: DataFrame, models: list[str]) -> DataFrame:
-    """Add ``score``, the positive-class probability."""
-    assembled = VectorAssembler(inputCols=models, outputCol="features_vec", handleInvalid="skip").transform(stacked)
-    out = model.transform(assembled).withColumn("score", vector_to_array("probability")[1])
+    """Add ``score``, the positive-class probability; NULL for a row that lacks a model's score."""
+    lacks = reduce(lambda a, b: a | b, [F.col(m).isNull() for m in models])
+    assembled = VectorAssembler(inputCols=models, outputCol="features_vec", handleInvalid="keep").transform(stacked)
+    out = model.transform(assembled).withColumn("score", F.when(~lacks, vector_to_array("probability")[1]))
     return out.drop("features_vec", "rawPrediction", "probability", "prediction")
 
 
@@ -172,8 +179,11 @@ def holdout_report(
     kind: str, df: DataFrame, seed, label: str = "y", features: str = "features", key: str = "id", c: float = 1.0,
     calibrate: bool = False,
 ) -> DataFrame:
-    """kind, F1, accuracy, AUC (rounded to 3) on the held-out fifth."""
-    parts = materialise(holdout_permutation(df, seed, 0.8, key), "holdout")
+    """kind, F1, accuracy, AUC (rounded to 3) on the held-out fifth.
+
+    ``df`` may have a column ``part`` (train, test) already: features that are themselves learned must
+    come from train rows, so the split comes before them."""
+    parts = materialise(df if "part" in df.columns else holdout_permutation(df, seed, 0.8, key), "holdout")
     train = parts.filter("part = 'train'").drop("part")
     test = parts.filter("part = 'test'").drop("part")
     model = (

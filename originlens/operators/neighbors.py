@@ -148,8 +148,8 @@ def reference_ranking_score(
     return d.withColumn("score", F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0))).drop("_u", "_c")
 
 
-def sample_references(train: DataFrame, seed, n_refs: int = 200, label: str = "y", key: str = "vec_id") -> DataFrame:
-    """Half of ``n_refs`` per class."""
+def sample_references(train: DataFrame, seed, n_refs: int, label: str = "y", key: str = "vec_id") -> DataFrame:
+    """Half of ``n_refs`` per class, where a sample is wanted; the score itself takes all references."""
     return per_class_sample(train, n_refs // 2, seed, label, key)
 
 

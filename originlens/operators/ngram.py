@@ -17,9 +17,8 @@ from pyspark.sql import functions as F
 from originlens.functions.text import words
 from originlens.session import materialise
 
-# Vocabulary size of the tokenizer the published model assumes, additive
-# smoothing and discount.
-VOCAB_SIZE = 50257
+# Additive smoothing and discount. The published model takes 50257, the vocabulary of its
+# tokenizer, as the number of words; here words are split at white space and counted.
 BEGIN = ""  # no word is empty, so a padded n-gram never equals one of the corpus
 ALPHA = 0.003
 DELTA = 0.9
@@ -81,7 +80,7 @@ class NgramModel:
     bigram_contexts: DataFrame
     trigrams: DataFrame
     trigram_contexts: DataFrame
-    vocab_size: int = VOCAB_SIZE
+    vocab_size: int
     alpha: float = ALPHA
 
 
@@ -111,9 +110,9 @@ def _laplace(count: Column, total: Column, alpha: float, vocab_size: int) -> Col
 
 
 def fit(
-    df: DataFrame, text: str = "text", vocab_size: int = VOCAB_SIZE, delta: float = DELTA, alpha: float = ALPHA
+    df: DataFrame, text: str = "text", vocab_size: int | None = None, delta: float = DELTA, alpha: float = ALPHA
 ) -> NgramModel:
-    """Probability tables from one pass over the corpus.
+    """Probability tables from one pass over the corpus. ``vocab_size``: its distinct words if not given.
 
     Every token ends exactly one padded trigram, so the padded trigram counts hold the
     trigrams (no begin token) and sum up to the bigrams. Count tables are written out, as
@@ -127,6 +126,8 @@ def fit(
         .agg(F.sum("c").alias("c")),
         "ngram-counts2",
     )
+    if vocab_size is None:
+        vocab_size = max(1, padded.select("w3").distinct().count())
     triples = padded.filter(F.col("w1") != BEGIN)
     base = kneser_ney_unigram(pairs)
     ctx2, ctx3 = _backoff(contexts(pairs, 2), delta), _backoff(contexts(triples, 3), delta)
@@ -152,9 +153,9 @@ def fit(
 
 
 def laplace_prob(
-    targets: DataFrame, counts: DataFrame, n: int, alpha: float = ALPHA, vocab_size: int = VOCAB_SIZE
+    targets: DataFrame, counts: DataFrame, n: int, vocab_size: int, alpha: float = ALPHA
 ) -> DataFrame:
-    """Add ``p = (c + a) / (C + a V)`` to distinct target n-grams."""
+    """Add ``p = (c + a) / (C + a V)`` to distinct target n-grams; ``vocab_size`` is V."""
     ctx = contexts(counts, n).select(*_w(n - 1), "ctx_total")
     joined = targets.join(counts.select(*_w(n), "c"), _w(n), "left").join(ctx, _w(n - 1), "left")
     return joined.withColumn("p", _laplace(F.col("c"), F.col("ctx_total"), alpha, vocab_size)).drop("c", "ctx_total")

@@ -16,7 +16,6 @@ from originlens.functions.hashing import md5_hex
 from originlens.session import materialise
 
 SAMPLE_ROWS = 8192
-ONE_TASK_ROWS = 200_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -117,26 +116,17 @@ def running_totals(
     values: list[str],
     descending: bool = False,
     buckets: int = 256,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Add ``cum_<v>`` (running total including the row) and ``all_<v>`` (group total).
 
     ``(groups, order)`` must be unique: aggregate ties first. The table is written to the
-    shared folder, as several passes read it, and counted. Up to ``one_task_rows`` rows a plain
-    window per group does; beyond, rows are cut into ordered buckets that are summed on their
-    own and shifted by the totals of the buckets before them.
+    shared folder, as several passes read it. Rows are cut into ordered buckets that are summed
+    on their own and shifted by the totals of the buckets before them, whatever their number.
     """
     d = materialise(df, "totals")
     by_order = F.col(order).desc() if descending else F.col(order).asc()
     group_w = Window.partitionBy(*[F.col(g) for g in groups])
     upto = Window.unboundedPreceding, Window.currentRow
-    if d.count() <= one_task_rows:
-        w = group_w.orderBy(by_order).rowsBetween(*upto)
-        return d.select(
-            "*",
-            *[F.sum(v).over(w).alias(f"cum_{v}") for v in values],
-            *[F.sum(v).over(group_w).alias(f"all_{v}") for v in values],
-        )
     d = range_bucket(d, order, range_cuts(d, order, buckets))
     by_bucket = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
     sums = d.groupBy(*groups, "_bucket").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])

@@ -186,14 +186,14 @@ occ AS (
   SELECT doc_id, pos, coalesce(lag(w, 2) OVER d, '') AS w1, coalesce(lag(w, 1) OVER d, '') AS w2,
          w AS w3 FROM tok WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
 one AS (
-  SELECT o.*, coalesce(kn.p, 1.0::DOUBLE / 50257.0::DOUBLE) AS p1, bi.c AS c2, bc.ct AS ct2, bc.cf AS cf2,
+  SELECT o.*, coalesce(kn.p, 1.0::DOUBLE / (SELECT count(DISTINCT w) FROM tok)::DOUBLE) AS p1, bi.c AS c2, bc.ct AS ct2, bc.cf AS cf2,
          tri.c AS c3, tc.ct AS ct3, tc.cf AS cf3
   FROM occ o LEFT JOIN kn ON kn.token = o.w3
   LEFT JOIN bi ON bi.w1 = o.w2 AND bi.w2 = o.w3 LEFT JOIN bi_ctx bc ON bc.w1 = o.w2
   LEFT JOIN tri ON tri.w1 = o.w1 AND tri.w2 = o.w2 AND tri.w3 = o.w3
   LEFT JOIN tri_ctx tc ON tc.w1 = o.w1 AND tc.w2 = o.w2),
 two AS (
-  SELECT *, (coalesce(c2, 0)::DOUBLE + 0.003::DOUBLE) / (coalesce(ct2, 0)::DOUBLE + 0.003::DOUBLE * 50257) AS laplace2,
+  SELECT *, (coalesce(c2, 0)::DOUBLE + 0.003::DOUBLE) / (coalesce(ct2, 0)::DOUBLE + 0.003::DOUBLE * (SELECT count(DISTINCT w) FROM tok)) AS laplace2,
          CASE WHEN ct2 IS NULL THEN p1 ELSE 0.9::DOUBLE * (cf2::DOUBLE / ct2::DOUBLE) * p1
            + CASE WHEN c2 IS NULL THEN 0.0::DOUBLE ELSE greatest(c2::DOUBLE - 0.9::DOUBLE, 0) / ct2::DOUBLE END END AS p2 FROM one),
 token_probs AS (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from originlens.functions.hashing import uniform
 from originlens.operators import ensembles, metrics
 from originlens.plans import duck, views
 from originlens.plans.registry import query
@@ -34,6 +35,20 @@ def n2_weighted_average(spark, sf):
     return rounded(ensembles.weighted_average(test, ensembles.auc_weights(val), "doc_id", carry=["y"]))
 
 
+@query(
+    "n2_weighted_average_nulls",
+    f"""{_WEIGHTS},
+    holes AS (SELECT doc_id, y, model, CASE WHEN {duck.u('hole', 'doc_id', 'model')} >= 0.3 THEN score END AS score FROM test)
+    SELECT doc_id, y, round(sum(weight * score) / sum(weight) FILTER (score IS NOT NULL), 9) AS score
+    FROM holes JOIN weights USING (model) GROUP BY doc_id, y""",
+)
+def n2_weighted_average_nulls(spark, sf):
+    """Three tenths of the scores are NULL: the mean is over the others."""
+    val, test = _sides(spark, sf)
+    holes = test.withColumn("score", F.when(uniform("hole", "doc_id", "model") >= 0.3, F.col("score")))
+    return rounded(ensembles.weighted_average(holes, ensembles.auc_weights(val), "doc_id", carry=["y"]))
+
+
 @query(
     "n2_weighted_ensemble_metrics",
     f"""{_WEIGHTED}, {duck.auc('ens', '', 'ea')}, {duck.curve('ens', '', 'curve')},
@@ -92,7 +107,8 @@ def n5_stacked_scores(spark, sf):
 @query(
     "n6_vote_scores",
     f"""WITH {duck.SCORES} SELECT doc_id, y, max(score) AS max_score,
-    round(exp(avg(ln(greatest(score, 1e-12)))), 9) AS geometric_mean FROM scores GROUP BY doc_id, y""",
+    CASE WHEN min(score) > 0 THEN round(exp(avg(CASE WHEN score > 0 THEN ln(score) END)), 9)
+         WHEN min(score) = 0 THEN 0 END AS geometric_mean FROM scores GROUP BY doc_id, y""",
 )
 def n6_vote_scores(spark, sf):
     return rounded(ensembles.vote_scores(views.scores(spark, sf), "doc_id", carry=["y"]))

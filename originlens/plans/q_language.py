@@ -33,13 +33,15 @@ def g2_ngram_counts(spark, sf):
     f"""WITH {duck.GRAMS}, b AS (SELECT {duck.words('text')} AS t FROM benchmark),
     target AS (SELECT DISTINCT w1, w2 FROM (
       SELECT unnest(list_slice(t, 1, len(t) - 1)) AS w1, unnest(list_slice(t, 2, len(t))) AS w2 FROM b))
-    SELECT w1, w2, {duck.single('(coalesce(bi.c, 0) + 0.003::DOUBLE) / (coalesce(x.ct, 0) + 0.003::DOUBLE * 50257)')} AS p
+    SELECT w1, w2, {duck.single('(coalesce(bi.c, 0) + 0.003::DOUBLE) / (coalesce(x.ct, 0) + 0.003::DOUBLE * (SELECT count(DISTINCT w) FROM tok))')} AS p
     FROM target LEFT JOIN bi USING (w1, w2) LEFT JOIN bi_ctx x USING (w1)""",
 )
 def g3_laplace_prob(spark, sf):
     """Bigrams of the benchmark texts under the counts of the documents."""
     targets = ngram.raw_counts(views.table(spark, sf, "benchmark"), 2).select("w1", "w2")
-    return single(ngram.laplace_prob(targets, ngram.raw_counts(views.texts(spark, sf), 2), 2), "p")
+    d = views.texts(spark, sf)
+    words = ngram.raw_counts(d, 1).count()
+    return single(ngram.laplace_prob(targets, ngram.raw_counts(d, 2), 2, words), "p")
 
 
 @query("g4_kneser_ney_unigram", f"WITH {duck.GRAMS} SELECT token, n_pred, {duck.single('p')} AS p FROM kn")

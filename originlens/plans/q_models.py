@@ -6,8 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from originlens.functions.hashing import uniform
-from originlens.operators import ensembles, features, models
+from originlens.operators import ensembles, features, models, ngram
 from originlens.operators.metrics import model_summary
+from originlens.operators.sampling import holdout_permutation
 from originlens.plans import duck, views
 from originlens.plans.registry import query
 from originlens.plans.views import SCORE_MODELS, rounded
@@ -21,13 +22,20 @@ def _stacked(spark, sf):
     )
 
 
-def _feature_table(spark, sf):
-    """doc_id, y, features: the 100 fixed features of labelled documents, scaled by train statistics."""
-    long = features.custom_features(views.probs(spark, sf), "doc_id")
+def _feature_table(spark, sf, seed="report"):
+    """doc_id, y, part, features: the 100 fixed features of labelled documents.
+
+    The split comes first; the n-gram model and the scaling are learned without the test documents."""
     labels = views.doc_labels(spark, sf).select("doc_id", "y")
-    long = materialise(long.join(labels.select("doc_id"), "doc_id", "left_semi"), "features")
-    z = features.zscore(long, long, ["series", "stat"]).select("doc_id", "series", "stat", F.col("z").alias("value"))
-    return materialise(features.feature_matrix(z, "doc_id").join(labels, "doc_id"), "matrix")
+    parts = materialise(holdout_permutation(labels, seed, 0.8, "doc_id"), "parts")
+    test = parts.filter("part = 'test'").select("doc_id")
+    texts = views.texts(spark, sf)
+    model = ngram.fit(texts.join(test, "doc_id", "left_anti"))
+    scored = ngram.score_documents(texts.join(parts.select("doc_id"), "doc_id", "left_semi"), model, "doc_id")
+    long = materialise(features.custom_features(ngram.probability_vectors(scored, "doc_id"), "doc_id"), "features")
+    z = features.zscore(long, long.join(test, "doc_id", "left_anti"), ["series", "stat"])
+    z = z.select("doc_id", "series", "stat", F.col("z").alias("value"))
+    return materialise(features.feature_matrix(z, "doc_id").join(parts, "doc_id"), "matrix")
 
 
 def _score_features(spark, sf):

@@ -67,18 +67,15 @@ def h4_knn_score(spark, sf):
 @query(
     "h5_reference_ranking_score",
     f"""WITH {duck.EMB},
-    refs AS (
-      SELECT * FROM (SELECT *, {duck.shuffled('refs', 'vec_id', 'y')} AS rn FROM train) WHERE rn <= 100),
     sims AS (
-      SELECT q.vec_id, q.y, r.y AS ry, list_dot_product(q.v, r.v) AS s FROM unit q JOIN refs r ON true)
+      SELECT q.vec_id, q.y, r.y AS ry, list_dot_product(q.v, r.v) AS s FROM unit q JOIN train r ON true)
     SELECT vec_id, y, round(greatest(least(0.5::DOUBLE * (coalesce(avg(s) FILTER (ry = 1), 0)
            - coalesce(avg(s) FILTER (ry = 0), 0) + 1), 1), 0), 9) AS score
     FROM sims GROUP BY vec_id, y""",
 )
 def h5_reference_ranking_score(spark, sf):
     train, _ = views.emb_sides(spark, sf)
-    refs = neighbors.sample_references(train, "refs", 200)
-    scored = neighbors.reference_ranking_score(refs, views.emb(spark, sf))
+    scored = neighbors.reference_ranking_score(train, views.emb(spark, sf))
     return rounded(scored.select("vec_id", "y", "score"))
 
 

@@ -11,7 +11,6 @@ from originlens.functions.text import strip, words
 
 # File names a training folder may hold, in order of preference.
 TRAIN_NAMES = ["train_essays.csv", "train_essays.parquet", "train.csv", "train.parquet"]
-NUM_TOKENS = 2047
 # Fixed value: the mark that stands for a space in byte-level tokens.
 SPACE_MARK = "Ġ"
 
@@ -46,12 +45,18 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
-    """CSV with a header and quoted texts that may span lines."""
-    return (
-        spark.read.schema(schema)
-        .options(header=True, multiLine=True, quote='"', escape='"', sep=sep)
-        .csv(path)
-    )
+    """CSV with a header and quoted texts that may span lines.
+
+    Columns go by the names in the header, in whatever order; others are ignored, a missing one is an
+    error. Convert such a file to Parquet once: a text that spans lines keeps a file from being split."""
+    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"', sep=sep)
+    names = reader.csv(path).columns
+    lacking = [f.name for f in schema if f.name not in names]
+    if lacking:
+        raise ValueError(f"{path} has no column {', '.join(lacking)}")
+    own = {f.name: f for f in schema}
+    found = T.StructType([own.get(n, T.StructField(n, T.StringType())) for n in names])
+    return reader.schema(found).csv(path).select(*[f"`{f.name}`" for f in schema])
 
 
 def read_any(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
@@ -76,18 +81,20 @@ def rename_foreign(df: DataFrame) -> DataFrame:
 
 
 def read_text_dir(spark: SparkSession, path: str, pattern: str = r"([^/]+)\.txt$") -> DataFrame:
-    """id, text: one row per file; ``pattern`` captures the id in the file path."""
+    """id, text: one row per file; ``pattern`` captures the id in the file path, which Spark gives in URL form."""
+    coded = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+    plain = F.url_decode(F.replace(coded, F.lit("+"), F.lit("%2B")))
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).alias("id"), F.col("value").alias("text")
+        plain.alias("id"), F.col("value").alias("text")
     )
 
 
-def parse_token_logprobs(content, num_tokens: int = NUM_TOKENS):
+def parse_token_logprobs(content, num_tokens: int | None = None):
     """STRUCT<tokens, probs> of ``token logprob`` lines.
 
     A token that is itself white space leaves one part in its line: the token becomes one
     space mark per blank-separated piece of the line, the part is the log-probability. All
-    tokens are kept, of the probabilities the first ``num_tokens``.
+    tokens are kept, of the probabilities the first ``num_tokens`` if that is given.
     """
     c = F.col(content) if isinstance(content, str) else content
     lines = F.filter(F.split(c, "\n"), lambda line: strip(line) != "")
@@ -99,12 +106,13 @@ def parse_token_logprobs(content, num_tokens: int = NUM_TOKENS):
         return F.struct(token.alias("t"), F.element_at(parts, -1).cast("double").alias("lp"))
 
     parsed = F.transform(lines, entry)
-    probs = F.transform(F.slice(parsed, 1, num_tokens), lambda x: F.exp(x["lp"]))
+    read = parsed if num_tokens is None else F.slice(parsed, 1, num_tokens)
+    probs = F.transform(read, lambda x: F.exp(x["lp"]))
     return F.struct(parsed["t"].alias("tokens"), probs.alias("probs"))
 
 
 def read_token_logprobs(
-    spark: SparkSession, path: str, model: str, num_tokens: int = NUM_TOKENS, pattern: str | None = None
+    spark: SparkSession, path: str, model: str, num_tokens: int | None = None, pattern: str | None = None
 ) -> DataFrame:
     """id, tokens, probs from the files ``{id}-{model}.txt``."""
     own = read_text_dir(spark, path, pattern or rf"([^/]+)-{model}\.txt$").filter("id != ''")

@@ -22,16 +22,16 @@ def score_drift(
     schema: T.StructType,
     target: str,
     checkpoint: str,
+    watermark: str,
     ts: str = "ts",
     score: str = "score",
     threshold: float = 0.5,
     window: str = "1 day",
-    watermark: str = "1 hour",
     files_per_batch: int | None = None,
 ) -> DataFrame:
     """Keep ``target`` up to date with the drift table of an arriving stream.
 
-    Rows later than the watermark are dropped. Changed windows are written per micro-batch
+    ``watermark`` is how late a row may be; a later one no longer changes its window. Changed windows are written per micro-batch
     into the batch's own folder (a repeated batch replaces it); the newest version of a window counts.
     """
     reader = spark.readStream.schema(schema)

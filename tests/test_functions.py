@@ -1,5 +1,7 @@
 """Text and vector expressions against plain Python."""
 
+import re
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -56,27 +58,38 @@ def test_clean_response(spark, raw, want):
     assert one(spark, tx.clean_response("t"), t=raw) == want
 
 
-def pack(text, limit):
-    """Greedy packing, as a loop."""
-    if len(text) <= limit:
-        return [text]
-    chunks, held, size = [], [], 0
-    for s in (p.strip() for p in text.replace("!", ".").replace("?", ".").split(".")):
-        if not s:
+@pytest.mark.parametrize(
+    "text, limit, want",
+    [
+        ("It fits. Whole!", 40, ["It fits. Whole!"]),
+        ("Aa bb. Cc! Dd? Ee.", 12, ["Aa bb. Cc.", "Dd. Ee."]),
+        ("...!!!", 5, []),
+        ("One. " + "x" * 30 + ". Two.", 10, ["One.", "x" * 30 + ".", "Two."]),
+    ],
+)
+def test_pack_sentences_by_hand(spark, text, limit, want):
+    assert one(spark, tx.pack_sentences("t", limit), t=text) == want
+
+
+@settings(max_examples=30, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.lists(st.text("abc xyz", min_size=1, max_size=9), max_size=12), st.sampled_from(".!?")), min_size=1, max_size=6), st.integers(4, 40))
+def test_pack_sentences_properties(spark, paragraphs, limit):
+    texts = [f"{end} ".join(parts) + end for parts, end in paragraphs]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", tx.pack_sentences("t", limit).alias("c")).collect():
+        text = texts[r.i]
+        if len(text) <= limit:
+            assert r.c == [text]
             continue
-        if size + len(s) + 2 <= limit:
-            held, size = [*held, s], size + len(s) + 2
-        else:
-            if held:
-                chunks.append(". ".join(held) + ".")
-            held, size = [s], len(s)
-    return [*chunks, ". ".join(held) + "."] if held else chunks
-
-
-@pytest.mark.parametrize("limit", [5, 12, 30, 1000])
-def test_pack_sentences(spark, limit):
-    for t in ["Hi there. You! Why? " * 4, "x" * 50, "...!!!", "a. bb. " + "c" * 40 + ". d"]:
-        assert one(spark, tx.pack_sentences("t", limit), t=t) == pack(t, limit)
+        inside = [[p for p in (x.strip() for x in c.split(".")) if p] for c in r.c]
+        # every sentence, in order, once
+        assert [p for c in inside for p in c] == [p for p in (x.strip() for x in re.split("[.!?]", text)) if p]
+        for chunk, parts in zip(r.c, inside):
+            assert chunk == ". ".join(parts) + "."
+            assert len(chunk) <= limit + 1 or len(parts) == 1  # the last mark is not counted
+        # a chunk is closed only when the next sentence and its mark would not fit
+        for left, right in zip(inside, inside[1:]):
+            assert sum(len(p) + 2 for p in left) + len(right[0]) > limit - 2
 
 
 def test_overlap_and_truncation(spark):

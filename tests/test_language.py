@@ -15,8 +15,8 @@ NEW = ["the cat flew", "zebra", "a dog sat on the cat"]
 class Model:
     """Back-off model written down as loops over token lists."""
 
-    def __init__(self, docs, v=50257, d=0.9):
-        self.v, self.d = v, d
+    def __init__(self, docs, v=None, d=0.9):
+        self.v, self.d = v or len({w for t in docs for w in t}), d
         self.counts = {n: Counter(tuple(t[i : i + n]) for t in docs for i in range(len(t) - n + 1)) for n in (2, 3)}
         self.ctx = {n: defaultdict(Counter) for n in (2, 3)}
         for n in (2, 3):
@@ -67,7 +67,7 @@ def test_counts_stay_inside_documents(spark):
 def test_laplace(spark):
     counts = ngram.raw_counts(texts(spark, TEXTS), 2)
     targets = spark.createDataFrame([("the", "cat"), ("the", "x"), ("q", "x")], "w1 string, w2 string")
-    got = {(r.w1, r.w2): r.p for r in ngram.laplace_prob(targets, counts, 2, 0.003, 100).collect()}
+    got = {(r.w1, r.w2): r.p for r in ngram.laplace_prob(targets, counts, 2, 100, 0.003).collect()}
     assert got == pytest.approx({("the", "cat"): 2.003 / 6.3, ("the", "x"): 0.003 / 6.3, ("q", "x"): 0.003 / 0.3})
 
 

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from originlens.operators import ensembles, metrics
@@ -75,9 +76,31 @@ def test_bucketed_running_totals_equal_plain_ones(spark, descending):
     rows = [(("a" if i % 10 else "b") if i % 7 else None, float(v), int(i)) for i, v in enumerate(rng.exponential(0.01, 3000))]
     df = spark.createDataFrame(rows, "g string, v double, n int").dropDuplicates(["g", "v"])
     args = (["g"], "v", ["n"], descending)
-    plain = running_totals(df, *args).orderBy("g", "v").collect()
-    cut = running_totals(df, *args, buckets=16, one_task_rows=0).orderBy("g", "v").collect()
-    assert plain == cut and len(plain) == df.count()
+    order = F.col("v").desc() if descending else F.col("v").asc()
+    whole = Window.partitionBy("g")
+    upto = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = df.select("*", F.sum("n").over(upto).alias("cum_n"), F.sum("n").over(whole).alias("all_n"))
+    want = sorted(map(str, plain.collect()))
+    for buckets in (1, 16, 256):
+        got = running_totals(df, *args, buckets=buckets).select("g", "v", "n", "cum_n", "all_n")
+        assert sorted(map(str, got.collect())) == want
+
+
+def test_weights_with_null_scores_and_missing_models(spark):
+    rows = [(1, "a", 0.8), (1, "b", None), (2, "a", 0.5), (2, "b", 0.1), (3, "a", None), (3, "b", None)]
+    df = spark.createDataFrame(rows, "id int, model string, score double")
+    w = spark.createDataFrame([("a", 0.5), ("b", 0.5)], "model string, weight double")
+    got = {r.id: r.score for r in ensembles.weighted_average(df, w).collect()}
+    assert got == {1: 0.8, 2: pytest.approx(0.3), 3: None}
+    with pytest.raises(Exception, match="no weight for model b"):
+        ensembles.weighted_average(df, w.filter("model = 'a'")).collect()
+
+
+def test_votes_of_negative_and_zero_scores(spark):
+    rows = [(1, "a", 0.25), (1, "b", 1.0), (2, "a", -0.1), (2, "b", 0.5), (3, "a", 0.0), (3, "b", 0.5)]
+    df = spark.createDataFrame(rows, "id int, model string, score double")
+    got = {r.id: (r.max_score, r.geometric_mean) for r in ensembles.vote_scores(df).collect()}
+    assert got == {1: (1.0, pytest.approx(0.5)), 2: (0.5, None), 3: (0.5, 0.0)}
 
 
 def test_hash_rank_is_a_permutation_per_group(spark):

@@ -39,6 +39,11 @@ def test_meta_learner_matches_newton(spark, table):
     assert got == pytest.approx({"a": w[0], "b": w[1], "(intercept)": w[2]}, abs=1e-4)
     assert models.fit_meta_learner(wide, ["a"]) is None
     assert models.meta_scores(m, wide, ["a", "b"]).filter("score BETWEEN 0 AND 1").count() == 300
+    holes = wide.selectExpr("id", "y", "if(id % 5 = 0, null, a) AS a", "b")
+    scored = models.meta_scores(m, holes, ["a", "b"])
+    assert scored.count() == 300 and scored.filter("score IS NULL").count() == holes.filter("a IS NULL").count()
+    n = models.incomplete_rows(holes, ["a", "b"]).first()
+    assert (n.n_rows, n.n_incomplete) == (300, holes.filter("a IS NULL").count())
 
 
 @pytest.mark.parametrize("kind", models.KINDS)

@@ -21,6 +21,27 @@ def test_read_any_takes_the_first_that_exists(spark, tmp_path):
         readers.read_any(spark, [str(tmp_path / "none.csv")], readers.ESSAYS)
 
 
+def test_csv_columns_go_by_name(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('text,generated,extra,id,prompt_id\n"a, b",1,z,a7,3\n')
+    row = readers.read_csv(spark, str(tmp_path / "t.csv"), readers.ESSAYS).first()
+    assert tuple(row) == ("a7", 3, "a, b", 1)
+    (tmp_path / "u.csv").write_text("text,id\nx,1\n")
+    with pytest.raises(ValueError, match="prompt_id"):
+        readers.read_csv(spark, str(tmp_path / "u.csv"), readers.ESSAYS)
+
+
+def test_ids_of_files_with_blanks_and_signs(spark, tmp_path):
+    for name in ("my essay", "a+b", "50% é"):
+        (tmp_path / f"{name}.txt").write_text("x")
+    assert sorted(r.id for r in readers.read_text_dir(spark, str(tmp_path)).collect()) == sorted(["my essay", "a+b", "50% é"])
+
+
+def test_all_probabilities_are_kept(spark):
+    df = spark.createDataFrame([("\n".join("w -0.5" for _ in range(2500)),)], "c string")
+    p = df.select(readers.parse_token_logprobs("c").alias("p")).first().p
+    assert len(p.tokens) == len(p.probs) == 2500
+
+
 @pytest.mark.parametrize("sep", [";", ","])
 def test_separator_is_found(spark, tmp_path, sep):
     df = spark.createDataFrame([("текст; один, два", 2001)], "`Текст` string, `Год` int")

@@ -45,7 +45,7 @@ def test_drift_updates_windows_and_drops_late_rows(spark, tmp_path):
 
     def run():
         schema = spark.read.parquet(src).schema
-        t = drift.score_drift(spark, src, schema, str(tmp_path / "out"), str(tmp_path / "ck"), threshold=0.5, window="1 hour", watermark="2 hours")
+        t = drift.score_drift(spark, src, schema, str(tmp_path / "out"), str(tmp_path / "ck"), "2 hours", threshold=0.5, window="1 hour")
         return {r.window_start: (r.n, r.mean_score, r.share_above) for r in t.collect()}
 
     deliver([(day, 0.2), (day + timedelta(minutes=5), 0.8), (day + timedelta(hours=1), 1.0)])
