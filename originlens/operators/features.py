@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from originlens.functions import vectors as V
+from originlens.session import materialise
 
 # The vectors in their published order, and the column each one lives in.
 VECTORS = {
@@ -112,7 +113,8 @@ def _clip(v: Column) -> Column:
 
 def custom_features(df: DataFrame, key: str, compat: bool = False) -> DataFrame:
     """Long form (key, series, stat, value): ten statistics of four vectors and six clipped
-    ratios, after the first 25 tokens of longer texts.
+    ratios, after the first 25 tokens of longer texts. A document without tokens keeps its rows; its
+    values are NULL (0 for the length-based ones).
 
     ``compat`` reads the quantiles as percents (0.25 means the 0.25th percentile), as the
     published feature files do. A series is an array in its row, so there is no shuffle and
@@ -131,7 +133,7 @@ def custom_features(df: DataFrame, key: str, compat: bool = False) -> DataFrame:
     rows = base.select(key, F.explode(F.array(*parts)).alias("p")).select(
         key, "p.series", F.sort_array("p.v").alias("v")
     )
-    rows = rows.filter(F.size("v") > 0).withColumn("avg", V.mean("v"))
+    rows = rows.withColumn("avg", V.mean("v"))
 
     def stat(name: str) -> Column:
         if name == "median":
@@ -139,8 +141,8 @@ def custom_features(df: DataFrame, key: str, compat: bool = False) -> DataFrame:
         if name in QUANTILES:
             return V.quantile("v", QUANTILES[name] * scale)
         return {
-            "min": F.element_at("v", 1),
-            "max": F.element_at("v", -1),
+            "min": F.try_element_at("v", F.lit(1)),
+            "max": F.try_element_at("v", F.lit(-1)),
             "mean": F.col("avg"),
             "l2": V.l2_norm("v"),
             "var": V.variance("v", F.col("avg")),
@@ -161,8 +163,12 @@ def feature_matrix(long: DataFrame, key: str) -> DataFrame:
 
 def zscore(long: DataFrame, train: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Add ``mu``, ``sigma`` (population) and ``z``. The parameters come from ``train`` only;
-    there is one row of them per feature. A constant feature gives 0."""
+    there is one row of them per feature. A constant feature gives 0.
+
+    The parameters are stored first: Spark then knows how few they are when it plans the join, and
+    the rows need not gather by feature."""
     params = train.groupBy(*by).agg(F.avg(value).alias("mu"), F.stddev_pop(value).alias("sigma"))
+    params = materialise(params, "scaling")
     joined = long.join(params, by)
     z = F.when(F.col("sigma") == 0.0, F.lit(0.0)).otherwise((F.col(value) - F.col("mu")) / F.col("sigma"))
     return joined.withColumn("z", z)

@@ -10,22 +10,25 @@ def attach_predictions(labels: DataFrame, preds: DataFrame, key: str = "id", che
     """Labels with the score of the same key.
 
     Scores and labels must cover the same keys once each. With ``check`` a mismatch fails the
-    job that reads the result: the counts are compared inside the plan, so nothing runs early.
+    job that reads the result: both sides are counted per key on their way into one full outer
+    join, and a key that a side lacks or repeats is an error. Nothing runs early or twice.
     """
-    joined = labels.join(preds, key, "inner")
     if not check:
-        return joined
-    counts = (
-        labels.agg(F.count(F.lit(1)).alias("n_labels"))
-        .withColumn("n_preds", preds.agg(F.count(F.lit(1))).scalar())
-        .withColumn("n_joined", joined.agg(F.count(F.lit(1))).scalar())
-    )
+        return labels.join(preds, key, "inner")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rest = F.struct(*[F.col(c) for c in df.columns if c != key] or [F.lit(1).alias("_")])
+        return df.groupBy(key).agg(F.count(F.lit(1)).alias(f"_n_{name}"), F.first(rest).alias(f"_{name}"))
+
+    joined = side(labels, "labels").join(side(preds, "preds"), key, "full_outer")
+    n = [F.coalesce(c, F.lit(0)) for c in ("_n_labels", "_n_preds")]
     wrong = F.concat_ws(
-        " ", F.lit("labels, predictions, matches:"), F.col("n_labels"), F.col("n_preds"), F.col("n_joined")
+        " ", F.lit("labels, predictions, matches: key"), F.col(key).cast("string"), F.lit("occurs"), *[x.cast("string") for x in n]
     )
-    ok = (F.col("n_labels") == F.col("n_preds")) & (F.col("n_labels") == F.col("n_joined"))
-    verdict = counts.select(F.when(ok, F.lit(True)).otherwise(F.raise_error(wrong).cast("boolean")))
-    return joined.filter(verdict.scalar())
+    # the check is part of a column that every result has, so it cannot be pruned
+    checked = F.when((n[0] == 1) & (n[1] == 1), F.col(key)).otherwise(F.raise_error(wrong).cast(labels.schema[key].dataType))
+    own = [F.col(f"_labels.{c}") for c in labels.columns if c != key]
+    return joined.select(checked.alias(key), *own, *[F.col(f"_preds.{c}") for c in preds.columns if c != key])
 
 
 def resume_missing(todo: DataFrame, done: DataFrame, n_variations: int) -> DataFrame:

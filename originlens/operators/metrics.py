@@ -259,13 +259,14 @@ def class_distribution(df: DataFrame, label: str = "y", groups: list[str] | None
 
 
 def orient_scores(df: DataFrame, groups: list[str], score: str = "score", label: str = "y") -> DataFrame:
-    """Negate the scores of a group whose AUC is below one half; ``flipped`` tells."""
+    """Negate the scores of a group whose AUC is below one half; ``flipped`` tells.
+
+    Groups are models: their decisions go in as one map. A join on the model would gather all scores of
+    a model in one task."""
     auc = roc_auc(df, groups, score, label)
-    flip = F.coalesce(F.col("roc_auc") < 0.5, F.lit(False))
-    return (
-        null_safe_join(df, auc, groups)
-        .withColumn("flipped", flip)
-        .withColumn(score, F.when(flip, -F.col(score)).otherwise(F.col(score)))
-        .drop("roc_auc")
-    )
+    entry = F.struct(F.struct(*groups), F.coalesce(F.col("roc_auc") < 0.5, F.lit(False)))
+    by_group = auc.agg(F.map_from_entries(F.collect_list(entry)))
+    flip = F.coalesce(F.try_element_at(by_group.scalar(), F.struct(*groups)), F.lit(False))
+    flipped = df.withColumn("flipped", flip)
+    return flipped.withColumn(score, F.when(F.col("flipped"), -F.col(score)).otherwise(F.col(score)))
 

@@ -204,11 +204,16 @@ def score_documents(df: DataFrame, model: NgramModel, key: str, text: str = "tex
     return met.filter(F.col("p3").isNotNull()).select(*out).unionByName(rest.select(*out))
 
 
-def probability_vectors(scored: DataFrame, key: str) -> DataFrame:
-    """One row per document with an ARRAY<DOUBLE> per series, in token order."""
+def probability_vectors(scored: DataFrame, key: str, docs: DataFrame | None = None) -> DataFrame:
+    """One row per document with an ARRAY<DOUBLE> per series, in token order.
+
+    ``docs``: all documents, by ``key``; those without a token, which have no scored row, get empty arrays."""
     rows = scored.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("pos", "p1", "p2", "laplace2", "p3"))).alias("_r")
     )
+    if docs is not None:
+        rows = docs.select(key).join(rows, key, "left")
+        rows = rows.withColumn("_r", F.coalesce("_r", F.array().cast(rows.schema["_r"].dataType)))
     return rows.select(
         key,
         F.col("_r.p2").alias("llm1"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from originlens.functions.text import strip
 from originlens.operators.ranking import hash_rank, null_safe_join
+from originlens.session import materialise
 
 # What a detection row shows when its pair lacks the column.
 PAIR_DEFAULTS = {"source": "unknown", "year": 2020, "prompt_name": "unknown"}
@@ -78,12 +79,14 @@ def concat_splits(splits: dict[str, DataFrame]) -> DataFrame:
 
 
 def text_overlap(train: DataFrame, test: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct texts in both tables. Hashes are matched first, so the long texts travel only
-    where a hash is shared; equal hashes are then compared as texts."""
+    """Distinct texts in both tables. Hashes are matched first and the shared ones stored, so their size
+    is known: while it allows a broadcast, only texts with a shared hash are shuffled; else all are.
+    Equal hashes are then compared as texts."""
     def hashed(df):
         return df.select(F.xxhash64(text).alias("_h"), F.col(text)).filter(F.col(text).isNotNull())
 
     shared = hashed(train).select("_h").distinct().join(hashed(test).select("_h").distinct(), "_h", "left_semi")
+    shared = materialise(shared, "shared-hashes")
     a = hashed(train).join(shared, "_h", "left_semi").select(text).distinct()
     b = hashed(test).join(shared, "_h", "left_semi").select(text).distinct()
     return a.join(b, text, "left_semi")

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from originlens.functions.hashing import uniform
-from originlens.operators import ensembles, metrics
+from originlens.functions.vectors import l2_normalize
+from originlens.operators import ensembles, metrics, models, neighbors
+from originlens.operators.leakage import scored_queries
 from originlens.plans import duck, views
 from originlens.plans.registry import query
 from originlens.plans.views import SCORE_MODELS, rounded
+from originlens.session import materialise
 
 _V = f"""WITH {duck.SCORES}, val AS (SELECT * FROM scores WHERE split = 'val'),
 test AS (SELECT * FROM scores WHERE split = 'test')"""
@@ -112,3 +115,78 @@ def n5_stacked_scores(spark, sf):
 )
 def n6_vote_scores(spark, sf):
     return rounded(ensembles.vote_scores(views.scores(spark, sf), "doc_id", carry=["y"]))
+
+
+_E2E = f"""WITH {duck.EMB}, {duck.knn('near', 'train', 'query')}, {duck.knn_scored('scored', 'near', 'train', 'query')},
+part AS (SELECT vec_id, y, v, CASE WHEN {duck.u('e2e', 'vec_id')} < 0.5 THEN 'val' ELSE 'test' END AS part FROM query),
+sims AS (SELECT q.vec_id, r.y AS ry, list_dot_product(q.v, r.v) AS s FROM part q JOIN train r ON true),
+rank_s AS (
+  SELECT vec_id, greatest(least(0.5::DOUBLE * (coalesce(avg(s) FILTER (ry = 1), 0) - coalesce(avg(s) FILTER (ry = 0), 0) + 1), 1), 0) AS score
+  FROM sims GROUP BY vec_id),
+known AS (
+  SELECT p.vec_id, p.y, p.part, 'knn' AS model, round(s.score, 7) AS score FROM part p JOIN scored s ON s.qid = p.vec_id
+  UNION ALL SELECT p.vec_id, p.y, p.part, 'ranking', round(r.score, 7) FROM part p JOIN rank_s r USING (vec_id)
+  UNION ALL SELECT vec_id, y, part, 'axis', round((v[1] + 1) / 2, 7) FROM part WHERE part = 'test'),
+m_b AS (SELECT avg(score) AS mu, stddev_pop(score) AS sd FROM known WHERE model = 'knn' AND part = 'test'),
+m_t AS (SELECT avg(score) AS mu, stddev_pop(score) AS sd FROM known WHERE model = 'axis'),
+val AS (
+  SELECT vec_id, y, model, score FROM known WHERE part = 'val'
+  UNION ALL SELECT vec_id, y, 'axis', round(greatest(least((score - b.mu) / (b.sd + 1e-8::DOUBLE) * t.sd + t.mu, 1), 0), 7)
+  FROM known, m_b b, m_t t WHERE model = 'knn' AND part = 'val'),
+{duck.auc('val')},
+weights AS (
+  SELECT model, w / sum(w) OVER () AS weight FROM (SELECT model, greatest(roc_auc - 0.5, 0.01) AS w FROM auc)),
+test AS (SELECT vec_id, y, model, score FROM known WHERE part = 'test'),
+ens AS (
+  SELECT vec_id, y, 'ensemble' AS model, round(sum(weight * score) / sum(weight), 7) AS score
+  FROM test JOIN weights USING (model) GROUP BY vec_id, y),
+every AS (SELECT * FROM test UNION ALL SELECT vec_id, y, model, score FROM ens),
+{duck.auc('every', 'model', 'ea')}, {duck.curve('every')},
+best AS (
+  SELECT model, score AS threshold, tn, fp, fn, tp FROM (
+    SELECT model, score, tp, fp, n_pos - tp AS fn, n_neg - fp AS tn,
+           row_number() OVER (PARTITION BY model ORDER BY {duck.F1_SCORE} DESC, score) AS rn FROM curve) WHERE rn = 1)
+SELECT model, round(roc_auc, 9) AS roc_auc, threshold, tn, fp, fn, tp, {duck.RATES}, round(coalesce(weight, 1), 9) AS weight
+FROM best JOIN ea USING (model) LEFT JOIN weights USING (model)"""
+
+
+def _evaluated(spark, sf):
+    """Scores of three models on val and test rows: neighbours, references, and one with test scores only,
+    whose val scores are stand-ins."""
+    train, q = views.emb_sides(spark, sf)
+    q = q.withColumn("part", F.when(uniform("e2e", "vec_id") < 0.5, "val").otherwise("test"))
+    near = scored_queries(neighbors.knn_cosine(train, q, 5), train, q).select(F.col("qid").alias("vec_id"), "score")
+    knn = q.select("vec_id", "y", "part").join(near, "vec_id")
+    ranking = neighbors.reference_ranking_score(train, q).select("vec_id", "y", "part", "score")
+    unit = l2_normalize(F.transform("embedding", lambda x: x.cast("double")))
+    axis = q.filter("part = 'test'").select("vec_id", "y", "part", ((unit[0] + 1) / 2).alias("score"))
+    known = knn.withColumn("model", F.lit("knn")).unionByName(ranking.withColumn("model", F.lit("ranking")))
+    known = materialise(rounded(known.unionByName(axis.withColumn("model", F.lit("axis"))), 7, "score"), "model-scores")
+
+    def of(model, part):
+        return known.filter((F.col("model") == model) & (F.col("part") == part))
+
+    moved = ensembles.moment_match(of("knn", "val"), of("knn", "test"), of("axis", "test"))
+    stand_in = rounded(moved.withColumn("model", F.lit("axis")).drop("imputed"), 7, "score")
+    return known.filter("part = 'val'").unionByName(stand_in), known.filter("part = 'test'")
+
+
+@query("e2e_evaluation", _E2E)
+def e2e_evaluation(spark, sf):
+    """The evaluation chain in one query: neighbour and reference scores, a stand-in for a model without val
+    scores, weights from val, the weighted mean on test, and every model's metrics beside it."""
+    val, test = _evaluated(spark, sf)
+    weights = materialise(ensembles.auc_weights(val).select("model", "weight"), "weights")
+    ens = rounded(ensembles.weighted_average(test, weights, "vec_id", carry=["y"]), 7, "score")
+    rows = test.drop("part").unionByName(ens.withColumn("model", F.lit("ensemble")))
+    out = metrics.model_summary(rows, ["model"]).join(weights, "model", "left")
+    return rounded(out.withColumn("weight", F.coalesce("weight", F.lit(1.0))))
+
+
+@query("e2e_meta_learner")
+def e2e_meta_learner(spark, sf):
+    """The meta-learner fitted on val rows, stand-ins included, with its metrics on test rows."""
+    models_ = ["axis", "knn", "ranking"]
+    val, test = (ensembles.stacked_scores(d, models_, "vec_id", carry=["y"]) for d in _evaluated(spark, sf))
+    fitted = models.fit_meta_learner(materialise(val, "stacked-val"), models_)
+    return rounded(metrics.model_summary(models.meta_scores(fitted, test, models_)))

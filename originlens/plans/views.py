@@ -104,9 +104,18 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 _STORED: dict[tuple, object] = {}
 
 
+def _state(spark: SparkSession, sf: str) -> tuple:
+    """Names, lengths and times of the files of the documents."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def _once(spark: SparkSession, key: tuple, build: Callable[[], object]):
-    """The result of ``build``, made once per application; it must live in stored tables."""
-    key = (spark.sparkContext.applicationId, *key)
+    """The result of ``build``, made once per application and state of the documents; it must live in
+    stored tables. Files that are changed, added or removed make it anew."""
+    key = (spark.sparkContext.applicationId, *key, _state(spark, key[-1]))
     if key not in _STORED:
         _STORED[key] = build()
     return _STORED[key]
@@ -122,7 +131,8 @@ def probs(spark: SparkSession, sf: str) -> DataFrame:
 
     def build():
         scored = ngram.score_documents(texts(spark, sf), language_model(spark, sf), "doc_id")
-        return materialise(ngram.probability_vectors(scored, "doc_id"), "probability-vectors")
+        ids = table(spark, sf, "documents").select("doc_id")
+        return materialise(ngram.probability_vectors(scored, "doc_id", ids), "probability-vectors")
 
     return _once(spark, ("probs", sf), build)
 

@@ -8,10 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "originlens", cores: str = "*", partitions: int = 8) -> SparkSession:
-    """A local session for tests and benchmarks; a cluster brings its own session."""
-    return (
-        SparkSession.builder.master(f"local[{cores}]")
+def build_session(
+    app: str = "originlens", cores: str = "*", partitions: int = 8, checkpoint_dir: str | None = None
+) -> SparkSession:
+    """A local session for tests and benchmarks; a cluster brings its own session.
+
+    ``checkpoint_dir`` overrides the ``spark.checkpoint.dir`` of Spark's defaults. Without either, this one
+    machine gets a temporary folder of its own."""
+    builder = SparkSession.builder
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    spark = (
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -20,19 +28,16 @@ def build_session(app: str = "originlens", cores: str = "*", partitions: int = 8
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="originlens-"))
+    return spark
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the one the cluster names in ``spark.checkpoint.dir``.
-
-    A machine-local temporary folder is used only on a local master with the setting unset.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder below the one the session names in ``spark.checkpoint.dir``, which must be set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="originlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/originlens/{name}-{uuid.uuid4().hex}"
 
 
