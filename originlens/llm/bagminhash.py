@@ -140,12 +140,32 @@ def _alike(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
-def unresolved(members: DataFrame, roots: DataFrame, sigs: DataFrame, slack: float = SLACK) -> DataFrame:
-    """Candidate links a, b inside buckets whose members are not yet in one component.
+def _forest(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[int]:
+    """Positions in (a, b) of links that join all components the links connect; ``c``: the component of each row."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    _, first = np.unique(np.stack([c[a], c[b]], axis=1), axis=0, return_index=True)
+    out = []
+    for i in first.tolist():
+        x, y = find(int(c[a[i]])), find(int(c[b[i]]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append(i)
+    return out
+
+
+def loose_links(members: DataFrame, roots: DataFrame, sigs: DataFrame, slack: float = SLACK) -> DataFrame:
+    """a, b: roots of components that may belong together, for their members' signatures in a bucket are alike.
 
     Members of one component need no further link between them, so most buckets, and all that hold one
     group of copies, end here. The rest are compared by signature, ``BLOCK`` against ``BLOCK`` rows at a
-    time: a large bucket spreads over tasks by pairs of its blocks, and only alike pairs are returned.
+    time: a large bucket spreads over tasks by pairs of its blocks. Only links that join components are
+    returned, fewer than there are rows.
     """
     m = members.filter("n > 2").join(roots.withColumnRenamed("root", "c"), "node", "left")
     m = m.withColumn("c", F.coalesce("c", "node"))
@@ -154,24 +174,95 @@ def unresolved(members: DataFrame, roots: DataFrame, sigs: DataFrame, slack: flo
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     m = m.withColumn("_i", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     m = m.withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    m = m.select("band", "key", F.least("_i", "_j").alias("lo"), F.greatest("_i", "_j").alias("hi"), "_i", "node", "hub", "c", "sig")
+    m = m.select("band", "key", F.least("_i", "_j").alias("lo"), F.greatest("_i", "_j").alias("hi"), "_i", "c", "sig")
 
     def compare(t):
         import pyarrow as pa
 
-        node, c, hub, i = (t.column(x).to_numpy() for x in ("node", "c", "hub", "_i"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(node), -1)
-        lo, hi = t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
-        p, q = np.flatnonzero(i == lo), np.flatnonzero(i == hi)
+        c, i = t.column("c").to_numpy(), t.column("_i").to_numpy()
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(c), -1)
+        p, q = np.flatnonzero(i == t.column("lo")[0].as_py()), np.flatnonzero(i == t.column("hi")[0].as_py())
         ij = _alike(sig[p], sig[q], slack)
         a, b = p[ij[:, 0]], q[ij[:, 1]]
-        keep = (c[a] != c[b]) & (node[a] < node[b] if lo == hi else True) & (node[a] != hub[a]) & (node[b] != hub[b])
-        a, b = node[a[keep]], node[b[keep]]
+        keep = c[a] != c[b]
+        a, b = a[keep], b[keep]
+        at = _forest(a, b, c)
+        a, b = c[a[at]], c[b[at]]
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     return m.groupBy("band", "key", "lo", "hi").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _overlaps(bags: list[tuple[np.ndarray, np.ndarray]], p: np.ndarray, q: np.ndarray, slab: int = 4096) -> np.ndarray:
+    """Multiset overlaps of all bags ``p`` with all bags ``q``: a shingle that occurs k times stands for k
+    elements; products of 0/1 matrices, a slab of shared elements at a time."""
+    with np.errstate(over="ignore"):
+        each = []
+        for x, c in bags:
+            copy = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+            each.append(np.repeat(x, c) + copy.astype(np.uint64) * GOLDEN)
+    row = np.repeat(np.arange(len(bags)), [len(e) for e in each])
+    _, col, df = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+    number = np.cumsum(df > 1) - 1
+    shared = df[col] > 1
+    row, col = row[shared], number[col[shared]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    total = np.zeros((len(p), len(q)), np.float32)
+    width = int(col[-1]) + 1 if len(col) else 0
+    for at in range(0, width, slab):
+        i, j = np.searchsorted(col, [at, at + slab])
+        dense = np.zeros((len(bags), min(slab, width - at)), np.float32)
+        dense[row[i:j], col[i:j] - at] = 1
+        total += dense[p] @ dense[q].T
+    return total
+
+
+def settle(loose: DataFrame, nodes: DataFrame, roots: DataFrame, fetch, least: float) -> DataFrame:
+    """a, b: verified links between nodes of different components that ``loose`` holds possible.
+
+    Components that hang together loosely are one cluster. In a cluster, all nodes outside its largest
+    component are compared with each other and with that component's nodes, by whole multisets, ``BLOCK``
+    / 2 against as many at a time; a large cluster spreads over tasks by pairs of blocks. Only links that
+    join components are returned. ``fetch``: multisets (node, x, c) of given nodes."""
+    cluster = components(loose).select(F.col("node").alias("root"), F.col("root").alias("cluster"))
+    m = nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(cluster, "root")
+    per = m.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("k"))
+    most = per.groupBy("cluster").agg(F.max(F.struct("k", "root")).alias("big"), F.sum("k").alias("n"))
+    m = m.join(most, "cluster")
+    size = BLOCK // 2
+    outer, inner = (F.ceil(x / size).cast("int") for x in (F.col("n") - F.col("big.k"), F.col("big.k")))
+    is_big = F.col("root") == F.col("big.root")
+    m = m.select(
+        "cluster", "node", "root", outer.alias("outer"), inner.alias("inner"), is_big.alias("is_big"),
+        F.when(is_big, outer + F.pmod(F.xxhash64("node"), inner)).otherwise(F.pmod(F.xxhash64("node"), outer)).cast("int").alias("i"),
+    )
+    others = F.sequence(F.lit(0), F.when(F.col("is_big"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1)
+    wanted = materialise(m, "cluster-nodes")
+    m = wanted.withColumn("j", F.explode(others)).join(fetch(wanted.select("node")), "node")
+    m = m.select("cluster", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "root", "x", "c")
+
+    def compare(t):
+        import pyarrow as pa
+
+        node, root, i = (t.column(n).to_numpy() for n in ("node", "root", "i"))
+        p, q = np.flatnonzero(i == t.column("lo")[0].as_py()), np.flatnonzero(i == t.column("hi")[0].as_py())
+        bags = [
+            (np.frombuffer(x, np.uint64), np.frombuffer(c, np.uint32).astype(np.int64))
+            for x, c in zip(t.column("x").to_pylist(), t.column("c").to_pylist())
+        ]
+        n = np.array([c.sum() for _, c in bags], np.float64)
+        both = _overlaps(bags, p, q).astype(np.float64)
+        a, b = np.nonzero(both >= least * (n[p][:, None] + n[q][None, :] - both))
+        a, b = p[a], q[b]
+        keep = root[a] != root[b]
+        a, b = a[keep], b[keep]
+        at = _forest(a, b, root)
+        return pa.table({"a": pa.array(node[a[at]], pa.int64()), "b": pa.array(node[b[at]], pa.int64())})
+
+    return m.groupBy("cluster", "lo", "hi").applyInArrow(compare, "a bigint, b bigint")
+
+
 def screen(links: DataFrame, sigs: DataFrame, slack: float = SLACK) -> DataFrame:
     """The links whose signatures agree in enough components."""
     s = sigs.select("node", "sig")
@@ -242,7 +333,8 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
 
     Texts with the same words are one node from the start, so a group of exact copies costs one row.
     In each bucket of a band all members are checked against the smallest; buckets that this does not
-    join into one component are compared further. Each candidate is verified on whole multisets.
+    join into one component are compared further (:func:`loose_links`, :func:`settle`). Every link is
+    verified on whole multisets.
     Defined cases: a text without words (NULL, empty) is a class of its own row's id; repeated rows share
     a class; a NULL id is never the class_id of a class with other ids; an empty table gives no rows.
     """
@@ -252,16 +344,17 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     )
     members, star = stars(bands(nodes))
     star = materialise(screen(star, nodes), "star-links")
-    bagged = lambda links: materialise(
-        bags(docs, nodes.select("node", "doc_id").join(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), k),
-        "bags",
-    )
-    links = materialise(verify(star, bagged(star), similarity), "links")
-    roots = components(links.select("a", "b"))
-    rest = materialise(unresolved(members, roots, nodes), "more-candidates")
-    if rest.head(1):
-        more = materialise(verify(rest, bagged(rest), similarity), "more-links")
-        roots = components(links.select("a", "b").unionByName(more.select("a", "b")))
+
+    def fetch(asked: DataFrame) -> DataFrame:
+        return materialise(bags(docs, nodes.select("node", "doc_id").join(asked.distinct(), "node"), k), "bags")
+
+    ends = star.select(F.explode(F.array("a", "b")).alias("node"))
+    links = materialise(verify(star, fetch(ends), similarity).select("a", "b"), "links")
+    roots = components(links)
+    loose = materialise(loose_links(members, roots, nodes), "loose-links")
+    if loose.head(1):
+        more = materialise(settle(loose, nodes, roots, fetch, similarity), "more-links")
+        roots = components(links.unionByName(more))
     placed = rows.select("doc_id", "node", F.col("sig").isNull().alias("_empty")).join(roots, "node", "left")
     # rows without words stand alone, by their id
     root = F.when(F.col("_empty"), F.xxhash64(F.lit("empty"), "doc_id")).otherwise(F.coalesce("root", "node"))

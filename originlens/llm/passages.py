@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from originlens.llm.bagminhash import bands, screen, stars, unresolved, verify
+from originlens.llm.bagminhash import bands, loose_links, screen, settle, stars, verify
 from originlens.llm.common import GOLDEN, WordHashes, byte_texts, mix64, shingles, signed, slices, text_of
 from originlens.llm.components import components
 from originlens.session import materialise
@@ -138,15 +138,15 @@ def line_links(docs: DataFrame, rows: DataFrame, similarity: float = 0.8) -> Dat
     nodes = materialise(nodes.select("node", "at.*", "sig"), "line-nodes")
     members, star = stars(bands(nodes, width=4, m=2 * COMPONENTS))
 
-    def checked(links: DataFrame) -> DataFrame:
-        links = materialise(links, "line-candidates")
-        ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        bagged = materialise(_bags(docs, nodes.drop("sig").join(ends, "node")), "line-bags")
-        return materialise(verify(links, bagged, similarity).select("a", "b"), "line-links")
+    def fetch(asked: DataFrame) -> DataFrame:
+        return materialise(_bags(docs, nodes.drop("sig").join(asked.distinct(), "node")), "line-bags")
 
-    links = checked(screen(star, nodes, SLACK))
-    rest = materialise(unresolved(members, components(links), nodes, SLACK), "more-lines")
-    return links.unionByName(checked(rest)) if rest.head(1) else links
+    star = materialise(screen(star, nodes, SLACK), "line-candidates")
+    ends = star.select(F.explode(F.array("a", "b")).alias("node"))
+    links = materialise(verify(star, fetch(ends), similarity).select("a", "b"), "line-links")
+    roots = components(links)
+    loose = materialise(loose_links(members, roots, nodes, SLACK), "loose-lines")
+    return links.unionByName(settle(loose, nodes, roots, fetch, similarity)) if loose.head(1) else links
 
 
 def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
