@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,8 +11,11 @@ from pyspark.sql import functions as F
 
 from originlens.functions.vectors import dot, l2_normalize
 from originlens.operators.sampling import per_class_sample
+from originlens.session import materialise
 
-BLOCK_ROWS = 16384
+BLOCK_ROWS = 8192
+MAX_CELLS = 4096
+SLACK_ANGLE = 1e-6  # beyond what arc cosines of rounded products are off
 TILE_ROWS = 1024
 DECIMALS = 8
 
@@ -26,10 +31,80 @@ def masked_mean_pool(tokens: DataFrame, key: str, vector: str = "embedding", mas
     )
 
 
-def _blocks(df: DataFrame, block_rows: int, at_least: int) -> int:
-    """Number of blocks for a table, from its row count."""
-    rows = df.count()
-    return max(1, -(-rows // block_rows), min(at_least, -(-rows // 64)))
+@dataclass(frozen=True)
+class Cells:
+    """Cells of the reference rows: unit vectors in their middle, rows and largest angle of each.
+
+    At most ``MAX_CELLS`` of them exist, so they travel with the tasks."""
+
+    centres: np.ndarray
+    rows: np.ndarray
+    radius: np.ndarray
+
+    def angles(self, v: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(v @ self.centres.T, -1.0, 1.0))
+
+    def first(self, v: np.ndarray, k: int) -> np.ndarray:
+        """For each vector, the cells nearest to it that hold ``k`` rows together, as a boolean matrix."""
+        order = np.argsort(np.where(self.rows > 0, self.angles(v), np.inf), axis=1, kind="stable")
+        before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
+        out = np.zeros(order.shape, np.bool_)
+        np.put_along_axis(out, order, before < k, axis=1)
+        return out & (self.rows > 0)
+
+    def further(self, v: np.ndarray, bound: np.ndarray, k: int, decimals: int) -> np.ndarray:
+        """The other cells that may hold a row within distance ``bound`` of each vector: those whose centre is
+        no further than the bound's angle plus the cell's radius."""
+        reach = np.arccos(np.clip(1.0 - bound - 10.0**-decimals, -1.0, 1.0)) + SLACK_ANGLE
+        reach = np.where(np.isfinite(bound), reach, np.pi)
+        near = self.angles(v) <= reach[:, None] + self.radius[None, :]
+        return near & (self.rows > 0) & ~self.first(v, k)
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype("float64")
+
+
+def _centres(units: DataFrame, cell_rows: int) -> np.ndarray:
+    """Unit vectors of a bounded sample of rows, one for about each ``cell_rows`` of them."""
+    n = max(1, min(MAX_CELLS, -(-units.count() // cell_rows)))
+    picked = units.orderBy(F.xxhash64("id"), "id").limit(n).select("v").collect()
+    return np.array([r.v for r in picked], "float64")
+
+
+def _placed(units: DataFrame, cells: np.ndarray) -> DataFrame:
+    """id, v, cell, angle: rows with their nearest centre."""
+
+    def run(frames):
+        for d in frames:
+            if len(d):
+                cosine = _matrix(d["v"]) @ cells.T
+                at = cosine.argmax(axis=1)
+                angle = np.arccos(np.clip(cosine[np.arange(len(d)), at], -1.0, 1.0))
+                yield d.assign(cell=at.astype("int32"), angle=angle)
+
+    return units.mapInPandas(run, "id bigint, v array<double>, cell int, angle double")
+
+
+def _counts(df: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    rows, top = np.zeros(n, np.int64), np.zeros(n)
+    for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("top")).collect():
+        rows[r.cell], top[r.cell] = r.n, r.top
+    return rows, top
+
+
+def _dealt(df: DataFrame, own: np.ndarray, other: np.ndarray, name: str) -> DataFrame:
+    """Rows of a cell in ``own[cell]`` parts by id, each once for every part of the other side."""
+
+    def run(frames):
+        for d in frames:
+            n = other[d["cell"].to_numpy()]
+            mine = (d["id"].to_numpy() * 2654435761 % 2**32) % own[d["cell"].to_numpy()]
+            copies = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out = d.loc[d.index.repeat(n), ["id", "v", "cell"]]
+            yield out.rename(columns={"id": name}).assign(mine=np.repeat(mine, n).astype("int64"), theirs=copies.astype("int64"))
+
+    return df.select("id", "v", "cell").mapInPandas(run, f"{name} bigint, v array<double>, cell int, mine bigint, theirs bigint")
 
 
 def _block_top_k(k: int, exclude_self: bool, decimals: int):
@@ -71,32 +146,57 @@ def knn_cosine(
 ) -> DataFrame:
     """The ``k`` nearest ``train`` rows of each query row: (qid, tid, distance, rn).
 
-    Exact. Both tables are cut into hashed blocks; each pair of blocks is one group with a
-    matrix product that returns ``k`` rows per query, and a last ranking merges the blocks of a
-    query. A task holds two blocks, whatever the size of the tables; no side is broadcast.
-    Distances are rounded to ``decimals`` and ties broken by id, so the result does not
-    depend on the blocking.
+    Exact, and pruned. Reference rows fall into cells around a bounded sample of them. A query first
+    searches the nearest cells that hold ``k`` rows; its k-th distance there then rules out every cell that
+    lies further away than this distance's angle plus the cell's own; the rest are searched too. A row is
+    copied only to the cells a query visits. Cells and their queries are cut into parts of about
+    ``block_rows`` rows, so a task holds two parts however large a cell is; no side is broadcast.
+    Distances are rounded to ``decimals`` and ties broken by id, so the result does not depend on the cells.
     """
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    n_ref = _blocks(train, block_rows, 2)
-    n_query = _blocks(query, block_rows, max(1, cores // n_ref))
-
-    def placed(df: DataFrame, name: str, own: int, other: int) -> DataFrame:
-        unit = l2_normalize(F.transform(vector, lambda x: x.cast("double")))
-        block = F.pmod(F.xxhash64(key), F.lit(own)).cast("int").alias("own")
-        return df.select(
-            F.col(key).cast("bigint").alias(name),
-            unit.alias("v"),
-            block,
-            F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias("other"),
-        )
-
-    q = placed(query, "qid", n_query, n_ref).groupBy(F.col("own").alias("qb"), F.col("other").alias("tb"))
-    t = placed(train, "tid", n_ref, n_query).groupBy(F.col("other").alias("qb"), F.col("own").alias("tb"))
-
-    near = q.cogroup(t).applyInPandas(_block_top_k(k, exclude_self, decimals), "qid bigint, tid bigint, distance double")
+    unit = l2_normalize(F.transform(vector, lambda x: x.cast("double")))
+
+    def units(df: DataFrame) -> DataFrame:
+        return df.select(F.col(key).cast("bigint").alias("id"), unit.alias("v"))
+
+    centres = _centres(units(train), block_rows)
+    if not len(centres):
+        return train.sparkSession.createDataFrame([], "qid bigint, tid bigint, distance double, rn int")
+    refs = materialise(_placed(units(train), centres), "cells")
+    cells = Cells(centres, *_counts(refs, len(centres)))
+    need = k + exclude_self
+
+    def visits(asked: DataFrame, which) -> DataFrame:
+        def run(frames):
+            for d in frames:
+                if len(d):
+                    row, cell = np.nonzero(which(_matrix(d["v"]), d))
+                    out = d.iloc[row][["id", "v"]].assign(cell=cell.astype("int32"), angle=0.0)
+                    yield out
+
+        return asked.mapInPandas(run, "id bigint, v array<double>, cell int, angle double")
+
+    def searched(visited: DataFrame) -> DataFrame:
+        visited = materialise(visited, "visits")
+        parts = np.maximum(1, -(-cells.rows // block_rows))
+        own = np.maximum(1, -(-_counts(visited, len(centres))[0] // block_rows))
+        q = _dealt(visited, own, parts, "qid").groupBy("cell", F.col("mine").alias("qp"), F.col("theirs").alias("tp"))
+        t = _dealt(refs, parts, own, "tid").groupBy("cell", F.col("theirs").alias("qp"), F.col("mine").alias("tp"))
+        return q.cogroup(t).applyInPandas(_block_top_k(k, exclude_self, decimals), "qid bigint, tid bigint, distance double")
+
     w = Window.partitionBy("qid").orderBy("distance", "tid")
-    return near.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+
+    def best(near: DataFrame) -> DataFrame:
+        return near.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+
+    found = searched(visits(units(query), lambda v, _: cells.first(v, need)))
+    if len(centres) == 1:
+        return best(found)
+    found = materialise(best(found).drop("rn"), "near-first")
+    kth = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("bound"))
+    kth = kth.select(F.col("qid").alias("id"), F.when(F.col("n") >= k, F.col("bound")).alias("bound"))
+    asked = units(query).join(kth, "id", "left")
+    rest = visits(asked, lambda v, d: cells.further(v, d["bound"].fillna(np.inf).to_numpy(), need, decimals))
+    return best(found.unionByName(searched(rest)))
 
 
 def neighbour_summary(neighbours: DataFrame, labels: DataFrame, key: str = "vec_id", label: str = "y") -> DataFrame:

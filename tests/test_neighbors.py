@@ -38,6 +38,26 @@ def test_exact_whatever_the_blocks(spark, block_rows):
     assert got(out) == brute(tid, t, qid, q, 5)
 
 
+def test_clustered_rows_visit_few_cells(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(40, 16))
+    t = np.repeat(middle, 50, axis=0) + rng.normal(scale=0.01, size=(2000, 16))
+    q = middle[rng.integers(0, 40, 300)] + rng.normal(scale=0.01, size=(300, 16))
+    made = []
+    keep = neighbors.materialise
+    monkeypatch.setattr(neighbors, "materialise", lambda df, name: made.append((name, out := keep(df, name))) or out)
+    out = neighbors.knn_cosine(frame(spark, range(2000), t), frame(spark, range(5000, 5300), q), 5, block_rows=50)
+    assert got(out) == brute(range(2000), t, range(5000, 5300), q, 5)
+    visited = sum(df.count() for name, df in made if name == "visits")
+    assert visited < 300 * 40 / 4
+
+
+def test_no_references(spark):
+    t = frame(spark, [1], np.ones((1, 4)))
+    assert neighbors.knn_cosine(t.limit(0), t, 3).collect() == []
+    assert neighbors.knn_cosine(t, t.limit(0), 3).collect() == []
+
+
 def test_more_neighbours_than_references(spark):
     rng = np.random.default_rng(1)
     t = rng.normal(size=(3, 4))
