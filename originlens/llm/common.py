@@ -86,6 +86,15 @@ def slices(batches: Iterable, rows: int = 2048) -> Iterable:
             yield b.slice(i, rows)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Remove stored intermediate tables that nothing reads any more, through Spark's file system."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as the signed ones Spark stores."""
     return x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)

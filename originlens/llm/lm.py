@@ -15,13 +15,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from originlens.llm.common import GOLDEN, WordHashes, byte_texts, crc_mod, mix64, text_of
+from originlens.llm.common import GOLDEN, WordHashes, byte_texts, crc_mod, drop, mix64, text_of
 from originlens.llm.trie import VALUES, Trie, quantise
 from originlens.session import materialise
 
 MU = 8.0  #: weight of the unigram distribution, in tokens, under every context
-CHUNK_TOKENS = 1_000_000  #: of a chunk, after which it is closed
-SHARD_WORDS, SHARD_TOKENS = 1_000_000, 3_000_000  #: local words and tokens for each shard
+CHUNK_TOKENS = 300_000  #: of a chunk, after which it is closed
+SHARD_WORDS, SHARD_TOKENS = 1_000_000, 2_000_000  #: local words and tokens for each shard
 END, BEGIN = 0, 1  #: local numbers of the end and of the context of a first word
 _SPECIAL = np.array([1, 2], np.uint64)  #: their hashes
 
@@ -112,7 +112,8 @@ def _word_questions(table: DataFrame, shards: int) -> DataFrame:
 
         schema = pa.schema([("shard", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):
+                r = b.slice(i, 1).to_pylist()[0]
                 words, tokens = np.frombuffer(r["words"], np.uint64), _unpack(r["tokens"])
                 train = _marks(r["held"], np.array(r["lens"]))
                 counts = np.bincount(tokens[train], minlength=len(words))
@@ -122,9 +123,9 @@ def _word_questions(table: DataFrame, shards: int) -> DataFrame:
                 cut = np.searchsorted(place[order], np.arange(shards + 1))
                 out = []
                 for s in range(shards):
-                    i = order[cut[s] : cut[s + 1]]
-                    if len(i):
-                        out.append((s, r["chunk"], words[i].tobytes(), counts[i].astype("<u4").tobytes()))
+                    k = order[cut[s] : cut[s + 1]]
+                    if len(k):
+                        out.append((s, r["chunk"], words[k].tobytes(), _pack(counts[k])))
                 yield _emit(out, schema)
 
     return table.select("chunk", "held", "lens", "words", "tokens").mapInArrow(run, "shard int, chunk bigint, words binary, counts binary")
@@ -137,7 +138,7 @@ def _count_words(shards: int):
 
         shard = t.column("shard")[0].as_py()
         parts = [np.frombuffer(x, np.uint64) for x in t.column("words").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("counts").to_pylist()])
+        counts = np.concatenate([_unpack(x) for x in t.column("counts").to_pylist()])
         words, back = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(back, counts, len(words)).astype(np.int64)
         number = np.zeros(len(words), np.int64)  # 0: unknown
@@ -147,7 +148,7 @@ def _count_words(shards: int):
         rows = [(-1, shard, None, None, int(total[real].sum()), int(real.sum()))]
         for chunk, a, b in zip(t.column("chunk").to_pylist(), cut, cut[1:]):
             i = back[a:b]
-            rows.append((chunk, shard, total[i].astype("<u8").tobytes(), number[i].astype("<u8").tobytes(), None, None))
+            rows.append((chunk, shard, _wide(total[i]), _wide(number[i]), None, None))
         cols = list(zip(*rows))
         types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         return pa.table([pa.array(c, k) for c, k in zip(cols, types)], names=["chunk", "shard", "totals", "numbers", "n", "v"])
@@ -162,8 +163,8 @@ def _word_answers(r: dict, answers: list[dict], shards: int) -> tuple[np.ndarray
     order = np.argsort(place, kind="stable")
     totals, numbers = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
     got = sorted(answers, key=lambda x: x["shard"])
-    totals[order] = np.concatenate([np.frombuffer(x["totals"], "<u8") for x in got])
-    numbers[order] = np.concatenate([np.frombuffer(x["numbers"], "<u8") for x in got])
+    totals[order] = np.concatenate([_unwide(x["totals"]) for x in got])
+    numbers[order] = np.concatenate([_unwide(x["numbers"]) for x in got])
     return totals, numbers
 
 
@@ -216,7 +217,7 @@ def _bigram_questions(table: DataFrame, n: int, word_shards: int, shards: int) -
         for b in batches:
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
-                totals, numbers = np.frombuffer(r["totals"], "<u8").astype(np.int64), np.frombuffer(r["numbers"], "<u8").astype(np.int64)
+                totals, numbers = _unwide(r["totals"]).astype(np.int64), _unwide(r["numbers"]).astype(np.int64)
                 c, w, _, counts, spot, _, _ = _bigrams(r, totals, numbers, n, shards)
                 order, cut = _order(c, w, spot, numbers, shards)
                 out = []
@@ -227,7 +228,7 @@ def _bigram_questions(table: DataFrame, n: int, word_shards: int, shards: int) -
                     first = np.flatnonzero(np.concatenate([[True], c[k][1:] != c[k][:-1]]))
                     own = c[k][first]
                     sizes = np.diff(np.append(first, len(k)))
-                    out.append((s, r["chunk"], numbers[own].astype("<u8").tobytes(), totals[own].astype("<u8").tobytes(),
+                    out.append((s, r["chunk"], _wide(np.diff(numbers[own], prepend=0)), _wide(totals[own]),
                                 _pack(sizes), _wide(numbers[w[k]]), _pack(counts[k])))
                 yield _emit(out, schema)
 
@@ -250,21 +251,15 @@ def _unwide(b: bytes) -> np.ndarray:
 
 def _question(t, i: int):
     sizes = _unpack(t.column("sizes")[i].as_py()).astype(np.int64)
-    contexts = np.repeat(np.frombuffer(t.column("contexts")[i].as_py(), "<u8"), sizes)
-    totals = np.repeat(np.frombuffer(t.column("context_counts")[i].as_py(), "<u8"), sizes)
+    contexts = np.repeat(np.cumsum(_unwide(t.column("contexts")[i].as_py())), sizes)
+    totals = np.repeat(_unwide(t.column("context_counts")[i].as_py()), sizes)
     return contexts, totals, _unwide(t.column("words")[i].as_py()), _unpack(t.column("counts")[i].as_py())
 
 
-def build_shard(t) -> Trie:
-    """The trie of a shard from all chunks' questions: bigrams that occur in training text."""
-    cs, ts, ws, ns = [], [], [], []
-    for i in range(t.num_rows):
-        c, total, w, k = _question(t, i)
-        keep = k > 0
-        cs.append(c[keep]), ts.append(total[keep]), ws.append(w[keep]), ns.append(k[keep])
-    c, total, w, k = map(np.concatenate, (cs, ts, ws, ns))
-    order = np.lexsort((w, c))
-    c, total, w, k = c[order], total[order], w[order], k[order]
+def build_shard(context: np.ndarray, total: np.ndarray, word: np.ndarray, count: np.ndarray) -> Trie:
+    """The trie of a shard from all chunks' bigrams sorted by (context, word): those of training text."""
+    keep = count > 0
+    c, total, w, k = context[keep], total[keep], word[keep], count[keep]
     new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])]) if len(c) else np.zeros(0, np.bool_)
     at = np.flatnonzero(new)
     n = np.add.reduceat(k.astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
@@ -273,14 +268,20 @@ def build_shard(t) -> Trie:
 
 
 def _answer(t):
-    """Codes of every chunk's bigrams, in the order of its question."""
+    """Codes of every chunk's bigrams, in the order of its question. All questions are put to the trie at once,
+    sorted, so that each of its spans is decoded once."""
     import pyarrow as pa
 
-    trie = Trie.frombuffer(build_shard(t).tobytes())
-    out = []
-    for i in range(t.num_rows):
-        c, _, w, _ = _question(t, i)
-        out.append(trie.lookup(c, w).tobytes())
+    parts = [_question(t, i) for i in range(t.num_rows)]
+    cut = np.cumsum([0, *[len(p[0]) for p in parts]])
+    c, total, w, k = (np.concatenate([p[j] for p in parts]) for j in range(4))
+    del parts
+    order = np.lexsort((w, c))
+    c, w = c[order], w[order]
+    trie = Trie.frombuffer(build_shard(c, total[order], w, k[order]).tobytes())
+    codes = np.zeros(len(c), np.uint8)
+    codes[order] = trie.lookup(c, w)
+    out = [codes[a:b].tobytes() for a, b in zip(cut, cut[1:])]
     return pa.table([t.column("chunk"), t.column("shard"), pa.array(out, pa.binary())], names=["chunk", "shard", "codes"])
 
 
@@ -291,7 +292,7 @@ def _score(n: int, v: int, shards: int):
         for b in batches:
             for i in range(b.num_rows):
                 r = b.slice(i, 1).to_pylist()[0]
-                totals, numbers = np.frombuffer(r["totals"], "<u8").astype(np.int64), np.frombuffer(r["numbers"], "<u8").astype(np.int64)
+                totals, numbers = _unwide(r["totals"]).astype(np.int64), _unwide(r["numbers"]).astype(np.int64)
                 c, w, index, _, spot, tokens, context = _bigrams(r, totals, numbers, n, shards)
                 order, _ = _order(c, w, spot, numbers, shards)
                 codes = np.zeros(len(c), np.uint8)
@@ -350,7 +351,7 @@ def score_corpus(docs: DataFrame, held: str) -> DataFrame:
                 r = one.select(["words", "answers"]).to_pylist()[0]
                 totals, numbers = _word_answers(r, r["answers"], word_shards)
                 cols = [one.column(x) for x in ("chunk", "ids", "held", "lens", "tokens")]
-                cols += [pa.array([totals.astype("<u8").tobytes()], pa.binary()), pa.array([numbers.astype("<u8").tobytes()], pa.binary())]
+                cols += [pa.array([_wide(totals)], pa.binary()), pa.array([_wide(numbers)], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["chunk", "ids", "held", "lens", "tokens", "totals", "numbers"])
 
     joined = _join_answers(first.select("chunk", "ids", "held", "lens", "words", "tokens"), answers.filter("chunk >= 0"), "shard totals numbers")
@@ -358,6 +359,7 @@ def score_corpus(docs: DataFrame, held: str) -> DataFrame:
         known, f"chunk bigint, ids array<{kind}>, held array<boolean>, lens array<int>, tokens binary, totals binary, numbers binary"
     )
     second = materialise(second, "counted-chunks")
+    drop(first, answers)
     codes = _bigram_questions(second.drop("ids"), n, word_shards, shards).groupBy("shard").applyInArrow(
         _answer, "chunk bigint, shard int, codes binary"
     )
