@@ -60,6 +60,18 @@ def meta_coefficients(model, models: list[str], spark) -> DataFrame:
     return spark.createDataFrame(rows, "model string, coefficient double")
 
 
+def meta_gradient(model, stacked: DataFrame, models: list[str], label: str = "y", c: float = 1.0) -> DataFrame:
+    """model, ``gradient``: the mean gradient of the penalised loss at the fitted coefficients, on the rows
+    of the fit. All are near 0 if the fit has converged."""
+    rows = meta_scores(model, stacked.dropna(subset=[*models, label]), models)
+    off = F.col("score") - F.col(label)
+    n = F.count(F.lit(1))
+    w = [float(x) for x in model.coefficients]
+    parts = [F.struct(F.lit(m).alias("model"), ((F.sum(off * F.col(m)) + F.lit(x / c)) / n).alias("gradient")) for m, x in zip(models, w)]
+    parts.append(F.struct(F.lit("(intercept)").alias("model"), (F.sum(off) / n).alias("gradient")))
+    return rows.agg(F.array(*parts).alias("g")).select(F.inline("g"))
+
+
 def meta_scores(model, stacked: DataFrame, models: list[str]) -> DataFrame:
     """Add ``score``, the positive-class probability; NULL for a row that lacks a model's score."""
     lacks = reduce(lambda a, b: a | b, [F.col(m).isNull() for m in models])

@@ -16,6 +16,7 @@ from originlens.functions.hashing import md5_hex
 from originlens.session import materialise
 
 SAMPLE_ROWS = 8192
+HASH_DIGITS = 4
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -47,17 +48,19 @@ def hash_rank(
     out: str = "rn",
     total: str | None = None,
     facts: tuple[DataFrame, list[str]] | None = None,
+    digits: int = HASH_DIGITS,
 ) -> DataFrame:
     """1-based rank of each row in md5 order of its keys, per group: a seeded shuffle.
 
-    Buckets are the first two md5 digits, so they are even whatever the data look like and a
-    group holding most rows still spreads over 256 tasks. ``keys`` must identify a row.
+    Buckets are the first ``digits`` md5 digits, so they are even whatever the data look like and a
+    group holding most rows still spreads over 16 ** digits windows: with four digits, 1e11 rows of one
+    group make windows of 1.5 million. ``keys`` must identify a row.
     ``facts`` is a table with one row per value of some group columns, and those columns: its
     other columns are added, and rows of groups it lacks are dropped. It meets the bucket
     sizes, not the rows, so a large group does not gather in one task for it either.
     """
     groups = groups or []
-    d = df.withColumn("_hash", md5_hex(seed, *keys)).withColumn("_bucket", F.substring("_hash", 1, 2))
+    d = df.withColumn("_hash", md5_hex(seed, *keys)).withColumn("_bucket", F.substring("_hash", 1, digits))
     starts = _starts(d.select(*groups, "_bucket"), groups, total)
     if facts is not None:
         starts = null_safe_join(starts, *facts)

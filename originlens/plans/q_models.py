@@ -54,6 +54,37 @@ def m1_fit_meta_learner(spark, sf):
     return model_summary(scored).withColumn("coefficients", as_map.scalar())
 
 
+@query(
+    "m1_meta_gradient",
+    "SELECT model, 0.0::DOUBLE AS gradient FROM (VALUES ('comma'), ('length'), ('word'), ('(intercept)')) t(model)",
+)
+def m1_meta_gradient(spark, sf):
+    """The gradient at the meta-learner's coefficients, which is zero at the optimum."""
+    val = _stacked(spark, sf).filter("split = 'val'")
+    model = models.fit_meta_learner(val, SCORE_MODELS)
+    g = models.meta_gradient(model, val, SCORE_MODELS)
+    return g.select("model", (F.round("gradient", 4) + F.lit(0.0)).alias("gradient"))
+
+
+@query(
+    "m2_knn_classifier",
+    f"""WITH {duck.SCORES},
+    wide AS (
+      SELECT doc_id AS vec_id, y, split, [max(score) FILTER (model = 'comma'), max(score) FILTER (model = 'length'),
+             max(score) FILTER (model = 'word')] AS v FROM scores GROUP BY doc_id, y, split),
+    unit AS (
+      SELECT vec_id, y, split, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) AS v FROM wide),
+    train AS (SELECT * FROM unit WHERE split = 'val'), query AS (SELECT * FROM unit WHERE split = 'test'),
+    {duck.knn('near', 'train', 'query')}
+    SELECT qid AS doc_id, round(avg(t.y::DOUBLE), 9) AS score FROM near JOIN train t ON t.vec_id = tid GROUP BY qid""",
+)
+def m2_knn_classifier(spark, sf):
+    """The share of positives among the five nearest train rows by three scores."""
+    f = _score_features(spark, sf)
+    fitted = models.fit_classifier("knnc", f.filter("split = 'val'"), key="doc_id", c=5.0)
+    return rounded(fitted.score(f.filter("split = 'test'")).select("doc_id", "score"))
+
+
 @query("m2_fit_classifier")
 def m2_fit_classifier(spark, sf):
     """Scores of every kind of classifier on the test rows, long form."""
