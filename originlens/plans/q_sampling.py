@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from originlens.functions.prompts import decoding_params, mask_tokens, variation_params
 from originlens.functions.text import word_count
+from originlens.functions.text import words
 from originlens.operators import sampling
 from originlens.plans import duck, views
 from originlens.plans.registry import query
@@ -137,15 +138,15 @@ def e10_permute_labels(spark, sf):
 
 @query(
     "e11_mask_tokens",
-    f"""WITH t AS (SELECT item_id, {duck.words('text')} AS w FROM benchmark),
-    r AS (SELECT item_id, unnest(range(len(w))) AS i, unnest(w) AS tok FROM t)
-    SELECT item_id, CAST(i AS INTEGER) AS pos,
-           CASE WHEN {duck.u('mask', 'item_id', 'i')} < 0.1::DOUBLE AND tok NOT IN ('the', 'The') THEN '<pad>' ELSE tok END AS token FROM r""",
+    f"""WITH t AS (SELECT doc_id, {duck.words('text')} AS w FROM documents),
+    r AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS tok FROM t)
+    SELECT doc_id, CAST(i AS INTEGER) AS pos,
+           CASE WHEN {duck.u('mask', 'doc_id', 'i')} < 0.1::DOUBLE AND tok NOT IN ('the', 'The') THEN '<pad>' ELSE tok END AS token FROM r""",
 )
 def e11_mask_tokens(spark, sf):
-    t = views.benchmark_tokens(spark, sf)
-    masked = mask_tokens("tokens", 0.1, "mask", "item_id", special=("the", "The"))
-    return t.select("item_id", F.posexplode(masked).alias("pos", "token"))
+    t = views.texts(spark, sf).select("doc_id", words("text").alias("tokens"))
+    masked = mask_tokens("tokens", 0.1, "mask", "doc_id", special=("the", "The"))
+    return t.select("doc_id", F.posexplode(masked).alias("pos", "token"))
 
 
 @query(

@@ -5,11 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from originlens.sources.readers import exists
-
 
 def incremental_process(
     spark: SparkSession,
@@ -23,22 +20,19 @@ def incremental_process(
 ) -> DataFrame:
     """Process all files of ``source`` not seen yet and append ``work`` of their rows to ``target``.
 
-    Each micro-batch is a saved step. The checkpoint remembers finished files; a batch that is
-    repeated after a failure replaces its own output folder, and keys stored by earlier batches are
-    left out, so a restart adds no duplicates.
+    Each micro-batch is a saved step. The checkpoint remembers finished files and, as the state of the
+    stream, the keys seen, so no batch reads earlier output; a batch that is repeated after a failure
+    replaces its own output folder, and a restart adds no duplicates.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        out = work(batch.dropDuplicates([key]))
-        if exists(spark, target):
-            earlier = spark.read.parquet(target).filter(F.col("batch") < batch_id).select(key)
-            out = out.join(earlier, key, "left_anti")
-        out.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        work(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     query = (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(source)
+        .dropDuplicates([key])
         .writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

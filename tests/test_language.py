@@ -131,3 +131,14 @@ def test_zscore_uses_train_only(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (3, "a", 100.0), (1, "b", 2.0), (3, "b", 9.0)], "id int, f string, value double")
     out = {(r.id, r.f): r.z for r in features.zscore(df, df.filter("id < 3"), ["f"]).collect()}
     assert out == {(1, "a"): -1.0, (2, "a"): 1.0, (3, "a"): 98.0, (1, "b"): 0.0, (3, "b"): 0.0}
+
+
+def test_documents_without_tokens_keep_their_rows(spark):
+    model = ngram.fit(texts(spark, TEXTS))
+    scored = ngram.score_documents(texts(spark, TEXTS), model, "id")
+    v = ngram.probability_vectors(scored, "id", texts(spark, TEXTS))
+    rows = {r.id: r for r in v.collect()}
+    assert len(rows) == len(TEXTS) and rows[3].trigram == [] and len(rows[0].trigram) == 6
+    long = features.custom_features(v, "id").filter("id = 3").collect()
+    assert len(long) == 100 and {r.value for r in long if r.stat in ("min", "max", "median", "mean")} == {None}
+    assert len(features.feature_matrix(features.custom_features(v, "id"), "id").collect()) == len(TEXTS)
