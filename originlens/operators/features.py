@@ -114,7 +114,7 @@ def _clip(v: Column) -> Column:
 def custom_features(df: DataFrame, key: str, compat: bool = False) -> DataFrame:
     """Long form (key, series, stat, value): ten statistics of four vectors and six clipped
     ratios, after the first 25 tokens of longer texts. A document without tokens keeps its rows; its
-    values are NULL (0 for the length-based ones).
+    values are NULL.
 
     ``compat`` reads the quantiles as percents (0.25 means the 0.25th percentile), as the
     published feature files do. A series is an array in its row, so there is no shuffle and
@@ -141,14 +141,14 @@ def custom_features(df: DataFrame, key: str, compat: bool = False) -> DataFrame:
         if name in QUANTILES:
             return V.quantile("v", QUANTILES[name] * scale)
         return {
-            "min": F.try_element_at("v", F.lit(1)),
-            "max": F.try_element_at("v", F.lit(-1)),
+            "min": F.element_at("v", 1),
+            "max": F.element_at("v", -1),
             "mean": F.col("avg"),
             "l2": V.l2_norm("v"),
             "var": V.variance("v", F.col("avg")),
         }[name]
 
-    stats = F.array(*[F.struct(F.lit(s).alias("stat"), stat(s).alias("value")) for s in STATISTICS])
+    stats = F.array(*[F.struct(F.lit(s).alias("stat"), F.when(F.size("v") > 0, stat(s)).alias("value")) for s in STATISTICS])
     return rows.select(key, "series", F.explode(stats).alias("s")).select(key, "series", "s.stat", "s.value")
 
 
