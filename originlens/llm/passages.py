@@ -20,7 +20,8 @@ SLIDING = 49  #: words of a sliding paragraph
 COMPONENTS = 16  #: of a line's signature: 8 bands of 2; a pair at similarity 0.8 shares one but for 3e-4
 SLACK = 0.4  #: least share of equal components worth the exact check: 5.6 standard deviations below 0.8
 
-_SEEDS = [np.uint64(mix64(np.array([i + 1], np.uint64))[0]) for i in range(COMPONENTS)]
+#: Odd multipliers: shingle hashes are mixed already, so a product gives each component an order of its own.
+_SEEDS = [np.uint64(mix64(np.array([i + 1], np.uint64))[0]) | np.uint64(1) for i in range(COMPONENTS)]
 
 
 def run_hashes(h: np.ndarray, n: int = LEAST_WORDS) -> np.ndarray:
@@ -73,8 +74,8 @@ def paragraphs(text: bytes, hashes: WordHashes) -> list[tuple[int, int, int, byt
         at += n
     if spans:
         cut = np.array([x for a, b in spans for x in (a, b - K + 1)])
-        padded = np.append(s, np.uint64(0xFFFFFFFFFFFFFFFF))
-        sig = np.stack([np.minimum.reduceat(mix64(padded ^ seed), cut)[::2] for seed in _SEEDS], axis=1)
+        padded = np.append(s, np.uint64(0))  # so that the last border is a position
+        sig = np.stack([np.minimum.reduceat(padded * seed, cut)[::2] for seed in _SEEDS], axis=1)
         sig = (mix64(sig) >> np.uint64(32)).astype("<u4")
         for (a, b), x in zip(spans, sig):
             out.append((a, b, xxhash.xxh3_64_intdigest(b" ".join(words[a:b])), x.tobytes()))
