@@ -161,14 +161,21 @@ def feature_matrix(long: DataFrame, key: str) -> DataFrame:
     return by_name.select(key, F.array(*[F.col("_m")[n] for n in order]).alias("features"))
 
 
-def zscore(long: DataFrame, train: DataFrame, by: list[str], value: str = "value") -> DataFrame:
-    """Add ``mu``, ``sigma`` (population) and ``z``. The parameters come from ``train`` only;
-    there is one row of them per feature. A constant feature gives 0.
+def scaling(train: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """``mu`` and ``sigma`` (population) per feature, one row each; a table to be stored beside a model."""
+    return train.groupBy(*by).agg(F.avg(value).alias("mu"), F.stddev_pop(value).alias("sigma"))
+
+
+def zscore(
+    long: DataFrame, train: DataFrame | None, by: list[str], value: str = "value", params: DataFrame | None = None
+) -> DataFrame:
+    """Add ``mu``, ``sigma`` (population) and ``z``. The parameters come from ``train`` only,
+    or are those that :func:`scaling` gave earlier; there is one row of them per feature. A constant feature gives 0.
 
     The parameters are stored first: Spark then knows how few they are when it plans the join, and
     the rows need not gather by feature."""
-    params = train.groupBy(*by).agg(F.avg(value).alias("mu"), F.stddev_pop(value).alias("sigma"))
-    params = materialise(params, "scaling")
+    if params is None:
+        params = materialise(scaling(train, by, value), "scaling")
     joined = long.join(params, by)
     z = F.when(F.col("sigma") == 0.0, F.lit(0.0)).otherwise((F.col(value) - F.col("mu")) / F.col("sigma"))
     return joined.withColumn("z", z)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.regression import LinearRegression
@@ -48,6 +48,11 @@ def _logistic(df: DataFrame, label: str, c: float, max_iter: int):
     ).fit(df)
 
 
+def load_meta_learner(path: str) -> LogisticRegressionModel:
+    """A meta-learner that was written by its ``save(path)``."""
+    return LogisticRegressionModel.load(path)
+
+
 def incomplete_rows(stacked: DataFrame, models: list[str]) -> DataFrame:
     """One row: ``n_rows``, and ``n_incomplete`` of them that lack a model's score."""
     lacks = reduce(lambda a, b: a | b, [F.col(m).isNull() for m in models])

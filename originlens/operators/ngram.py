@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from originlens.functions.text import words
@@ -83,6 +83,20 @@ class NgramModel:
     vocab_size: int
     alpha: float = ALPHA
 
+    TABLES = ("base", "bigrams", "bigram_contexts", "trigrams", "trigram_contexts")
+
+    def save(self, path: str) -> None:
+        """Write the model below ``path``, which must not exist."""
+        for name in self.TABLES:
+            getattr(self, name).write.parquet(f"{path}/{name}")
+        numbers = self.base.sparkSession.createDataFrame([(self.vocab_size, self.alpha)], "vocab_size long, alpha double")
+        numbers.write.parquet(f"{path}/numbers")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> NgramModel:
+        numbers = spark.read.parquet(f"{path}/numbers").first()
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in cls.TABLES], numbers.vocab_size, numbers.alpha)
+
 
 def occurrences(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One row per token: its position and the trigram ending in it, after two begin tokens."""

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from originlens.functions.vectors import SCALAR_OPS
 from originlens.operators import features, ngram
@@ -142,3 +143,23 @@ def test_documents_without_tokens_keep_their_rows(spark):
     long = features.custom_features(v, "id").filter("id = 3").collect()
     assert len(long) == 100 and {r.value for r in long} == {None}
     assert len(features.feature_matrix(features.custom_features(v, "id"), "id").collect()) == len(TEXTS)
+
+
+def test_a_stored_model_scores_alike(spark, tmp_path):
+    model = ngram.fit(texts(spark, TEXTS))
+    model.save(str(tmp_path / "m"))
+    again = ngram.NgramModel.load(spark, str(tmp_path / "m"))
+    a, b = (sorted(ngram.score_documents(texts(spark, NEW), m, "id").collect()) for m in (model, again))
+    assert a == b and again.vocab_size == model.vocab_size == 8
+
+
+def test_stored_scaling(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 1.0), (2, "a", 3.0), (3, "a", 100.0)], "id int, f string, value double")
+    features.scaling(df.filter("id < 3"), ["f"]).write.parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+    z = {r.id: r.z for r in features.zscore(df, None, ["f"], params=stored).collect()}
+    assert z == {1: -1.0, 2: 1.0, 3: 98.0}
+    # test rows change nothing in the train rows
+    other = df.withColumn("value", F.when(F.col("id") == 3, -7.0).otherwise(F.col("value")))
+    a, b = ({r.id: r.z for r in features.zscore(d, d.filter("id < 3"), ["f"]).collect() if r.id < 3} for d in (df, other))
+    assert a == b

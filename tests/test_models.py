@@ -30,7 +30,7 @@ def logistic(x, y, c):
     return w
 
 
-def test_meta_learner_matches_newton(spark, table):
+def test_meta_learner_matches_newton(spark, table, tmp_path):
     wide = table.selectExpr("id", "y", "features[0] AS a", "features[1] AS b")
     m = models.fit_meta_learner(wide, ["a", "b"])
     rows = wide.orderBy("id").toPandas()
@@ -39,6 +39,9 @@ def test_meta_learner_matches_newton(spark, table):
     assert got == pytest.approx({"a": w[0], "b": w[1], "(intercept)": w[2]}, abs=1e-4)
     assert models.fit_meta_learner(wide, ["a"]) is None
     assert models.meta_scores(m, wide, ["a", "b"]).filter("score BETWEEN 0 AND 1").count() == 300
+    m.save(str(tmp_path / "meta"))
+    same = models.meta_scores(models.load_meta_learner(str(tmp_path / "meta")), wide, ["a", "b"])
+    assert sorted(same.select("id", "score").collect()) == sorted(models.meta_scores(m, wide, ["a", "b"]).select("id", "score").collect())
     holes = wide.selectExpr("id", "y", "if(id % 5 = 0, null, a) AS a", "b")
     scored = models.meta_scores(m, holes, ["a", "b"])
     assert scored.count() == 300 and scored.filter("score IS NULL").count() == holes.filter("a IS NULL").count()
