@@ -21,7 +21,7 @@ from originlens.session import materialise
 
 MU = 8.0  #: weight of the unigram distribution, in tokens, under every context
 CHUNK_TOKENS = 300_000  #: of a chunk, after which it is closed
-SHARD_WORDS, SHARD_TOKENS = 1_000_000, 2_000_000  #: local words and tokens for each shard
+SHARD_WORDS, SHARD_TOKENS = 700_000, 1_000_000  #: local words and tokens for each shard, sized for executors of 3 GB
 END, BEGIN = 0, 1  #: local numbers of the end and of the context of a first word
 _SPECIAL = np.array([1, 2], np.uint64)  #: their hashes
 
