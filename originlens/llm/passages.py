@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from originlens.llm.bagminhash import bands, loose_links, screen, settle, stars, verify
-from originlens.llm.common import GOLDEN, WordHashes, byte_texts, mix64, shingles, signed, slices, text_of
+from originlens.llm.common import WordHashes, byte_texts, mix64, shingles, signed, slices, text_of
 from originlens.llm.components import components
 from originlens.session import materialise
 
@@ -23,22 +23,25 @@ SLACK = 0.4  #: least share of equal components worth the exact check: 5.6 stand
 #: Odd multipliers: shingle hashes are mixed already, so a product gives each component an order of its own.
 _SEEDS = [np.uint64(mix64(np.array([i + 1], np.uint64))[0]) | np.uint64(1) for i in range(COMPONENTS)]
 
+_BASE = 0xD1342543DE82EF95  #: of the polynomial that hashes a run
+
 
 def run_hashes(h: np.ndarray, n: int = LEAST_WORDS) -> np.ndarray:
-    """Hashes of all runs of ``n`` words, by doubling."""
+    """Hashes of all runs of ``n`` words: a polynomial in the words' hashes, by doubling, mixed at the end."""
     level, width, out, done = h, 1, None, 0
     with np.errstate(over="ignore"):
         while True:
+            power = np.uint64(pow(_BASE, width, 2**64))
             if n & width:  # runs of the bits of n follow each other
                 if out is None:
                     out = level
                 else:
-                    m = len(level) - done
-                    out = mix64(out[:m] * GOLDEN + level[done : done + m]) if m > 0 else level[:0]
+                    m = max(len(level) - done, 0)
+                    out = out[:m] * power + level[done : done + m]
                 done += width
             if width * 2 > n:
                 return mix64(out)
-            level = mix64(level[:-width] * GOLDEN + level[width:] + np.uint64(width)) if len(level) > width else level[:0]
+            level = level[:-width] * power + level[width:] if len(level) > width else level[:0]
             width *= 2
 
 

@@ -170,3 +170,29 @@ def test_masks_cover_all_bits(radius):
     for m in masks:
         union |= m
     assert union == (1 << 64) - 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 20, 31])
+def test_run_hashes_are_those_of_their_words_in_order(n):
+    h = np.random.default_rng(0).integers(0, 2**63, 60).astype(np.uint64)
+    got = passages.run_hashes(h, n)
+    assert len(got) == 61 - n and len(passages.run_hashes(h[: n - 1], n)) == 0
+    again = passages.run_hashes(np.concatenate([h[7 : 7 + n], h]), n)
+    assert again[0] == got[7]
+    if n > 3:
+        swapped = h[:n].copy()
+        swapped[[1, 2]] = swapped[[2, 1]]
+        assert passages.run_hashes(swapped, n)[0] != got[0]
+
+
+def test_overlaps_of_multisets_in_slabs():
+    rng = np.random.default_rng(9)
+    bags = []
+    for _ in range(12):
+        x = np.unique(rng.integers(0, 60, 40)).astype(np.uint64)
+        bags.append((x, rng.integers(1, 5, len(x)).astype(np.int64)))
+    got = bm._overlaps(bags, np.arange(5), np.arange(5, 12), slab=7)
+    for i in range(5):
+        for j in range(5, 12):
+            a, b = (dict(zip(x.tolist(), c.tolist())) for x, c in (bags[i], bags[j]))
+            assert got[i, j - 5] == sum(min(a[k], b[k]) for k in a.keys() & b.keys())
