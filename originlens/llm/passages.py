@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from originlens.llm.bagminhash import bands, loose_links, screen, settle, stars, verify
@@ -17,6 +17,7 @@ from originlens.session import materialise
 K = 5  #: words of a shingle
 LEAST_WORDS = 20  #: of a line that counts as a paragraph, and of the common run of two sliding paragraphs
 SLIDING = 49  #: words of a sliding paragraph
+REACH = SLIDING - LEAST_WORDS  #: words from the edge of a common sliding paragraph to its run, at most
 COMPONENTS = 16  #: of a line's signature: 8 bands of 2; a pair at similarity 0.8 shares one but for 3e-4
 SLACK = 0.4  #: least share of equal components worth the exact check: 5.6 standard deviations below 0.8
 
@@ -61,7 +62,7 @@ def paragraphs(text: bytes, hashes: WordHashes) -> list[tuple[int, int, int, byt
     Lines of at least ``LEAST_WORDS`` words, with a MinHash signature of their shingles; and, wherever
     lines begin and end, all sliding paragraphs of ``SLIDING`` words, each represented by the one run of
     ``LEAST_WORDS`` words with the smallest hash. Two texts with a common passage of ``SLIDING`` words or
-    more share such a run, however the passage is embedded; it is its own verification."""
+    more share such a run, however the passage is embedded; :func:`embedded` extends it word by word."""
     out: list[tuple[int, int, int, bytes | None]] = []
     low = text.lower()
     words = low.split()
@@ -88,28 +89,34 @@ def paragraphs(text: bytes, hashes: WordHashes) -> list[tuple[int, int, int, byt
     return out
 
 
+def row_key() -> Column:
+    """Key of a row: an id may be repeated with another text."""
+    return F.xxhash64("doc_id", text_of("text"))
+
+
 def extract(docs: DataFrame) -> DataFrame:
-    """doc_id, first, last, node, sig of all paragraphs of all whole texts; rows without an id are left out."""
+    """doc_id, row, first, last, node, sig of all paragraphs of all whole texts; rows without an id are left out."""
 
     def run(batches: Iterable):
         import pyarrow as pa
 
         hashes = WordHashes()
         for b in slices(batches, 512):
-            ids, rows = [], []
-            for doc_id, text in zip(b.column(0).to_pylist(), byte_texts(b.column(1))):
+            ids, keys, rows = [], [], []
+            for doc_id, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_texts(b.column(2))):
                 got = paragraphs(text, hashes)
                 rows += got
                 ids += [doc_id] * len(got)
+                keys += [key] * len(got)
             node = signed(np.array([r[2] for r in rows], np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, b.schema.field(0).type), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()),
-                 pa.array(node), pa.array([r[3] for r in rows], pa.binary())],
-                names=["doc_id", "first", "last", "node", "sig"],
+                [pa.array(ids, b.schema.field(0).type), pa.array(keys, pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
+                 pa.array([r[1] for r in rows], pa.int32()), pa.array(node), pa.array([r[3] for r in rows], pa.binary())],
+                names=["doc_id", "row", "first", "last", "node", "sig"],
             )
 
-    src = docs.filter("doc_id IS NOT NULL").select("doc_id", text_of("text").alias("text"))
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, first int, last int, node bigint, sig binary")
+    src = docs.filter("doc_id IS NOT NULL").select("doc_id", row_key().alias("row"), text_of("text").alias("text"))
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, row bigint, first int, last int, node bigint, sig binary")
 
 
 def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -153,17 +160,221 @@ def line_links(docs: DataFrame, rows: DataFrame, similarity: float = 0.8) -> Dat
     return links.unionByName(settle(loose, nodes, roots, fetch, similarity)) if loose.head(1) else links
 
 
-def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Repeated paragraphs of ``docs`` (doc_id, text): doc_id, first_word, end_word, class_id, class_word, removed.
+def _contexts(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """node, side, ctx, n, doc_id, row, first, lo_doc, lo_first: the ``REACH`` words before (side 0, nearest first)
+    and after (side 1) each shared run, as 6 bytes of each word's hash; ``n`` of them are in the text."""
+    asked = runs.groupBy("row").agg(F.collect_list(F.struct("first", "node", F.col("lo.doc_id").alias("lo_doc"), F.col("lo.first").alias("lo_first"))).alias("_r"))
+    asked = asked.select(F.col("row").alias("_row"), *[F.col(f"_r.{c}").alias(f"_{c}") for c in ("first", "node", "lo_doc", "lo_first")])
+    src = docs.filter("doc_id IS NOT NULL").select("doc_id", row_key().alias("row"), text_of("text").alias("text"))
+    kind = src.schema["doc_id"].dataType.simpleString()
+    src = src.join(asked, F.col("row") == F.col("_row")).select("doc_id", "row", "text", "_first", "_node", "_lo_doc", "_lo_first")
 
-    One row per paragraph whose class has members in two or more documents. A class is a component of
-    equal or similar paragraphs; class_id and class_word are the place of its first member by (doc_id,
-    word), which stays; all others are ``removed``. Paragraphs are lines of 20 words or more (``similarity``
-    over 5-word shingles), and common runs inside sliding paragraphs, so any common passage of 49 words is
-    found. Equal paragraphs are collapsed by hash before banding: a line that a third of all documents
-    has is one node. Defined cases: NULL, empty and shorter texts have no paragraphs; rows without an id
-    are left out; rows that repeat an id do not make a repeat; an empty table gives no rows.
+    def run(batches: Iterable):
+        import pyarrow as pa
+
+        hashes = WordHashes()
+        at = np.arange(REACH)
+        for t in slices(batches, 256):
+            ctx, n, back = [], [], []
+            for i, (text, first) in enumerate(zip(byte_texts(t.column(2)), t.column(3).to_pylist())):
+                h = np.maximum(hashes.of(text.lower().split()) >> np.uint64(16), np.uint64(1)) << np.uint64(16)
+                padded = np.zeros(len(h) + 2 * REACH, ">u8")
+                padded[REACH : REACH + len(h)] = h
+                p = np.array(first, np.int64)
+                before = padded[p[:, None] + REACH - 1 - at]
+                after = padded[p[:, None] + REACH + LEAST_WORDS + at]
+                for words in (before, after):
+                    x = words.view(np.uint8).reshape(len(p), REACH, 8)[:, :, :6].reshape(len(p), -1)
+                    ctx += [c.tobytes() for c in x]
+                n += [np.minimum(p, REACH), np.minimum(len(h) - p - LEAST_WORDS, REACH)]
+                back += [np.full(2 * len(p), i)]
+            if not back:
+                continue
+            # each text's runs appear twice, one side after the other
+            start = t.column(3).offsets.to_numpy() - t.column(3).offsets[0].as_py()
+            twice = pa.array(np.concatenate([np.tile(np.arange(a, b), 2) for a, b in zip(start, start[1:])]))
+            side = np.concatenate([np.repeat([0, 1], b - a) for a, b in zip(start, start[1:])])
+            back = pa.array(np.concatenate(back))
+            first, node, lo_doc, lo_first = (t.column(j).flatten().take(twice) for j in (3, 4, 5, 6))
+            yield pa.RecordBatch.from_arrays(
+                [node, pa.array(side, pa.int32()), pa.array(ctx, pa.binary()), pa.array(np.concatenate(n), pa.int32()),
+                 t.column(0).take(back), t.column(1).take(back), first, lo_doc, lo_first],
+                names=["node", "side", "ctx", "n", "doc_id", "row", "first", "lo_doc", "lo_first"],
+            )
+
+    return src.mapInArrow(run, f"node bigint, side int, ctx binary, n int, doc_id {kind}, row bigint, first int, lo_doc {kind}, lo_first int")
+
+
+class _Reach:
+    """How far each member of a run's class goes on like others, on one side.
+
+    Members come in the order of their contexts (the class' first member before all), so the one that
+    goes on alike for longest is the nearest that qualifies, before or after. ``wide``: like a member in
+    another document. ``tight``: like a member at an earlier place, which may be cut."""
+
+    def __init__(self, out: list):
+        self.out, self.key = out, None
+
+    @staticmethod
+    def alike(x: int, y: int) -> int:
+        return (48 * REACH - (x ^ y).bit_length()) // 48
+
+    def add(self, key, v: int, n: int, doc, row: int, first: int, lo) -> None:
+        place = (doc, first)
+        if key != self.key:
+            self.end()
+            self.key, self.lo, self.stack, self.island, self.before = key, None, [], [], None
+            self.lo = [key, v, n, doc, row, first, 0, 0, lo, 2]
+            return
+        alike, (lo_v, lo_doc) = self.alike, (self.lo[1], self.lo[3])
+        with_lo = alike(v, lo_v)
+        x = [key, v, n, doc, row, first, 0, with_lo if place != lo else -1, lo, 2]
+        if doc != lo_doc:
+            x[6] = with_lo
+            self.lo[6] = max(self.lo[6], with_lo)
+        if self.island and self.island[-1][3] != doc:
+            self.before = self.island[-1][1]
+            for y in self.island:
+                y[6] = max(y[6], alike(y[1], v))
+                self.done(y)
+            self.island = []
+        if self.before is not None:
+            x[6] = max(x[6], alike(v, self.before))
+        self.island.append(x)
+        stack = self.stack
+        while stack and (stack[-1][3], stack[-1][5]) > place:
+            y = stack.pop()
+            self.better(y, x)
+            self.done(y)
+        if stack and x[7] >= 0:
+            self.better(x, stack[-1])
+        if x[7] == REACH:  # whoever is like it is as much like the other, which is earlier
+            self.done(x)
+        else:
+            stack.append(x)
+
+    def better(self, x: list, y: list) -> None:
+        k = self.alike(x[1], y[1])
+        if k > x[7] >= 0 and (y[3], y[5]) < (x[3], x[5]):
+            x[7], x[8] = k, (y[3], y[5])
+
+    def done(self, x: list) -> None:
+        x[9] -= 1
+        if not x[9]:
+            self.emit(x)
+
+    def end(self) -> None:
+        if self.key is not None:
+            for x in (*self.island, *self.stack):
+                self.done(x)
+            self.lo[7] = -1
+            self.emit(self.lo)
+
+    def emit(self, x: list) -> None:
+        (_, side), _, n, doc, row, first, wide, tight, (cls, at), _ = x
+        wide = min(wide, n)
+        tight = min(tight, wide)
+        left, right = (1, 0) if side == 0 else (0, 1)
+        a, b = first - left * wide, first + LEAST_WORDS + right * wide
+        c, d = (first - left * tight, first + LEAST_WORDS + right * tight) if tight >= 0 else (-1, -1)
+        self.out.append((doc, row, a, b, c, d, cls, at - left * max(tight, 0)))
+
+
+def _merged(spans: list) -> list:
+    """Spans (first, last, …) in order; those that overlap are one, with the rest of the first."""
+    out: list = []
+    for x in spans:
+        if out and x[0] < out[-1][1]:
+            out[-1][1] = max(out[-1][1], x[1])
+        else:
+            out.append(list(x))
+    return out
+
+
+def _joined(doc, rows: list) -> list:
+    """(first, last, class id, class word, removed) of one text's (wide and tight) spans."""
+    cut = _merged(sorted({(c, d, cls, at) for _, _, c, d, cls, at in rows if c >= 0}, key=lambda x: (x[0], x[2], x[3])))
+    out = [(*x, True) for x in cut]
+    i = 0
+    for a, b in _merged(sorted({x[:2] for x in rows})):
+        while i < len(cut) and cut[i][1] < b:
+            i += 1
+        if not (i < len(cut) and cut[i][0] <= a):
+            out.append((a, b, doc, a, False))
+    return out
+
+
+def embedded(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc_id, row, first, last, class_id, class_word, removed: whole common passages around shared runs.
+
+    ``runs``: doc_id, row, first, node, lo (place of the node's first member). From a passage's edge to its
+    nearest chosen run, and between two of them, there are at most ``REACH`` words; so each run is extended
+    word by word that far, and what overlaps in a text is merged. A class is not compared pair by pair:
+    sorted by their words, those members that go on alike for longest stand side by side.
     """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    ctx = _contexts(docs, runs).withColumn("later", (F.col("doc_id") != F.col("lo_doc")) | (F.col("first") != F.col("lo_first")))
+    ctx = ctx.repartition("node").sortWithinPartitions("node", "side", "later", "ctx", "doc_id", "first", "row")
+
+    def reach(batches: Iterable):
+        import pyarrow as pa
+
+        out: list = []
+        r, last = _Reach(out), None
+
+        def batch():
+            cols = list(zip(*out)) or [()] * 8
+            kinds = [ids, pa.int64(), *[pa.int32()] * 4, ids, pa.int32()]
+            got = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "row", "a", "b", "c", "d", "class_id", "class_word"])
+            out.clear()
+            return got
+
+        ids = None
+        for t in slices(batches, 8192):
+            ids = t.schema.field("doc_id").type
+            names = ("node", "side", "ctx", "n", "doc_id", "row", "first", "lo_doc", "lo_first")
+            for node, side, x, n, doc, row, first, lo_doc, lo_first in zip(*[t.column(c).to_pylist() for c in names]):
+                if (node, side, doc, row, first) != last:  # rows may be repeated
+                    last = (node, side, doc, row, first)
+                    r.add((node, side), int.from_bytes(x, "big"), n, doc, row, first, (lo_doc, lo_first))
+            yield batch()
+        r.end()
+        if out:
+            yield batch()
+
+    spans = ctx.mapInArrow(reach, f"doc_id {kind}, row bigint, a int, b int, c int, d int, class_id {kind}, class_word int")
+    spans = spans.repartition("row").sortWithinPartitions("row")
+
+    def join(batches: Iterable):
+        import pyarrow as pa
+
+        out, held, key, ids = [], [], None, None
+
+        def batch():
+            cols = list(zip(*out)) or [()] * 7
+            kinds = [ids, pa.int64(), pa.int32(), pa.int32(), ids, pa.int32(), pa.bool_()]
+            got = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "row", "first", "last", "class_id", "class_word", "removed"])
+            out.clear()
+            return got
+
+        for t in slices(batches, 8192):
+            ids = t.schema.field("doc_id").type
+            for doc, row, *x in zip(*[c.to_pylist() for c in t.columns]):
+                if row != key and held:
+                    out += [(at, key, *y) for y in _joined(at, held)]
+                    held = []
+                key, at = row, doc
+                held.append(tuple(x))
+            yield batch()
+        if held:
+            out += [(at, key, *y) for y in _joined(at, held)]
+            yield batch()
+
+    return spans.mapInArrow(join, f"doc_id {kind}, row bigint, first int, last int, class_id {kind}, class_word int, removed boolean")
+
+
+def _repeats(docs: DataFrame, similarity: float) -> DataFrame:
+    """:func:`repeats` with the row's key."""
     rows = materialise(extract(docs), "paragraphs")
     roots = components(line_links(docs, rows, similarity))
     place = F.struct("doc_id", "first")
@@ -171,22 +382,45 @@ def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     seen = seen.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = seen.groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter(F.col("lo.doc_id") < F.col("hi"))
     found = materialise(seen.select("node", "root").join(classes, "root").select("node", "lo"), "repeated-nodes")
-    out = rows.select("doc_id", "first", "last", "node").join(found, "node")
-    return out.select(
+    out = materialise(rows.select("doc_id", "row", "first", "last", "node", F.col("sig").isNull().alias("run")).join(found, "node"), "repeated-paragraphs")
+    lines = out.filter("NOT run").select(
         "doc_id",
-        F.col("first").alias("first_word"),
-        F.col("last").alias("end_word"),
+        "row",
+        "first",
+        "last",
         F.col("lo.doc_id").alias("class_id"),
         F.col("lo.first").alias("class_word"),
         (~((F.col("doc_id") == F.col("lo.doc_id")) & (F.col("first") == F.col("lo.first")))).alias("removed"),
-    ).distinct()
+    )
+    return lines.unionByName(embedded(docs, out.filter("run"))).withColumnsRenamed({"first": "first_word", "last": "end_word"})
+
+
+def repeats(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Repeated paragraphs of ``docs`` (doc_id, text): doc_id, first_word, end_word, class_id, class_word, removed.
+
+    Lines: one row per line of 20 words or more whose class has members in two or more documents. A class is
+    a component of equal or similar lines (``similarity`` over 5-word shingles); class_id and class_word are
+    the place of its first member by (doc_id, word), which stays; all others are ``removed``.
+
+    Embedded passages: any common passage of 49 words is found, wherever lines begin and end, and reported
+    from its first to its last common word; overlapping ones of a text are one row. All words of a row are
+    common to other documents, and those of a ``removed`` one also stand at an earlier place by (doc_id,
+    word); class_id and class_word are such a place of its beginning. A passage that goes on, in another
+    document, beyond what stands earlier has a row that stays, with its own place. Words are compared by 48
+    bits of their hashes.
+
+    Equal paragraphs are collapsed by hash before banding: a line that a third of all documents
+    has is one node. Defined cases: NULL, empty and shorter texts have no paragraphs; rows without an id
+    are left out; rows that repeat an id do not make a repeat; an empty table gives no rows.
+    """
+    return _repeats(docs, similarity).drop("row").distinct()
 
 
 def remove(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``docs`` without the removed paragraphs of :func:`repeats`; the other words keep their white space."""
-    cut = repeats(docs, similarity).filter("removed").groupBy("doc_id").agg(F.collect_set(F.struct("first_word", "end_word")).alias("_cut"))
-    cut = cut.withColumnRenamed("doc_id", "_cut_id")
-    j = docs.join(cut, F.col("doc_id") == F.col("_cut_id"), "left")
+    cut = _repeats(docs, similarity).filter("removed").groupBy("row").agg(F.collect_set(F.struct("first_word", "end_word")).alias("_cut"))
+    cut = cut.withColumnRenamed("row", "_cut_row")
+    j = docs.join(cut, F.when(F.col("doc_id").isNotNull(), row_key()) == F.col("_cut_row"), "left")
     # words stand at the odd places of (space, word, space, word, ...)
     text = text_of("text")
     words, spaces = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""), F.split(text, r"[^\x20\x09-\x0D]+")

@@ -124,6 +124,54 @@ def test_similar_lines_and_removal(spark, hard_docs, no_docs):
     assert passages.repeats(no_docs).collect() == []
 
 
+def test_whole_embedded_passages_are_reported_and_removed(spark):
+    rng = np.random.default_rng(8)
+    fresh = iter(range(10**9))
+
+    def new(n):
+        return [f"u{next(fresh)}" for _ in range(n)]
+
+    rows, want = [], {}
+    for case, n in enumerate([49, 55, 60, 80, 120, 300] * 3):
+        passage = new(n)
+        for copy in range(3):
+            before = int(rng.integers(0, 70))
+            i = 10 * case + copy
+            rows.append((i, "\n".join([*new(before), " ".join(passage[:9]), *passage[9:], *new(int(rng.integers(0, 70)))])))
+            want[i] = (before, before + n)
+    # all members share the middle, later ones two different, longer passages
+    x, mid, y = new(40), new(60), new(40)
+    for i, (a, b) in enumerate([(new(40), new(40)), (x, new(40)), (x, new(40)), (new(40), y), (new(40), y)]):
+        rows.append((1000 + i, " ".join([*a, *mid, *b])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = defaultdict(set)
+    for r in passages.repeats(df).collect():
+        if r.doc_id < 1000 or (r.first_word, r.end_word) != (0, 140):  # the latter are similar lines, if any
+            got[r.doc_id].add((r.first_word, r.end_word, r.class_id, r.class_word, r.removed))
+    for i, (a, b) in want.items():
+        lo = i - i % 10
+        assert (a, b, lo, want[lo][0], i != lo) in got[i], (i, got[i])
+    embedded = {i: {s[:2] + s[4:] for s in got[i]} for i in range(1000, 1005)}
+    assert embedded == {
+        1000: {(40, 100, False)},
+        1001: {(40, 100, True), (0, 100, False)},
+        1002: {(0, 100, True)},
+        1003: {(40, 100, True), (40, 140, False)},
+        1004: {(40, 140, True)},
+    }
+    left = {r.doc_id: (r.text or "").split() for r in passages.remove(df).collect()}
+    texts = {i: t.split() for i, t in rows}
+    assert all(left[i] == (texts[i] if i % 10 == 0 else texts[i][:a] + texts[i][b:]) for i, (a, b) in want.items())
+    assert left[1002] == texts[1002][100:] and left[1004] == texts[1004][:40]
+
+
+def test_cuts_follow_the_row_when_an_id_has_two_texts(spark):
+    p = [f"p{i}" for i in range(60)]
+    rows = [(1, " ".join(p)), (2, "a\n" + " ".join(p) + "\nb"), (2, " ".join(f"q{i}" for i in range(80)))]
+    left = sorted(" ".join(r.text.split()) for r in passages.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert left == sorted(["a b", rows[0][1], rows[2][1]])
+
+
 def test_edited_fingerprints_equal_plain_python(documents, hard_docs, no_docs):
     import hashlib
 
