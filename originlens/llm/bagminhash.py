@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from originlens.llm.common import GOLDEN, WordHashes, byte_texts, mix64, shingles, signed, slices, text_of
@@ -94,8 +94,14 @@ def node_of(words: list[bytes]) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def row_key() -> Column:
+    """Key of a row: an id may be NULL or repeated with another text."""
+    return F.xxhash64("doc_id", text_of("text"))
+
+
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, node, sig (binary; NULL for a text without words) of every whole text."""
+    """doc_id, node, sig (binary; NULL for a text without words) of every whole text; ``_row`` if docs have it."""
+    more = [c for c in docs.columns if c == "_row"]
 
     def run(batches: Iterable):
         import pyarrow as pa
@@ -106,12 +112,13 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
             s = signatures([bag(hashes.of(w), k) for w in words])
             sig = [s[i].tobytes() if w else None for i, w in enumerate(words)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([node_of(w) for w in words], pa.int64()), pa.array(sig, pa.binary())],
-                names=["doc_id", "node", "sig"],
+                [b.column(0), pa.array([node_of(w) for w in words], pa.int64()), pa.array(sig, pa.binary()), *b.columns[2:]],
+                names=["doc_id", "node", "sig", *more],
             )
 
-    src = docs.select("doc_id", text_of("text").alias("text"))
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, node bigint, sig binary")
+    src = docs.select("doc_id", text_of("text").alias("text"), *more)
+    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, node bigint, sig binary"
+    return src.mapInArrow(run, ", ".join([schema, *[f"{c} bigint" for c in more]]))
 
 
 def bands(nodes: DataFrame, id_col: str = "node", width: int = ROWS, m: int = M) -> DataFrame:
@@ -338,6 +345,13 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     Defined cases: a text without words (NULL, empty) is a class of its own row's id; repeated rows share
     a class; a NULL id is never the class_id of a class with other ids; an empty table gives no rows.
     """
+    placed = _placed(docs, k, similarity)
+    ids = placed.groupBy("_empty", "root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return placed.join(ids, ["_empty", "root"]).select("doc_id", "class_id", "class_size")
+
+
+def _placed(docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """doc_id, _empty, root (``_row`` if docs have it): the class of every row."""
     rows = materialise(sketch(docs, k), "sketches")
     nodes = materialise(
         rows.filter("sig IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "nodes"
@@ -355,18 +369,19 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     if loose.head(1):
         more = materialise(settle(loose, nodes, roots, fetch, similarity), "more-links")
         roots = components(links.unionByName(more))
-    placed = rows.select("doc_id", "node", F.col("sig").isNull().alias("_empty")).join(roots, "node", "left")
+    more = [c for c in docs.columns if c == "_row"]
+    placed = rows.select("doc_id", "node", F.col("sig").isNull().alias("_empty"), *more).join(roots, "node", "left")
     # rows without words stand alone, by their id
     root = F.when(F.col("_empty"), F.xxhash64(F.lit("empty"), "doc_id")).otherwise(F.coalesce("root", "node"))
-    placed = placed.select("doc_id", "_empty", root.alias("root"))
-    ids = placed.groupBy("_empty", "root").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return placed.join(ids, ["_empty", "root"]).select("doc_id", "class_id", "class_size")
+    return placed.select("doc_id", "_empty", root.alias("root"), *more)
 
 
 def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row of each class of :func:`classes`: that of its smallest id (a repeated id: one of its rows,
-    the first in the order of text). Rows with a NULL id stay if their class has no other id."""
-    c = classes(docs, k, similarity)
-    kept = c.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    d = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return d.dropDuplicates(["doc_id"])
+    """One row of each class of :func:`classes`: that of its smallest id, by the row's key (id and text) if that
+    id has several rows there. Rows count, not ids: an id keeps a row in each class of its texts. A row with
+    a NULL id stays if its class has no other id."""
+    placed = _placed(docs.withColumn("_row", row_key()), k, similarity)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = placed.groupBy("_empty", "root").agg(first.alias("first")).select("first._row")
+    d = docs.withColumn("_row", row_key()).join(kept, "_row", "left_semi")
+    return d.dropDuplicates(["_row"]).select(*docs.columns)

@@ -6,10 +6,10 @@ from collections.abc import Iterable
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from originlens.llm.bagminhash import bands, loose_links, screen, settle, stars, verify
+from originlens.llm.bagminhash import bands, loose_links, row_key, screen, settle, stars, verify
 from originlens.llm.common import WordHashes, byte_texts, mix64, shingles, signed, slices, text_of
 from originlens.llm.components import components
 from originlens.session import materialise
@@ -89,11 +89,6 @@ def paragraphs(text: bytes, hashes: WordHashes) -> list[tuple[int, int, int, byt
     return out
 
 
-def row_key() -> Column:
-    """Key of a row: an id may be repeated with another text."""
-    return F.xxhash64("doc_id", text_of("text"))
-
-
 def extract(docs: DataFrame) -> DataFrame:
     """doc_id, row, first, last, node, sig of all paragraphs of all whole texts; rows without an id are left out."""
 

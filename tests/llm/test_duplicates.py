@@ -74,6 +74,13 @@ def test_hard_cases(hard_docs, no_docs):
     assert bm.classes(no_docs).collect() == [] and bm.deduplicate(no_docs).collect() == []
 
 
+def test_rows_are_kept_by_class_not_by_id(spark):
+    t = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcde"}
+    rows = [(None, t["a"]), (None, t["b"]), (None, t["c"]), (1, t["c"]), (2, t["d"]), (2, t["e"]), (3, t["d"]), (3, t["d"])]
+    kept = bm.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[1], rows[3], rows[4], rows[5]], key=str)
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     x = np.arange(1, 301, dtype=np.uint64) * np.uint64(7919)
