@@ -187,3 +187,10 @@ def op1_lm_score(spark, sf):
     from originlens.llm import lm
 
     return lm.score_held_out(table(spark, sf, "documents"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark, sf):
+    from originlens.llm import whitening
+
+    return whitening.whiten(table(spark, sf, "embeddings"))
