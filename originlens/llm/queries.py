@@ -194,3 +194,10 @@ def op13_whitening(spark, sf):
     from originlens.llm import whitening
 
     return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query("op12_gray_simhash")
+def op12_gray_simhash(spark, sf):
+    from originlens.llm import grayindex
+
+    return grayindex.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
