@@ -18,22 +18,22 @@ MOST = 1 << 53
 LEAST_SHARE = 1e-12
 
 
-def scaled(embeddings: DataFrame, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id, x (array of long, floor of ``scale`` times each entry) of the usable rows.
+def scaled(embeddings: DataFrame, scale: int = 256, keep: tuple[str, ...] = ("vec_id",), vec_col: str = "embedding") -> DataFrame:
+    """The columns ``keep`` and x (array of long, floor of ``scale`` times each entry) of the usable rows.
 
     Rows whose vector is NULL, or holds a NULL, non-finite or scaled beyond 2^53 entry are left out."""
     v = F.col(vec_col).cast("array<double>")
     good = F.forall(v, lambda c: c.isNotNull() & (F.abs(c) < float(MOST // scale)))
     rows = embeddings.filter(F.coalesce(good, F.lit(False)))
-    return rows.select(F.col(id_col).alias("vec_id"), F.transform(v, lambda c: F.floor(c * F.lit(float(scale)))).alias("x"))
+    return rows.select(*keep, F.transform(v, lambda c: F.floor(c * F.lit(float(scale)))).alias("x"))
 
 
-def _padded(rows: DataFrame, dims: int) -> DataFrame:
+def padded(rows: DataFrame, dims: int) -> DataFrame:
     """Vectors shorter than ``dims`` end with zeros."""
     return rows.withColumn("x", F.concat("x", F.array_repeat(F.lit(0).cast("long"), F.lit(dims) - F.size("x"))))
 
 
-def _matrix(column, dims: int) -> np.ndarray:
+def matrix(column, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dims)
 
 
@@ -53,7 +53,7 @@ def _totals(fit: DataFrame, dims: int) -> tuple[int, list[int]]:
 
         n, total = 0, [0] * dims
         for b in slices(batches):
-            x = _matrix(b.column(0), dims)
+            x = matrix(b.column(0), dims)
             n += len(x)
             # two halves of 32 bits, whose sums over a batch can't overflow
             high = (x >> 32).sum(axis=0).tolist()
@@ -79,7 +79,7 @@ def _centred_squares(fit: DataFrame, centre: list[int]) -> dict[tuple[int, int],
 
         alone, pairs = [0] * dims, [0] * len(first)
         for b in slices(batches, block):
-            z = _matrix(b.column(0), dims) - np.array(centre, np.int64)
+            z = matrix(b.column(0), dims) - np.array(centre, np.int64)
             alone = [t + v for t, v in zip(alone, _squares(z))]
             pairs = [t + v for t, v in zip(pairs, _squares(z[:, first] + z[:, second]))]
         yield pa.RecordBatch.from_pydict(
@@ -148,7 +148,7 @@ def _identity_error(fit: DataFrame, w: Whitening) -> float:
 
         total, square = np.zeros(k), np.zeros((k, k))
         for b in slices(batches):
-            y = w.project(_matrix(b.column(0), dims))
+            y = w.project(matrix(b.column(0), dims))
             total += y.sum(axis=0)
             square += y.T @ y
         yield pa.RecordBatch.from_pydict({"pos": list(range(k + k * k)), "v": [*total.tolist(), *square.ravel().tolist()]})
@@ -196,7 +196,7 @@ def whiten(embeddings: DataFrame, components: int = 4, scale: int = 256) -> Data
     schema = f"vec_id {kind}, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double"
     least, dims = rows.agg(F.min(F.size("x")), F.max(F.size("x"))).first()
     if dims and least < dims:
-        rows = _padded(rows, dims)
+        rows = padded(rows, dims)
     w = fit_whitening(rows, dims, components) if dims else None
     if w is None:
         return embeddings.sparkSession.createDataFrame([], schema)
@@ -207,7 +207,7 @@ def whiten(embeddings: DataFrame, components: int = 4, scale: int = 256) -> Data
         import pyarrow as pa
 
         for b in slices(batches):
-            x = _matrix(b.column(1), dims)
+            x = matrix(b.column(1), dims)
             each = np.repeat(np.arange(len(x)), k)
             yield pa.RecordBatch.from_arrays(
                 [
