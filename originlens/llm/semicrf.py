@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -18,12 +20,13 @@ KINDS = ("email", "ip", "card", "phone")
 # The base patterns.
 _MAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# a match always starts where a run of digits does; saying so keeps long runs linear
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _DIGITS = re.compile(r"[0-9]+")
-_RUN = re.compile(r"[0-9+(][0-9 ().+/-]*[0-9]")
+_RUN = re.compile(r"[0-9 ().+/-]+")
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]")
 _WORD = re.compile(r"([^\W\d_]+)[^\w\n]{0,3}$")
 
@@ -59,7 +62,7 @@ def base_spans(text: str) -> list[Span]:
     out = [("email", a, b) for a, b in _mails(text)]
     if _DIGITS.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p := part.lstrip("0")) <= 3 and int(p or 0) <= 255 for part in m[0].split(".")):
                 out.append(("ip", *m.span()))
         for m in _CARD.finditer(text):
             d = m[0].replace(" ", "").replace("-", "")
@@ -75,8 +78,11 @@ def regions(text: str) -> list[tuple[int, int]]:
     """Where candidate spans lie: runs of number characters with enough digits, and runs around an @."""
     out = []
     for m in _RUN.finditer(text):
-        if len(m[0]) >= LEAST_DIGITS and sum(map(m[0].count, "0123456789")) >= LEAST_DIGITS:
-            out.append(m.span())
+        # from the first digit, plus or parenthesis to the last digit
+        run = m[0].rstrip(" ().+/-")
+        start = len(run) - len(run.lstrip(" )./-"))
+        if len(run) - start >= LEAST_DIGITS and sum(map(run.count, "0123456789")) >= LEAST_DIGITS:
+            out.append((m.start() + start, m.start() + len(run)))
     at = text.find("@")
     while at >= 0:
         a, b = at, at + 1
@@ -179,25 +185,23 @@ class SpanModel:
                 by_end.setdefault(q, []).append((p, kind, s))
         if not by_end:
             return []
-        ends = sorted(by_end)
-        marks = sorted({a, *ends})
-        best, how = {a: 0.0}, {}
-        last = a
-        for q in marks[1:] if marks[0] == a else marks:
-            best[q], how[q] = best[last], None
+        marks = [a, *sorted(by_end)]
+        best, how = [0.0], [None]
+        for q in marks[1:]:
+            score, step = best[-1], None
             for p, kind, s in by_end[q]:
-                before = max(m for m in best if m <= p)
-                if best[before] + s > best[q]:
-                    best[q], how[q] = best[before] + s, (before, (kind, p, q))
-            last = q
-        out, q = [], last
-        while q != a:
-            step = how[q]
-            if step:
-                out.append(step[1])
-                q = step[0]
+                before = bisect_right(marks, p) - 1
+                if best[before] + s > score:
+                    score, step = best[before] + s, (before, (kind, p, q))
+            best.append(score)
+            how.append(step)
+        out, at = [], len(marks) - 1
+        while at:
+            if how[at]:
+                out.append(how[at][1])
+                at = how[at][0]
             else:
-                q = max(m for m in best if m < q)
+                at -= 1
         return out[::-1]
 
 
@@ -305,10 +309,12 @@ def train(docs: DataFrame, sample: int = 1500, seed: str = "pii") -> SpanModel:
 def find(text: str, model: SpanModel) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans: the base and what the model adds beside it."""
     base = base_spans(text)
+    starts, reach = [x for _, x, _ in base], list(accumulate((y for _, _, y in base), max))
     more = []
     for a, b in regions(text):
         for kind, p, q in model.decode(text, a, b):
-            if not any(p < y and x < q for _, x, y in base):
+            before = bisect_left(starts, q)
+            if not before or reach[before - 1] <= p:
                 more.append((kind, p, q))
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0]))) if more else base
 

@@ -1,10 +1,15 @@
 """Chat format, language, personal data, decontamination, mix, quality."""
 
+import functools
 import hashlib
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from originlens.llm import chat, decontam, langid, mixing, rules, semicrf
@@ -96,6 +101,49 @@ def test_base_spans_equal_the_patterns(text):
     assert semicrf.base_spans(text) == _base(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("0123456789+()./- a@", max_size=60))
+def test_regions_are_runs_of_numbers(text):
+    runs = [m.span() for m in re.finditer(r"[0-9+(][0-9 ().+/-]*[0-9]", text) if sum(map(str.isdigit, m[0])) >= semicrf.LEAST_DIGITS]
+    plain = text.replace("@", "a")
+    if plain == text:
+        assert semicrf.regions(text) == runs
+
+
+@pytest.mark.parametrize("text", ["x " + "0" * 5000 + "1.1.1.1 y", "1.1.1." + "0" * 5000 + "7", "9" * 5000 + ".1.1.1"])
+def test_long_numbers(text):
+    found = [text[a:b] for kind, a, b in semicrf.base_spans(text) if kind == "ip"]
+    assert found == ([] if text[0] == "9" else [text.split()[-2] if text[0] == "x" else text])
+    semicrf.SpanModel().decode(text, 0, len(text))
+
+
+@pytest.mark.parametrize("text", ["+" * 1_000_000, "7" * 1_000_000, "1." * 5_000, "+1 (499) 555-6503, " * 10_000, "+1 (499) 555-6503 " * 2_000])
+def test_long_texts_take_seconds(text):
+    model = semicrf.SpanModel({("phone", "bias"): 1.0, ("phone", "digits=11"): 1.0})
+    start = time.time()
+    semicrf.find(text, model)
+    assert time.time() - start < 60
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("0123456789+() -", min_size=7, max_size=26), st.integers(0, 9))
+def test_decoding_finds_the_best_segmentation(text, seed):
+    rng = random.Random(seed)
+    spans = semicrf.candidates(text, 0, len(text))
+    weights = {(k, f): rng.uniform(-1, 1) for p, q in spans for f in semicrf.features(text, p, q) for k in ("ip", "card", "phone")}
+    model = semicrf.SpanModel(weights)
+    value = {(p, q): max(model.score(k, semicrf.features(text, p, q)) for k in ("ip", "card", "phone")) for p, q in spans}
+
+    @functools.cache
+    def best(at):
+        after = [value[p, q] + best(q) for p, q in spans if p >= at]
+        return max([0.0, *after])
+
+    got = model.decode(text, 0, len(text))
+    assert all(a[2] <= b[1] for a, b in zip(got, got[1:]))
+    assert sum(value[p, q] for _, p, q in got) == pytest.approx(best(0))
+
+
 def test_personal_data(spark, documents, hard_docs, no_docs):
     model = semicrf.train(documents)
     found = {r.doc_id: r for r in semicrf.digest(semicrf.spans(documents, model)).collect()}
