@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from originlens.functions.text import strip, words
+from originlens.sources.split_csv import read_split_csv
 
 # File names a training folder may hold, in order of preference.
 TRAIN_NAMES = ["train_essays.csv", "train_essays.parquet", "train.csv", "train.parquet"]
@@ -44,11 +45,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", split: bool = True) -> DataFrame:
     """CSV with a header and quoted texts that may span lines.
 
     Columns go by the names in the header, in whatever order; others are ignored, a missing one is an
-    error. Convert such a file to Parquet once: a text that spans lines keeps a file from being split."""
+    error. Files are cut into ranges that tasks parse side by side (:mod:`split_csv`), which takes quotes to enclose
+    whole values; ``split=False`` has Spark read each file in one task, for files with other quotes or line ends."""
     reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"', sep=sep)
     names = reader.csv(path).columns
     lacking = [f.name for f in schema if f.name not in names]
@@ -56,7 +58,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",
         raise ValueError(f"{path} has no column {', '.join(lacking)}")
     own = {f.name: f for f in schema}
     found = T.StructType([own.get(n, T.StructField(n, T.StringType())) for n in names])
-    return reader.schema(found).csv(path).select(*[f"`{f.name}`" for f in schema])
+    rows = read_split_csv(spark, path, found, sep) if split else reader.schema(found).csv(path)
+    return rows.select(*[f"`{f.name}`" for f in schema])
 
 
 def read_any(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:

@@ -1,5 +1,7 @@
 """Readers, writers and the score store."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +102,66 @@ def test_shared_dir_follows_the_setting(spark):
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     path = session.shared_dir(spark, "x")
     assert path.startswith(base) and path != session.shared_dir(spark, "x")
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Scans cut files into ranges of the given number of bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {n: spark.conf.get(n) for n in names}
+
+    def cut(size):
+        for n in names:
+            spark.conf.set(n, str(size))
+
+    yield cut
+    for n, v in old.items():
+        spark.conf.set(n, v)
+
+
+def _csv(rows, end="\n", sep=","):
+    def field(v):
+        s = "" if v is None else str(v)
+        return '"' + s.replace('"', '""') + '"' if any(c in s for c in f'"{sep}\n\r') else s
+
+    return "id,prompt_id,text,generated".replace(",", sep) + end + "".join(sep.join(map(field, r)) + end for r in rows)
+
+
+def _random_rows(seed, n):
+    rng = random.Random(seed)
+    bits = ["a", "word", " ", ",", ";", '"', '""', "\n", "\n\n", "\r\n", "é", "本", "end."]
+    return [(f"i{i}", i, "".join(rng.choices(bits, k=rng.choice([0, 3, 10, 60, 400]))).strip() or None, i % 2) for i in range(n)]
+
+
+@pytest.mark.parametrize("size, end, sep", [(40, "\n", ","), (300, "\r\n", ","), (1000, "\n", ";"), (10_000_000, "\n", ",")])
+def test_csv_in_ranges_equals_one_task(spark, tmp_path, small_ranges, size, end, sep):
+    rows = _random_rows(size, 120)
+    for name, part in (("a", rows[:100]), ("b", rows[100:])):
+        (tmp_path / "t").mkdir(exist_ok=True)
+        (tmp_path / "t" / f"{name}.csv").write_text(_csv(part, end, sep), newline="")
+    path = str(tmp_path / "t")
+    small_ranges(size)
+    if size <= 300:
+        assert spark.read.text(path).rdd.getNumPartitions() >= 8
+    got = readers.read_csv(spark, path, readers.ESSAYS, sep).collect()
+    if end == "\n":  # the one-task reader turns all line ends of the other files into line feeds
+        assert sorted(map(tuple, got)) == sorted(map(tuple, readers.read_csv(spark, path, readers.ESSAYS, sep, split=False).collect()))
+    assert {r.id: r.text for r in got} == {r[0]: r[2] for r in rows}
+
+
+def test_csv_record_longer_than_many_ranges(spark, tmp_path, small_ranges):
+    long = "line with, commas and \"quotes\"\n" * 300
+    rows = [("a", 1, "x", 0), ("b", 2, long, 1), ("c", 3, "y\nz", 0), ("d", 4, None, 1)]
+    (tmp_path / "t.csv").write_text("\n" + _csv(rows).replace("c,3", "\n\nc,3"))
+    small_ranges(100)
+    got = readers.read_csv(spark, str(tmp_path / "t.csv"), readers.ESSAYS).collect()
+    assert sorted(map(tuple, got)) == rows
+
+
+def test_csv_without_rows_and_with_open_quotes(spark, tmp_path, small_ranges):
+    (tmp_path / "t.csv").write_text("id,prompt_id,text,generated\n")
+    assert readers.read_csv(spark, str(tmp_path / "t.csv"), readers.ESSAYS).collect() == []
+    (tmp_path / "u.csv").write_text('id,prompt_id,text,generated\na,1,"open,0\n')
+    small_ranges(16)
+    with pytest.raises(ValueError, match="pair up"):
+        readers.read_csv(spark, str(tmp_path / "u.csv"), readers.ESSAYS)
