@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from originlens.functions.hashing import uniform
 from originlens.functions.vectors import l2_normalize
 from originlens.operators import metrics, neighbors
+from originlens.operators.ann import NeighborIndex
 from originlens.operators.leakage import scored_queries
 from originlens.plans import duck, views
 from originlens.plans.registry import query
 from originlens.plans.views import rounded
+from originlens.session import materialise, shared_dir
 
 
 @query(
@@ -48,6 +50,25 @@ def h3_knn_cosine(spark, sf):
     return neighbors.knn_cosine(train, q, 5)
 
 
+@query(
+    "h3_approximate_recall",
+    f"WITH {duck.EMB} SELECT count(*) AS n_queries, 5 * count(*) AS n_neighbours, true AS recall_reached FROM query",
+)
+def h3_approximate_recall(spark, sf):
+    """Recall of the tuned index against the exact search over all queries; 0.9 must be reached."""
+    train, q = views.emb_sides(spark, sf)
+    train, q = materialise(train, "train"), materialise(q, "query")
+    index = NeighborIndex.build(train, shared_dir(spark, "index")).tuned(train)
+    found = index.search(q).select("qid", "tid", F.lit(1).alias("hit"))
+    exact = neighbors.knn_cosine(train, q, 5)
+    both = exact.join(found, ["qid", "tid"], "left")
+    return both.agg(
+        F.countDistinct("qid").alias("n_queries"),
+        F.count(F.lit(1)).alias("n_neighbours"),
+        (F.sum("hit") >= F.lit(0.9) * F.count(F.lit(1))).alias("recall_reached"),
+    )
+
+
 _SCORED = f"WITH {duck.EMB}, {duck.knn('near', 'train', 'query')}, {duck.knn_scored('scored', 'near', 'train', 'query')}"
 
 
