@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from originlens.operators.kernels import fit_svc, fit_svr
 from originlens.operators.metrics import roc_auc, threshold_metrics
 from originlens.operators.neighbors import knn_cosine, neighbour_summary
 from originlens.operators.sampling import holdout_permutation, stratified_kfold
 from originlens.session import materialise
 
-KINDS = ["log_reg", "svc", "elastic", "sgd", "rfc", "knnc", "vote"]
+KINDS = ["log_reg", "svc", "linear_svc", "svr", "elastic", "sgd", "rfc", "knnc", "vote"]
 MIN_META_MODELS = 2
 FOREST_DEPTH = 30  # the deepest trees Spark grows
 
@@ -105,10 +106,14 @@ def fit_classifier(
 ) -> FittedClassifier:
     """Fit one of :data:`KINDS` on ``train``.
 
-    ``svc`` is linear, ``sgd`` is a least-squares fit without penalty and ``elastic`` one with both
-    penalties, ``knnc`` uses cosine distance and ``C`` neighbours, and ``vote``
+    ``svc`` and ``svr`` have a Gaussian kernel (:mod:`kernels`); ``svc`` gives probabilities, ``svr`` values.
+    ``linear_svc`` is a hinge-loss fit on the features themselves, ``sgd`` a least-squares fit without penalty and
+    ``elastic`` one with both penalties, ``knnc`` uses cosine distance and ``C`` neighbours, and ``vote``
     averages the probabilities of ``svc`` and ``rfc``.
     """
+    if kind in ("svc", "svr"):
+        machine = fit_svc(train, label, features, key, c) if kind == "svc" else fit_svr(train, label, features, c)
+        return FittedClassifier(kind, lambda df: machine.score(df, features))
     v = as_vectors(train, features)
     if kind == "log_reg":
         model = _logistic(v, label, c, 1000)
@@ -117,7 +122,7 @@ def fit_classifier(
             return _drop_ml(
                 model.transform(as_vectors(df, features)).withColumn("score", vector_to_array("probability")[1])
             )
-    elif kind == "svc":
+    elif kind == "linear_svc":
         n = v.count()
         model = LinearSVC(
             featuresCol="features_vec", labelCol=label, regParam=1.0 / (c * max(n, 1)), standardization=False

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from originlens.functions.hashing import uniform
-from originlens.operators import ensembles, features, models, ngram
+from originlens.operators import ensembles, features, kernels, models, ngram
 from originlens.operators.metrics import model_summary
 from originlens.operators.sampling import holdout_permutation
 from originlens.plans import duck, views
@@ -99,6 +99,28 @@ def m2_fit_classifier(spark, sf):
     return out
 
 
+@query(
+    "m2_svr_gradient",
+    "SELECT CAST(unnest(range(65)) AS INTEGER) AS weight, 0.0::DOUBLE AS gradient",
+)
+def m2_svr_gradient(spark, sf):
+    """The mean gradient at the weights of a support-vector regression, which is zero at the optimum."""
+    train = _score_features(spark, sf).filter("split = 'val'")
+    g = kernels.svr_gradient(kernels.fit_svr(train, components=64), train)
+    return g.select("weight", (F.round("gradient", 3) + F.lit(0.0)).alias("gradient"))
+
+
+@query(
+    "m2_svc_probabilities",
+    f"WITH {duck.SCORES} SELECT DISTINCT doc_id, true AS in_range FROM scores WHERE split = 'test'",
+)
+def m2_svc_probabilities(spark, sf):
+    """Every test row gets a probability from the kernel classifier."""
+    f = _score_features(spark, sf)
+    fitted = models.fit_classifier("svc", f.filter("split = 'val'"), key="doc_id")
+    return fitted.score(f.filter("split = 'test'")).select("doc_id", F.col("score").between(0.0, 1.0).alias("in_range"))
+
+
 @query("m3_calibrated")
 def m3_calibrated(spark, sf):
     f = _score_features(spark, sf)
