@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from originlens.functions.text import words
 from originlens.session import materialise
@@ -26,7 +27,12 @@ DELTA = 0.9
 
 def tokenize_corpus(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One row per token: key, pos from 0, token."""
-    return df.select(key, F.posexplode(words(text)).alias("pos", "token"))
+    return df.select(key, F.posexplode(_tokens(df, text)).alias("pos", "token"))
+
+
+def _tokens(df: DataFrame, text: str) -> Column:
+    """The words of a text column, or the tokens that an array column holds already."""
+    return F.col(text) if isinstance(df.schema[text].dataType, T.ArrayType) else words(text)
 
 
 def _w(n: int) -> list[str]:
@@ -35,7 +41,7 @@ def _w(n: int) -> list[str]:
 
 def raw_counts(df: DataFrame, n: int, text: str = "text") -> DataFrame:
     """w1..wn and their count ``c``."""
-    tokens = df.select(words(text).alias("_t"))
+    tokens = df.select(_tokens(df, text).alias("_t"))
     shifted = [F.expr(f"slice(_t, {i + 1}, greatest(size(_t) - {n - 1}, 0))").alias(f"w{i + 1}") for i in range(n)]
     rows = tokens.select(*shifted).select(F.inline(F.arrays_zip(*_w(n))))
     return rows.groupBy(*_w(n)).agg(F.count(F.lit(1)).alias("c"))
@@ -100,7 +106,7 @@ class NgramModel:
 
 def occurrences(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """One row per token: its position and the trigram ending in it, after two begin tokens."""
-    padded = df.select(key, F.concat(F.array(F.lit(BEGIN), F.lit(BEGIN)), words(text)).alias("_t"))
+    padded = df.select(key, F.concat(F.array(F.lit(BEGIN), F.lit(BEGIN)), _tokens(df, text)).alias("_t"))
     shifted = [F.expr(f"slice(_t, {i + 1}, size(_t) - 2)").alias(f"w{i + 1}") for i in range(3)]
     zipped = padded.select(key, *shifted).select(key, F.posexplode(F.arrays_zip("w1", "w2", "w3")).alias("pos", "g"))
     return zipped.select(key, "pos", "g.w1", "g.w2", "g.w3")

@@ -6,17 +6,33 @@ from pyspark.sql import functions as F
 
 from originlens.functions import vectors as V
 from originlens.functions.hashing import uniform
-from originlens.operators import features, ngram
+from originlens.operators import features, ngram, subwords
 from originlens.plans import duck, views
 from originlens.plans.registry import query
 from originlens.plans.views import rounded, single
 
+#: Merge ranks of a public vocabulary of byte pairs.
+SUBWORD_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 @query("g1_tokenize_corpus", f"WITH {duck.GRAMS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, w AS token FROM tok")
 def g1_tokenize_corpus(spark, sf):
     return ngram.tokenize_corpus(views.texts(spark, sf), "doc_id")
 
 
+@query(
+    "g1_subword_tokens",
+    "SELECT doc_id, md5(text) AS text_md5, CAST(strlen(text) AS BIGINT) AS n_bytes, true AS known FROM documents WHERE text IS NOT NULL",
+)
+def g1_subword_tokens(spark, sf):
+    """Subwords of a public vocabulary; joined again, they are the bytes of the text."""
+    ranks = subwords.read_ranks(spark, SUBWORD_RANKS)
+    t = subwords.subword_tokens(views.texts(spark, sf).filter("text is not null"), ranks)
+    joined = F.encode(F.array_join("tokens", ""), "ISO-8859-1")
+    known = F.coalesce(F.array_max("token_ids") < len(ranks), F.lit(True)) & (F.size("token_ids") == F.size("tokens"))
+    return t.select("doc_id", F.md5(joined).alias("text_md5"), F.octet_length(joined).cast("long").alias("n_bytes"), known.alias("known"))
+
+
 @query(
     "g2_ngram_counts",
     f"""WITH {duck.GRAMS}

@@ -90,6 +90,51 @@ def test_store_computes_missing_rows_once(spark, tmp_path):
     assert store.stored("m", "test").count() == 5 and store.stored("m", "val").count() == 0
 
 
+def _store_rows(spark, ids):
+    return spark.createDataFrame([(i,) for i in ids], "id string")
+
+
+def test_null_and_repeated_ids_are_stored_once(spark, tmp_path):
+    store = PredictionStore(spark, str(tmp_path / "store"))
+    calls = []
+
+    def compute(df):
+        calls.append(df.count())
+        return df.select("id", F.lit(0.25).alias("score"))
+
+    for _ in range(2):
+        got = store.get(_store_rows(spark, ["a", None, "a", None, "b"]), "m", "s", compute)
+        assert sorted(map(str, [r.id for r in got.collect()])) == ["None", "a", "b"]
+    assert calls == [3, 0] and store.stored("m", "s").count() == 3 and len(store.folders("m", "s")) == 1
+
+
+def test_a_failed_write_is_never_seen(spark, tmp_path, monkeypatch):
+    store = PredictionStore(spark, str(tmp_path / "store"))
+    half = lambda df: df.select("id", F.lit(0.5).alias("score"))
+    store.get(_store_rows(spark, ["a"]), "m", "s", half)
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            store.get(_store_rows(spark, ["a", "b"]), "m", "s", half)
+    assert [r.id for r in store.stored("m", "s").collect()] == ["a"]
+    assert store.get(_store_rows(spark, ["a", "b"]), "m", "s", half).count() == 2
+    assert store.stored("m", "s").count() == 2
+
+
+def test_two_writers_keep_each_id_once(spark, tmp_path):
+    one, two = (PredictionStore(spark, str(tmp_path / "store")) for _ in range(2))
+
+    def slow(df):
+        # the other writer commits while this one computes
+        two.get(_store_rows(spark, ["b", "c"]), "m", "s", lambda d: d.select("id", F.lit(2.0).alias("score")))
+        return df.select("id", F.lit(1.0).alias("score"))
+
+    got = one.get(_store_rows(spark, ["a", "b"]), "m", "s", slow)
+    assert sorted(map(tuple, got.collect())) == [("a", 1.0), ("b", 2.0)]
+    assert sorted(map(tuple, two.stored("m", "s").collect())) == [("a", 1.0), ("b", 2.0), ("c", 2.0)]
+    assert len(one.folders("m", "s")) == 2
+
+
 def test_splits_on_disk(spark, tmp_path):
     df = spark.createDataFrame([(i, i % 4, 1, "train" if i % 4 < 2 else "test") for i in range(8)], "row_id int, essay_idx int, is_generated int, split string")
     writers.write_splits(df, str(tmp_path / "s"), 42)
