@@ -1,9 +1,12 @@
-"""Per-row text and token expressions. Everything stays inside the JVM."""
+"""Per-row text and token expressions. Texts stay inside the JVM."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 # The code points Unicode counts as white space, as a character class that
 # both Java and RE2 accept, and the same characters as a string.
@@ -102,37 +105,49 @@ def truncate_tokens(tokens, max_len: int, side: str = "right") -> Column:
     return F.slice(t, F.greatest(F.lit(1), F.size(t) - max_len + 1), F.lit(max_len))
 
 
+def _starts(lengths: np.ndarray, limit: int) -> list[int]:
+    """Positions of the sentences that begin a chunk.
+
+    ``ends[i]`` is the length of all sentences to i, each with two characters behind it. A chunk goes on while it
+    stays within the limit, so the next start is found by bisection in the ends; the sentence that opens a
+    chunk counts without its two characters, unless it is the first of the text and fits."""
+    ends = np.cumsum(lengths.astype(np.int64) + 2)
+    out, at = [], 0
+    while at < len(ends):
+        out.append(at)
+        before = int(ends[at - 1]) if at else 0
+        room = limit + before + (0 if at == 0 and ends[0] <= limit else 2)
+        at = max(at + 1, int(np.searchsorted(ends, room, side="right")))
+    return out
+
+
 def pack_sentences(text, max_chars: int = 5000) -> Column:
     """ARRAY<STRING> of chunks: sentences packed in order while they fit ``max_chars``.
 
-    A text that fits stays whole. A sentence longer than the limit becomes its own chunk.
+    A text that fits stays whole. A sentence longer than the limit becomes its own chunk. The work is linear in the text;
+    only the lengths of the sentences leave the JVM, as Arrow batches.
     """
     t = _col(text)
     sentences = F.filter(
         F.transform(F.split(F.translate(t, "!?", ".."), r"\."), strip), lambda s: s != ""
     )
-    empty = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        F.array().cast("array<string>").alias("open"),
-        F.lit(0).alias("size"),
-    )
+    whole = F.length(t) <= max_chars
+
+    @pandas_udf("array<int>")
+    def starts(lengths: pd.Series) -> pd.Series:
+        return pd.Series([None if n is None else _starts(np.asarray(n), max_chars) for n in lengths], dtype=object)
+
+    first = starts(F.when(~whole, F.transform(sentences, F.length)))
+
+    def chunk(parts, begin, end):
+        return F.concat(F.array_join(F.slice(parts, begin + 1, end - begin), ". "), F.lit("."))
+
+    # a transform over one struct evaluates the sentences once for all chunks
+    def chunks(x):
+        after = F.concat(F.slice(x["first"], F.lit(2), F.size(x["first"])), F.array(F.size(x["parts"])))
+        ranges = F.arrays_zip(x["first"].alias("begin"), after.alias("end"))
+        return F.transform(ranges, lambda r: chunk(x["parts"], r["begin"], r["end"]))
 
-    def close(state):
-        chunk = F.concat(F.array_join(state["open"], ". "), F.lit("."))
-        return F.when(F.size(state["open"]) > 0, F.array_append(state["done"], chunk)).otherwise(state["done"])
-
-    def step(state, s):
-        fits = state["size"] + F.length(s) + 2 <= max_chars
-        return F.when(
-            fits,
-            F.struct(
-                state["done"].alias("done"),
-                F.array_append(state["open"], s).alias("open"),
-                (state["size"] + F.length(s) + 2).alias("size"),
-            ),
-        ).otherwise(
-            F.struct(close(state).alias("done"), F.array(s).alias("open"), F.length(s).alias("size"))
-        )
-
-    packed = F.aggregate(sentences, empty, step, close)
-    return F.when(F.length(t) <= max_chars, F.array(t)).otherwise(packed)
+    both = F.array(F.struct(sentences.alias("parts"), first.alias("first")))
+    packed = F.element_at(F.transform(both, chunks), 1)
+    return F.when(whole, F.array(t)).when(F.size(first) == 0, F.array().cast("array<string>")).otherwise(packed)

@@ -1,6 +1,7 @@
 """Text and vector expressions against plain Python."""
 
 import re
+import time
 
 import numpy as np
 import pytest
@@ -92,6 +93,23 @@ def test_pack_sentences_properties(spark, paragraphs, limit):
             assert sum(len(p) + 2 for p in left) + len(right[0]) > limit - 2
 
 
+def test_pack_sentences_of_a_long_text(spark):
+    """As a plain fold, and in seconds; NULL and empty texts."""
+    parts = [f"s{i} " + "x" * (i * 7919 % 90) for i in range(100_000)]
+    text = ". ".join(p.strip() for p in parts) + "."
+    rows = spark.createDataFrame([(0, text), (1, None), (2, ""), (3, "!" * 5000)], "i int, t string")
+    begin = time.time()
+    got = {r.i: r.c for r in rows.select("i", tx.pack_sentences("t", 1000).alias("c")).collect()}
+    assert time.time() - begin < 60
+    want, chunk, size = [], [], 0
+    for p in (p.strip() for p in parts):
+        if size + len(p) + 2 <= 1000:
+            chunk, size = [*chunk, p], size + len(p) + 2
+        else:
+            want, chunk, size = ([*want, ". ".join(chunk) + "."] if chunk else want), [p], len(p)
+    assert got == {0: [*want, ". ".join(chunk) + "."], 1: None, 2: [""], 3: []}
+
+
 def test_overlap_and_truncation(spark):
     assert one(spark, tx.word_overlap("a", "b"), a="The cat the dog", b="THE fox") == pytest.approx(100 / 3)
     assert one(spark, tx.word_overlap("a", "b"), a="", b="x") == 0.0
