@@ -26,7 +26,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _DIGITS = re.compile(r"[0-9]+")
-_RUN = re.compile(r"[0-9 ().+/-]+")
+_RUN = re.compile(r"[0-9+(][0-9 ().+/-]*+")
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]")
 _WORD = re.compile(r"([^\W\d_]+)[^\w\n]{0,3}$")
 
@@ -78,11 +78,9 @@ def regions(text: str) -> list[tuple[int, int]]:
     """Where candidate spans lie: runs of number characters with enough digits, and runs around an @."""
     out = []
     for m in _RUN.finditer(text):
-        # from the first digit, plus or parenthesis to the last digit
         run = m[0].rstrip(" ().+/-")
-        start = len(run) - len(run.lstrip(" )./-"))
-        if len(run) - start >= LEAST_DIGITS and sum(map(run.count, "0123456789")) >= LEAST_DIGITS:
-            out.append((m.start() + start, m.start() + len(run)))
+        if len(run) >= LEAST_DIGITS and sum(map(run.count, "0123456789")) >= LEAST_DIGITS:
+            out.append((m.start(), m.start() + len(run)))
     at = text.find("@")
     while at >= 0:
         a, b = at, at + 1
