@@ -104,12 +104,16 @@ def fit_svc(
     train: DataFrame, label: str = "y", features: str = "features", key: str = "id", c: float = 1.0, components: int = COMPONENTS, cv: int = 5, seed: int = 42
 ) -> KernelMachine:
     """A hinge-loss classifier; its probabilities come from a sigmoid over the margins of ``cv`` folds, each
-    scored by a machine that was fitted on the others. Rows with NULL features or label are an error in Spark's fit."""
+    scored by a machine that was fitted on the others; ``cv=0`` gives margins instead. Rows with NULL features or label are an error in Spark's fit."""
     n, dims, gamma = scale_gamma(train, features)
     f = FourierFeatures.make(dims, gamma, components, seed)
-    folds = stratified_kfold(train.select(key, label, features), str(seed), cv, label, key)
+    rows = train.select(key, label, features)
+    folds = stratified_kfold(rows, str(seed), cv, label, key) if cv else rows.withColumn("fold", F.lit(0))
     mapped = _stored(folds.select("fold", F.col(label).cast("double").alias("y"), f.column(features).alias("z")), n, components)
     mapped = mapped.withColumn("_v", array_to_vector("z"))
+    whole = _hinge(mapped, "y", c)
+    if not cv:
+        return KernelMachine(f, *whole)
     held = None
     for fold in range(cv):
         w, b = _hinge(mapped.filter(F.col("fold") != fold), "y", c)
@@ -117,8 +121,7 @@ def fit_svc(
         held = one if held is None else held.unionByName(one)
     held = held.withColumn("_v", array_to_vector(F.array("m")))
     sigmoid = LogisticRegression(featuresCol="_v", labelCol="y", regParam=0.0).fit(held)
-    w, b = _hinge(mapped, "y", c)
-    return KernelMachine(f, w, b, (float(sigmoid.coefficients[0]), float(sigmoid.intercept)))
+    return KernelMachine(f, *whole, (float(sigmoid.coefficients[0]), float(sigmoid.intercept)))
 
 
 def _product(array: str, w: np.ndarray) -> Column:

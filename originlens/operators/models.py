@@ -102,17 +102,17 @@ def _drop_ml(df: DataFrame) -> DataFrame:
 
 
 def fit_classifier(
-    kind: str, train: DataFrame, label: str = "y", features: str = "features", key: str = "id", c: float = 1.0
+    kind: str, train: DataFrame, label: str = "y", features: str = "features", key: str = "id", c: float = 1.0, margins: bool = False
 ) -> FittedClassifier:
     """Fit one of :data:`KINDS` on ``train``.
 
-    ``svc`` and ``svr`` have a Gaussian kernel (:mod:`kernels`); ``svc`` gives probabilities, ``svr`` values.
+    ``svc`` and ``svr`` have a Gaussian kernel (:mod:`kernels`); ``svc`` gives probabilities, or margins if ``margins``, and ``svr`` values.
     ``linear_svc`` is a hinge-loss fit on the features themselves, ``sgd`` a least-squares fit without penalty and
     ``elastic`` one with both penalties, ``knnc`` uses cosine distance and ``C`` neighbours, and ``vote``
     averages the probabilities of ``svc`` and ``rfc``.
     """
     if kind in ("svc", "svr"):
-        machine = fit_svc(train, label, features, key, c) if kind == "svc" else fit_svr(train, label, features, c)
+        machine = fit_svc(train, label, features, key, c, cv=0 if margins else 5) if kind == "svc" else fit_svr(train, label, features, c)
         return FittedClassifier(kind, lambda df: machine.score(df, features))
     v = as_vectors(train, features)
     if kind == "log_reg":
@@ -178,7 +178,7 @@ def calibrated(
     folds = materialise(stratified_kfold(train, seed, cv, label, key), "folds")
     members = []
     for fold in range(cv):
-        base = fit_classifier(kind, folds.filter(F.col("fold") != fold), label, features, key, c)
+        base = fit_classifier(kind, folds.filter(F.col("fold") != fold).drop("fold"), label, features, key, c, margins=True)
         held = base.score(folds.filter(F.col("fold") == fold))
         sigmoid = LogisticRegression(featuresCol="features_vec", labelCol=label, regParam=0.0).fit(
             as_vectors(held.withColumn("_one", F.array("score")), "_one")
