@@ -14,9 +14,9 @@ from originlens.session import materialise
 ROWS_PER_BUCKET = 4096
 
 
-def draw(key: str, seed: str) -> Column:
-    """A seeded draw of the key as 32 hex digits; it orders the rows of a source."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), text_of(key)))
+def draw(seed: str, key: str = "doc_id", text: str = "text") -> Column:
+    """A seeded draw of id and text as 32 hex digits; it orders the rows of a source. Only copies share it."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), text_of(key), F.lit(":"), F.md5(text_of(text))))
 
 
 def fill(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3) -> DataFrame:
@@ -45,13 +45,14 @@ def fill(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int =
 def plan(
     sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3
 ) -> DataFrame:
-    """What each source takes: source, words, source_no, target, whole, cut.
+    """What each source takes: source, words, source_no, target, whole, cut, more.
 
     ``sized``: source, size, draw, one row per document. Every document is taken ``whole`` times; those
-    whose draw is below ``cut`` once more (NULL: none is left out, empty string: none). The cut is the
-    draw at which the running words of the source pass what is missing to the target by more than half a
-    document. Running sums are made within buckets of draws, whose number follows from the largest
-    source, plus the sums of earlier buckets: a source with most of the rows spreads over all tasks.
+    whose draw is below ``cut`` once more (NULL: none is left out, empty string: none), and of the copies
+    whose draw is the cut, ``more``. The cut is the draw at which the running words of the source pass what
+    is missing to the target by more than half a document. Running sums are made within buckets of draws,
+    whose number follows from the largest source, plus the sums of earlier buckets: a source with most of the
+    rows spreads over all tasks, and copies, which share a draw, are counted before they meet.
     """
     stats = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("_n"))
     most = stats.agg(F.max("_n")).first()[0] or 1
@@ -70,45 +71,70 @@ def plan(
     )
     s = s.select(F.col("source").alias("_src"), F.col("_at._b").alias("_hit"), F.col("_at._before").alias("_before"), "_missing")
     inside = bucketed.join(s, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_b") == F.col("_hit")))
-    within = Window.partitionBy("source", "_b").orderBy("draw", "size").rowsBetween(Window.unboundedPreceding, 0)
-    run = F.col("_before") + F.sum("size").over(within) - F.col("size") / 2
+    inside = inside.groupBy("source", "_b", "_before", "_missing", "draw", "size").agg(F.count(F.lit(1)).alias("_n"))
+    within = Window.partitionBy("source", "_b").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.col("_before") + F.coalesce(F.sum(F.col("size") * F.col("_n")).over(within), F.lit(0))
+    inside = inside.withColumn("_reached", reached)
+    over = F.col("_reached") + F.col("size") * F.col("_n") - F.col("size") / 2 > F.col("_missing")
+    fit = F.greatest(F.floor((F.col("_missing") - F.col("_reached")) / F.col("size") + 0.5), F.lit(0))
     # a bucket whose last document still fits is followed by the next bucket's first draw
-    cuts = inside.withColumn("_over", run > F.col("_missing")).groupBy("source").agg(
-        F.min(F.when(F.col("_over"), F.col("draw"))).alias("_cut"), F.max("_b").alias("_last")
+    first = F.when(over, F.struct("draw", F.when(F.col("size") > 0, fit).otherwise(0).cast("long").alias("more")))
+    cuts = inside.groupBy("source").agg(F.min(first).alias("_first"), F.max("_b").alias("_last"))
+    cuts = cuts.select(
+        F.col("source").alias("_src"), F.coalesce("_first.draw", F.concat("_last", F.lit("g"))).alias("_cut"), "_first.more"
     )
-    cuts = cuts.select(F.col("source").alias("_src"), F.coalesce("_cut", F.concat("_last", F.lit("g"))).alias("_cut"))
     out = filled.join(cuts, F.col("source").eqNullSafe(F.col("_src")), "left")
     # nothing missing: no document is taken once more
-    cut = F.when(F.col("_missing") <= 0, F.lit("")).otherwise(F.col("_cut"))
-    return out.select("source", "words", "source_no", "target", "whole", cut.alias("cut"))
+    none = F.col("_missing") <= 0
+    return out.select(
+        "source", "words", "source_no", "target", "whole", F.when(none, F.lit("")).otherwise(F.col("_cut")).alias("cut"),
+        F.when(none, 0).otherwise(F.coalesce("more", F.lit(0))).alias("more"),
+    )
 
 
-def copies(planned: DataFrame, draw_col: str = "draw") -> Column:
-    """Times a document is taken, from the columns of :func:`plan`."""
-    once_more = F.col("cut").isNull() | (F.col(draw_col) < F.col("cut"))
-    return (F.col("whole") + F.when(once_more, 1).otherwise(0)).cast("long")
+def times(rows: DataFrame, planned: DataFrame, name: str) -> DataFrame:
+    """Add ``_n``, the times a row is taken, to rows of source and ``_draw``; ``_p`` is the plan's row.
+
+    Copies at a cut are numbered within the partitions they are stored in, and these are counted: no task
+    holds all of them. Which of the copies is taken more often is not defined."""
+    p = planned.select(F.struct(*planned.columns).alias("_p"))
+    j = rows.join(p, F.col("source").eqNullSafe(F.col("_p.source")))
+    tied = (F.col("_p.more") > 0) & F.coalesce(F.col("_draw") == F.col("_p.cut"), F.lit(False))
+    once_more = F.col("_p.cut").isNull() | (F.col("_draw") < F.col("_p.cut"))
+    out = j.withColumn("_n", (F.col("_p.whole") + F.when(once_more, 1).otherwise(0)).cast("long"))
+    if planned.filter("more > 0").isEmpty():
+        return out
+    at = j.filter(tied).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    at = materialise(at, name)
+    sums = at.groupBy(F.col("source").alias("_s"), F.col("_part").alias("_q")).agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.partitionBy("_s").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_earlier", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+    at = at.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_q")))
+    number = F.col("_earlier") + F.row_number().over(Window.partitionBy("source", "_part").orderBy("_at"))
+    at = at.withColumn("_n", (F.col("_p.whole") + F.when(number <= F.col("_p.more"), 1).otherwise(0)).cast("long"))
+    return out.filter(~tied).unionByName(at.select(*out.columns))
 
 
 def sizes(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, draw of each row: the narrow table the plan is made from."""
-    return docs.select("doc_id", "source", n_words("text").alias("size"), draw("doc_id", seed).alias("draw"))
+    return docs.select("doc_id", "source", n_words("text").alias("size"), draw(seed).alias("draw"))
 
 
 def mixed_sizes(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: str = "mix") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken.
 
     Target sizes add up to all words of the corpus; no document is taken more than ``epochs`` times.
-    Reruns agree, for the draw is a hash of the seed and the id. Defined cases: NULL text has size 0,
-    NULL source is a source of its own (the last), a NULL id draws as the empty text, repeated rows are
-    taken alike, an empty table gives an empty result. Other columns of ``docs`` are not read.
+    Reruns agree, for the draw is a hash of the seed, the id and the text. Defined cases: NULL text has size 0,
+    NULL source is a source of its own (the last), a NULL id draws as the empty one, of equal rows as many are
+    taken once more as come nearest to the target, an empty table gives an empty result. Other columns of
+    ``docs`` are not read.
     """
     sized = materialise(sizes(docs, seed), "mix-sizes")
-    p = materialise(plan(sized, weights, epochs), "mix-plan").withColumnRenamed("source", "_psource")
-    j = sized.join(p, F.col("source").eqNullSafe(F.col("_psource")))
-    j = j.withColumn("copies", copies(j))
+    p = materialise(plan(sized, weights, epochs), "mix-plan")
+    j = times(sized.withColumnRenamed("draw", "_draw"), p, "mix-tied")
     return j.select(
-        "doc_id", "source", "size", F.col("words").cast("long").alias("source_size"), "target", "copies",
-        (F.col("size") * F.col("copies")).alias("taken"),
+        "doc_id", "source", "size", F.col("_p.words").cast("long").alias("source_size"), F.col("_p.target").alias("target"),
+        F.col("_n").alias("copies"), (F.col("size") * F.col("_n")).alias("taken"),
     )
 
 
@@ -116,13 +142,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     """The rows of ``docs`` (doc_id, text, source and any others), each as often as the mix takes it.
 
     The decision is a comparison of the row's draw with its source's cut, so texts are not shuffled
-    while the source table is small enough to be broadcast. Cases as in :func:`mixed_sizes`.
+    while the source table is small enough to be broadcast. Cases as in :func:`mixed_sizes`; of rows with
+    equal id, text and source but different other columns, which is taken once more is not defined.
     """
     p = materialise(plan(materialise(sizes(docs, seed), "mix-sizes"), weights, epochs), "mix-plan")
-    p = p.select(F.struct("source", "whole", "cut").alias("_mix"))
-    j = docs.withColumn("_mix_draw", draw("doc_id", seed))
-    j = j.join(p, F.col("source").eqNullSafe(F.col("_mix.source")))
-    once_more = F.col("_mix.cut").isNull() | (F.col("_mix_draw") < F.col("_mix.cut"))
-    n = (F.col("_mix.whole") + F.when(once_more, 1).otherwise(0)).cast("int")
-    j = j.filter(n > 0).withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), n)))
-    return j.select(*[j[c] for c in docs.columns])
+    # the row travels as one struct, so that its columns may have any name
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), "source", draw(seed).alias("_draw"))
+    j = times(rows, p, "mix-tied").filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))))
+    return j.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])

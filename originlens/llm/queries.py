@@ -67,7 +67,7 @@ def op5_language(spark, sf):
     "op9_mix",
     r"""
 WITH sized AS (
-  SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS draw,
+  SELECT doc_id, source, md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS draw,
          len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS size
   FROM documents),
 src AS (
@@ -87,11 +87,12 @@ q AS (
          target - words * CASE WHEN words > 0 THEN floor(target / words) ELSE 0 END AS missing FROM tgt),
 run AS (
   SELECT d.*, q.words, q.target, q.whole, q.missing,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2.0::DOUBLE AS reach
-  FROM sized d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-cut AS (SELECT *, min(CASE WHEN reach > missing THEN draw END) OVER (PARTITION BY source) AS cut FROM run),
+         row_number() OVER o AS i, sum(d.size) OVER o - d.size / 2.0::DOUBLE AS reach
+  FROM sized d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+  WINDOW o AS (PARTITION BY d.source ORDER BY d.draw ROWS UNBOUNDED PRECEDING)),
+cut AS (SELECT *, min(CASE WHEN reach > missing THEN i END) OVER (PARTITION BY source) AS cut FROM run),
 taken AS (
-  SELECT *, (whole + CASE WHEN missing > 0 AND (cut IS NULL OR draw < cut) THEN 1 ELSE 0 END)::BIGINT AS copies FROM cut)
+  SELECT *, (whole + CASE WHEN missing > 0 AND (cut IS NULL OR i < cut) THEN 1 ELSE 0 END)::BIGINT AS copies FROM cut)
 SELECT doc_id, size, words AS source_size, round(target, 6) AS target, copies, size * copies AS taken FROM taken""",
 )
 def op9_mix(spark, sf):

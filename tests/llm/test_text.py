@@ -200,6 +200,23 @@ def test_mix_reaches_targets(spark, documents, hard_docs, no_docs):
     assert mixing.mixed_sizes(no_docs).collect() == [] and mixing.mix(no_docs).collect() == []
 
 
+def test_mix_of_rows_without_or_with_one_id(spark):
+    text = "w " * 30
+    rows = [(None, f"{text}{i}", "a") for i in range(500)] + [(7, f"{text}{i}", "b") for i in range(500)]
+    rows += [(8, text + "0", "c")] * 499 + [(i, text + "1", "d") for i in range(100, 600)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, source string, _p int")
+    got = mixing.mixed_sizes(df.repartition(6)).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 31 for s in "abcd")
+    assert {r.copies for r in got if r.source == "c"} == {0, 1}  # some of the equal rows
+    out = mixing.mix(df)
+    assert out.columns == df.columns
+    assert Counter(r.source for r in out.collect()) == {s: sum(r.copies for r in got if r.source == s) for s in "abcd"}
+
+
 def test_mix_of_one_and_of_wordless_sources(spark):
     df = spark.createDataFrame([(i, "a b c", "x") for i in range(50)] + [(99, None, "y")], "doc_id long, text string, source string")
     rows = mixing.mixed_sizes(df).collect()
