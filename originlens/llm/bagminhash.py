@@ -100,8 +100,7 @@ def row_key() -> Column:
 
 
 def sketch(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, node, sig (binary; NULL for a text without words) of every whole text; ``_row`` if docs have it."""
-    more = [c for c in docs.columns if c == "_row"]
+    """doc_id, node, sig (binary; NULL for a text without words), _row (:func:`row_key`) of every whole text."""
 
     def run(batches: Iterable):
         import pyarrow as pa
@@ -112,13 +111,12 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
             s = signatures([bag(hashes.of(w), k) for w in words])
             sig = [s[i].tobytes() if w else None for i, w in enumerate(words)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([node_of(w) for w in words], pa.int64()), pa.array(sig, pa.binary()), *b.columns[2:]],
-                names=["doc_id", "node", "sig", *more],
+                [b.column(0), pa.array([node_of(w) for w in words], pa.int64()), pa.array(sig, pa.binary()), b.column(2)],
+                names=["doc_id", "node", "sig", "_row"],
             )
 
-    src = docs.select("doc_id", text_of("text").alias("text"), *more)
-    schema = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, node bigint, sig binary"
-    return src.mapInArrow(run, ", ".join([schema, *[f"{c} bigint" for c in more]]))
+    src = docs.select("doc_id", text_of("text").alias("text"), row_key().alias("_row"))
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, node bigint, sig binary, _row bigint")
 
 
 def bands(nodes: DataFrame, id_col: str = "node", width: int = ROWS, m: int = M) -> DataFrame:
@@ -287,9 +285,9 @@ def screen(links: DataFrame, sigs: DataFrame, slack: float = SLACK) -> DataFrame
 
 
 def bags(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, x, c: the shingle multiset, as bytes, of each wanted node. ``wanted``: node, doc_id (one that has it)."""
-    asked = wanted.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node"))
-    src = docs.select("doc_id", text_of("text").alias("text")).join(asked, F.col("doc_id").eqNullSafe(F.col("_id")))
+    """node, x, c: the shingle multiset, as bytes, of each wanted node. ``wanted``: node, _row (key of a row that has it)."""
+    asked = wanted.select(F.col("_row").alias("_asked"), F.col("node").alias("_node"))
+    src = docs.select(row_key().alias("_row"), text_of("text").alias("text")).join(asked, F.col("_row") == F.col("_asked"))
 
     def run(batches: Iterable):
         import pyarrow as pa
@@ -299,7 +297,7 @@ def bags(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             rows = []
             for t, node in zip(byte_texts(b.column(0)), b.column(1).to_pylist()):
                 w = words_of(t)
-                if node_of(w) == node:  # an id may be repeated with another text
+                if node_of(w) == node:  # keys are hashes
                     x, c = bag(hashes.of(w), k)
                     rows.append((node, x.tobytes(), c.astype(np.uint32).tobytes()))
             yield pa.RecordBatch.from_pydict(
@@ -351,16 +349,16 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
 
 
 def _placed(docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """doc_id, _empty, root (``_row`` if docs have it): the class of every row."""
+    """doc_id, _empty, root, _row: the class of every row."""
     rows = materialise(sketch(docs, k), "sketches")
     nodes = materialise(
-        rows.filter("sig IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "nodes"
+        rows.filter("sig IS NOT NULL").groupBy("node").agg(F.min("_row").alias("_row"), F.first("sig").alias("sig")), "nodes"
     )
     members, star = stars(bands(nodes))
     star = materialise(screen(star, nodes), "star-links")
 
     def fetch(asked: DataFrame) -> DataFrame:
-        return materialise(bags(docs, nodes.select("node", "doc_id").join(asked.distinct(), "node"), k), "bags")
+        return materialise(bags(docs, nodes.select("node", "_row").join(asked.distinct(), "node"), k), "bags")
 
     ends = star.select(F.explode(F.array("a", "b")).alias("node"))
     links = materialise(verify(star, fetch(ends), similarity).select("a", "b"), "links")
@@ -369,19 +367,22 @@ def _placed(docs: DataFrame, k: int, similarity: float) -> DataFrame:
     if loose.head(1):
         more = materialise(settle(loose, nodes, roots, fetch, similarity), "more-links")
         roots = components(links.unionByName(more))
-    more = [c for c in docs.columns if c == "_row"]
-    placed = rows.select("doc_id", "node", F.col("sig").isNull().alias("_empty"), *more).join(roots, "node", "left")
+    placed = rows.select("doc_id", "node", F.col("sig").isNull().alias("_empty"), "_row").join(roots, "node", "left")
     # rows without words stand alone, by their id
     root = F.when(F.col("_empty"), F.xxhash64(F.lit("empty"), "doc_id")).otherwise(F.coalesce("root", "node"))
-    return placed.select("doc_id", "_empty", root.alias("root"), *more)
+    return placed.select("doc_id", "_empty", root.alias("root"), "_row")
 
 
 def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each class of :func:`classes`: that of its smallest id, by the row's key (id and text) if that
     id has several rows there. Rows count, not ids: an id keeps a row in each class of its texts. A row with
     a NULL id stays if its class has no other id."""
-    placed = _placed(docs.withColumn("_row", row_key()), k, similarity)
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
-    kept = placed.groupBy("_empty", "root").agg(first.alias("first")).select("first._row")
-    d = docs.withColumn("_row", row_key()).join(kept, "_row", "left_semi")
-    return d.dropDuplicates(["_row"]).select(*docs.columns)
+    # equal rows are counted first, so that only those which have copies are shuffled with their texts
+    rows = _placed(docs, k, similarity).groupBy("_empty", "root", "doc_id", "_row").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row", "n"))
+    kept = materialise(rows.groupBy("_empty", "root").agg(first.alias("first")).select("first._row", "first.n"), "kept-rows")
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), row_key().alias("_row"))
+    once = own.join(kept.filter("n = 1"), "_row", "left_semi")
+    copied = own.join(kept.filter("n > 1"), "_row", "left_semi").groupBy("_row").agg(F.first("_doc").alias("_doc"))
+    both = once.select("_doc").unionByName(copied.select("_doc"))
+    return both.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])
