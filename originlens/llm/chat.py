@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from originlens.llm.common import text_of
 
 
+#: Code points of a piece that spans are cut from when a text is read back.
+PIECE = 1024
+
+
 @dataclass(frozen=True)
 class Template:
     """Marks of the formatted text. ``also`` are control strings of other templates that texts may not inject.
@@ -55,8 +59,8 @@ def format_chats(turns: DataFrame, template: Template = Template(), loss_role: s
     template, their texts kept apart by its separator. ``loss_spans`` are the start (from 0) and length,
     in code points of ``formatted``, of each text of ``loss_role``; marks and roles are never inside.
 
-    Blocks are found by array functions over the borders between roles, so the work is linear in the
-    turns of a conversation. The result holds a conversation in one row; that is its shape.
+    Blocks are found by array functions over the borders between roles; no step copies or scans the whole
+    conversation per turn (hence no ``slice``), so the work is linear in its turns. The result holds a conversation in one row; that is its shape.
     Defined cases: NULL text or role is empty; ties in ``turn`` go by role, then text; repeated rows stay;
     NULL conv_id is a conversation of its own; an empty table gives no rows.
     """
@@ -67,8 +71,8 @@ def format_chats(turns: DataFrame, template: Template = Template(), loss_role: s
     at = F.expr("filter(sequence(0, size(_t) - 1), i -> i = 0 OR _t[i].role <> _t[i - 1].role)")
     g = g.withColumn("_from", at)
     runs = F.expr(
-        "transform(_from, (a, k) -> struct(_t[a].role AS role, transform(slice(_t, a + 1,"
-        " coalesce(get(_from, k + 1), size(_t)) - a), x -> x.text) AS texts))"
+        "transform(_from, (a, k) -> struct(_t[a].role AS role, transform(sequence(a,"
+        " coalesce(get(_from, k + 1), size(_t)) - 1), i -> _t[i].text) AS texts))"
     )
     g = g.withColumn("_runs", runs)
 
@@ -83,14 +87,20 @@ def format_chats(turns: DataFrame, template: Template = Template(), loss_role: s
         )
 
     g = g.withColumn("_blocks", F.transform("_runs", block))
-    # running sums of lengths: where each block and each text of it begins
-    sep = len(template.sep)
+    # a text's place is the sum of what comes before it; spans gather in lists of 256, so none is copied often
+    sep, tail = len(template.sep), len(template.end) + 1
+    texts = F.expr(
+        "flatten(transform(_blocks, (b, k) -> transform(b.lens, (n, i) -> struct("
+        f"CASE WHEN i > 0 THEN {sep} WHEN k > 0 THEN b.head + {tail} ELSE b.head END AS skip, n AS n, b.loss AS loss))))"
+    )
+    g = g.withColumn("_texts", texts)
+    span = "struct(a.at + e.skip AS start, cast(e.n AS bigint) AS length)"
     starts = F.expr(
-        "aggregate(_blocks, struct(0L AS at, array() :: array<struct<start:bigint,length:bigint>> AS spans),"
-        " (acc, b) -> struct(acc.at + length(b.out) AS at, if(b.loss, concat(acc.spans,"
-        f" aggregate(b.lens, struct(acc.at + b.head AS p, array() :: array<struct<start:bigint,length:bigint>> AS s),"
-        f" (q, n) -> struct(q.p + n + {sep} AS p, concat(q.s, array(struct(q.p AS start, cast(n AS bigint) AS length))) AS s)).s),"
-        " acc.spans) AS spans)).spans"
+        "aggregate(_texts, struct(0L AS at, array() :: array<struct<start:bigint,length:bigint>> AS last,"
+        " array() :: array<array<struct<start:bigint,length:bigint>>> AS full), (a, e) -> struct(a.at + e.skip + e.n AS at,"
+        f" CASE WHEN NOT e.loss THEN a.last WHEN size(a.last) = 256 THEN array({span}) ELSE concat(a.last, array({span})) END AS last,"
+        " if(e.loss AND size(a.last) = 256, concat(a.full, array(a.last)), a.full) AS full),"
+        " a -> concat(flatten(a.full), a.last))"
     )
     return g.select(
         "conv_id", F.array_join(F.transform("_blocks", lambda b: b["out"]), "").alias("formatted"), starts.alias("loss_spans")
@@ -111,10 +121,16 @@ def read_chats(formatted: DataFrame, template: Template = Template()) -> DataFra
         texts = F.split(F.substr(b, cut + 1), f"\\Q{template.sep}\\E")
         return F.transform(texts, lambda x: F.struct(role.alias("role"), template.unescape(x).alias("text")))
 
-    loss = F.transform(
-        "loss_spans",
-        lambda s: template.unescape(F.substr("formatted", (s["start"] + 1).cast("int"), s["length"].cast("int"))),
+    # a substring is searched from the start of its string, so spans are cut from pieces of a fixed length
+    # (bound by a lambda, they are made once per text, not once per span)
+    pieces = f"regexp_extract_all(formatted, '(?s).{{1,{PIECE}}}', 0)"
+    cut = (
+        f"substr(array_join(slice(x.pieces, cast(s.start DIV {PIECE} AS int) + 1,"
+        f" cast((s.start + s.length) DIV {PIECE} - s.start DIV {PIECE} AS int) + 1), ''),"
+        f" cast(s.start % {PIECE} AS int) + 1, cast(s.length AS int))"
     )
+    spans = f"transform(array(struct({pieces} AS pieces, loss_spans AS spans)), x -> transform(x.spans, s -> {cut}))[0]"
+    loss = F.transform(F.expr(spans), template.unescape)
     return formatted.select(
         "conv_id",
         F.flatten(F.transform(blocks, turns_of)).alias("turns"),

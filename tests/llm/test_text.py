@@ -38,6 +38,18 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(df.limit(0)).collect() == []
 
 
+def test_chat_of_many_turns_is_linear(spark):
+    n = 30000
+    role = F.when(F.col("id") % 3 == 0, "user").otherwise("assistant")
+    text = F.concat(F.lit("hello <s> é😀 "), F.col("id").cast("string"))
+    turns = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), text.alias("text"))
+    began = time.time()
+    r = chat.digest(chat.format_chats(turns)).first()
+    assert time.time() - began < 30
+    said = "".join(f"hello <s> é😀 {i}" for i in range(n) if i % 3)
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (n, len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
 def test_language_of_held_out_documents(documents, hard_docs, no_docs):
     got = langid.identify(documents).join(documents.select("doc_id", "lang"), "doc_id").filter("held_out")
     assert got.filter("lang = lang_pred").count() >= 0.95 * got.count()
