@@ -87,20 +87,27 @@ def format_chats(turns: DataFrame, template: Template = Template(), loss_role: s
         )
 
     g = g.withColumn("_blocks", F.transform("_runs", block))
-    # a text's place is the sum of what comes before it; spans gather in lists of 256, so none is copied often
+    # a text's place is the sum of what comes before it; a fold copies what it has gathered at each step, so texts
+    # are cut into lists of 256, whose own places are found first
     sep, tail = len(template.sep), len(template.end) + 1
-    texts = F.expr(
+    texts = (
         "flatten(transform(_blocks, (b, k) -> transform(b.lens, (n, i) -> struct("
         f"CASE WHEN i > 0 THEN {sep} WHEN k > 0 THEN b.head + {tail} ELSE b.head END AS skip, n AS n, b.loss AS loss))))"
     )
-    g = g.withColumn("_texts", texts)
+    lists = (
+        "t -> transform(sequence(0, cast((size(t) - 1) DIV 256 AS int)),"
+        " c -> transform(sequence(c * 256, least(c * 256 + 255, size(t) - 1)), i -> t[i]))"
+    )
+    g = g.withColumn("_lists", F.expr(f"transform(array({texts}), {lists})[0]"))
+    places = (
+        "aggregate(_lists, struct(0L AS at, array() :: array<bigint> AS places), (a, l) -> struct("
+        "a.at + aggregate(l, 0L, (p, e) -> p + e.skip + e.n) AS at, concat(a.places, array(a.at)) AS places)).places"
+    )
     span = "struct(a.at + e.skip AS start, cast(e.n AS bigint) AS length)"
     starts = F.expr(
-        "aggregate(_texts, struct(0L AS at, array() :: array<struct<start:bigint,length:bigint>> AS last,"
-        " array() :: array<array<struct<start:bigint,length:bigint>>> AS full), (a, e) -> struct(a.at + e.skip + e.n AS at,"
-        f" CASE WHEN NOT e.loss THEN a.last WHEN size(a.last) = 256 THEN array({span}) ELSE concat(a.last, array({span})) END AS last,"
-        " if(e.loss AND size(a.last) = 256, concat(a.full, array(a.last)), a.full) AS full),"
-        " a -> concat(flatten(a.full), a.last))"
+        f"flatten(zip_with(_lists, {places}, (l, at) -> aggregate(l,"
+        " struct(at AS at, array() :: array<struct<start:bigint,length:bigint>> AS spans), (a, e) -> struct("
+        f"a.at + e.skip + e.n AS at, if(e.loss, concat(a.spans, array({span})), a.spans) AS spans)).spans))"
     )
     return g.select(
         "conv_id", F.array_join(F.transform("_blocks", lambda b: b["out"]), "").alias("formatted"), starts.alias("loss_spans")
