@@ -1,7 +1,6 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import pytest
-from conftest import SF
 
 from originlens.plans import check, registry
 
@@ -9,8 +8,8 @@ registry.load_all()
 
 
 @pytest.fixture(scope="module")
-def duck():
-    return check.connect(SF)
+def duck(sf):
+    return check.connect(sf)
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
