@@ -2,8 +2,10 @@
 
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from originlens.operators import ngram
 from originlens.streaming import drift, incremental, scoring
 
 
@@ -36,6 +38,38 @@ def test_stream_scores_equal_batch_scores(spark, tmp_path):
     assert sorted(out.collect()) == sorted(score(data).collect())
 
 
+def test_stream_of_ngram_scores_survives_a_failed_batch(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+    data = spark.createDataFrame([(i, f"a b c{i % 3} a b d{i % 5}") for i in range(12)] + [(90, None), (91, "")], "id long, text string")
+    model = ngram.NgramModel.load(spark, _saved(data, str(tmp_path / "model")))
+    data.filter("id < 6").repartition(3).write.parquet(src)
+    calls = []
+
+    def score(batch):
+        scored = ngram.score_documents(batch, model, "id")
+        calls.append(scored.count())
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return scored
+
+    def run():
+        return scoring.stream_score_batches(spark, src, data.schema, score, out, ck, files_per_batch=1)
+
+    with pytest.raises(Exception, match="lost"):
+        run()
+    run()
+    data.filter("id >= 6").repartition(2).write.mode("append").parquet(src)
+    want = ngram.score_documents(data, model, "id")
+    assert sorted(map(tuple, run().select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    n = len(calls)
+    assert run().count() == want.count() and len(calls) == n  # nothing new
+
+
+def _saved(data, path):
+    ngram.fit(data.filter("text <> ''")).save(path)
+    return path
+
+
 def test_drift_updates_windows_and_drops_late_rows(spark, tmp_path):
     src = str(tmp_path / "src")
     day = datetime(2024, 1, 1)
