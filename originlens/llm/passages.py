@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from originlens.llm.bagminhash import bands, loose_links, row_key, screen, settle, stars, verify
-from originlens.llm.common import WordHashes, byte_texts, mix64, shingles, signed, slices, text_of
+from originlens.llm.common import GOLDEN, byte_texts, mix64, signed, slices, text_of
 from originlens.llm.components import components
 from originlens.session import materialise
 
@@ -24,7 +25,74 @@ SLACK = 0.4  #: least share of equal components worth the exact check: 5.6 stand
 #: Odd multipliers: shingle hashes are mixed already, so a product gives each component an order of its own.
 _SEEDS = [np.uint64(mix64(np.array([i + 1], np.uint64))[0]) | np.uint64(1) for i in range(COMPONENTS)]
 
-_BASE = 0xD1342543DE82EF95  #: of the polynomial that hashes a run
+_BASE = 0xD1342543DE82EF95  #: of the polynomials that hash words, lines and runs; odd, so that it has an inverse
+_BLOCK = 1 << 18  #: bytes of a text hashed at a time; a block ends between words
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER = mix64(np.arange(1, 257, dtype=np.uint64))
+_LETTER[ord("A") : ord("Z") + 1] = _LETTER[ord("a") : ord("z") + 1]
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, out=out)
+
+
+@lru_cache(1)
+def _usual_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, 2 * _BLOCK + 1), _powers(pow(_BASE, -1, 2**64), 2 * _BLOCK + 1)
+
+
+def span_hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Polynomials in ``values[first:last]``, wherever they stand, as differences of prefix sums."""
+    n = len(values)
+    up, down = _usual_powers() if n <= 2 * _BLOCK else (_powers(_BASE, n + 1), _powers(pow(_BASE, -1, 2**64), n + 1))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * up[:n], out=total[1:])
+    return (total[last] - total[first]) * down[first]
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of a text's words, A-Z as a-z, and the number of words before each line feed."""
+    hashes, breaks, n, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0
+    while at < len(text):
+        gap = _GAP.search(text, at + _BLOCK - 1) if len(text) - at > _BLOCK else None
+        end = gap.end() if gap else len(text)
+        b = np.frombuffer(text, np.uint8, end - at, at)
+        space = np.ones(len(b) + 2, bool)
+        space[1:-1] = _SPACE[b]
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        first, last = edge[::2], edge[1::2]
+        hashes.append(mix64(span_hashes(_LETTER[b], first, last)))
+        breaks.append(np.searchsorted(first, np.flatnonzero(b == 10)) + n)
+        n, at = n + len(first), end
+    return np.concatenate(hashes), np.concatenate(breaks)
+
+
+def hashed(texts: list[bytes]) -> Iterable[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Short texts together, about a block at a time: their number, their words' hashes, the number of words
+    before the end of each line, and before the end of each text."""
+    some, size = [], 0
+    for i, text in enumerate(texts):
+        some.append(text)
+        size += len(text)
+        if size >= _BLOCK or i + 1 == len(texts):
+            h, breaks = word_hashes(b"\n".join([*some, b""]))
+            yield len(some), h, breaks, breaks[np.cumsum([t.count(b"\n") + 1 for t in some]) - 1]
+            some, size = [], 0
+
+
+def words_of(texts: list[bytes]) -> Iterable[np.ndarray]:
+    """The hashes of each text's words."""
+    for _, h, _, ends in hashed(texts):
+        yield from np.split(h, ends[:-1])
+
+
+def line_hashes(h: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of lines by their words; unlike those of runs even where the words are the same."""
+    return mix64(span_hashes(h, first, last) ^ GOLDEN)
 
 
 def run_hashes(h: np.ndarray, n: int = LEAST_WORDS) -> np.ndarray:
@@ -47,46 +115,58 @@ def run_hashes(h: np.ndarray, n: int = LEAST_WORDS) -> np.ndarray:
 
 
 def sliding_minima(g: np.ndarray, block: int) -> np.ndarray:
-    """Positions of the smallest hash of each ``block`` neighbours (the last of equal ones), each once."""
-    if not len(g):
-        return np.zeros(0, np.int64)
-    block = min(block, len(g))
-    view = np.lib.stride_tricks.sliding_window_view(g[::-1], block)
-    at = np.concatenate([view[i : i + 65_536].argmin(axis=1) for i in range(0, len(view), 65_536)])
-    return np.unique(len(g) - 1 - (at + np.arange(len(view))))
-
-
-def paragraphs(text: bytes, hashes: WordHashes) -> list[tuple[int, int, int, bytes | None]]:
-    """(first word, end word, node, signature) of a text's paragraphs.
+    """For each ``block`` neighbours, the position of the smallest hash, the last of equal ones."""
+    low, at, width = g, np.arange(len(g)), 1
+    while width < min(block, len(g)):
+        step = min(width, min(block, len(g)) - width)  # two windows that overlap or meet make one
+        later = low[step:] <= low[:-step]
+        at = np.where(later, at[step:], at[:-step])
+        low = np.minimum(low[step:], low[:-step])
+        width += step
+    return at
+
+
+def chosen_runs(g: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Positions of the runs that are smallest in a sliding paragraph of one of the texts, or in a shorter text."""
+    n = ends - begins
+    windows = np.maximum(n - SLIDING + 1, 0)
+    i = np.repeat(begins - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+    at = sliding_minima(g, SLIDING - LEAST_WORDS + 1)[i] if len(i) else i
+    at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+    short = np.flatnonzero((n >= LEAST_WORDS) & (n < SLIDING))
+    one = [e - LEAST_WORDS - int(g[b : e - LEAST_WORDS + 1][::-1].argmin()) for b, e in zip(begins[short].tolist(), ends[short].tolist())]
+    return np.sort(np.append(at, np.array(one, np.int64)))
+
+
+def paragraphs(texts: list[bytes]) -> Iterable[tuple[tuple, tuple]]:
+    """Paragraphs of some texts, (text, first word, end word, node) as arrays: of lines, with a list of their
+    signatures, and of runs.
 
     Lines of at least ``LEAST_WORDS`` words, with a MinHash signature of their shingles; and, wherever
     lines begin and end, all sliding paragraphs of ``SLIDING`` words, each represented by the one run of
     ``LEAST_WORDS`` words with the smallest hash. Two texts with a common passage of ``SLIDING`` words or
     more share such a run, however the passage is embedded; :func:`embedded` extends it word by word."""
-    out: list[tuple[int, int, int, bytes | None]] = []
-    low = text.lower()
-    words = low.split()
-    if len(words) < LEAST_WORDS:
-        return out
-    h = hashes.of(words)
-    s = shingles(h, K)
-    spans, at = [], 0
-    for line in low.split(b"\n"):
-        n = len(line.split())
-        if n >= LEAST_WORDS:
-            spans.append((at, at + n))
-        at += n
-    if spans:
-        cut = np.array([x for a, b in spans for x in (a, b - K + 1)])
-        padded = np.append(s, np.uint64(0))  # so that the last border is a position
-        sig = np.stack([np.minimum.reduceat(padded * seed, cut)[::2] for seed in _SEEDS], axis=1)
-        sig = (mix64(sig) >> np.uint64(32)).astype("<u4")
-        for (a, b), x in zip(spans, sig):
-            out.append((a, b, xxhash.xxh3_64_intdigest(b" ".join(words[a:b])), x.tobytes()))
-    g = run_hashes(h)
-    for p in sliding_minima(g, SLIDING - LEAST_WORDS + 1).tolist():
-        out.append((p, p + LEAST_WORDS, int(g[p]), None))
-    return out
+    done = 0
+    for n, h, breaks, ends in hashed(texts):
+        begins = np.append(0, ends[:-1])
+        first, last = np.append(0, breaks[:-1]), breaks
+        long = last - first >= LEAST_WORDS
+        first, last = first[long], last[long]
+        sig: list[bytes] = []
+        if len(first):
+            cut = np.stack([first, last - K + 1], axis=1).ravel()
+            padded = np.append(run_hashes(h, K), np.uint64(0))  # so that the last border is a position
+            least = np.empty((len(first), COMPONENTS), np.uint64)
+            for i, seed in enumerate(_SEEDS):
+                least[:, i] = np.minimum.reduceat(padded * seed, cut)[::2]
+            sig = [x.tobytes() for x in (mix64(least) >> np.uint64(32)).astype("<u4")]
+        of = np.searchsorted(ends, first, "right")
+        lines = (of + done, first - begins[of], last - begins[of], line_hashes(h, first, last), sig)
+        g = run_hashes(h) if len(h) >= LEAST_WORDS else h[:0]
+        at = chosen_runs(g, begins, ends)
+        of = np.searchsorted(ends, at, "right")
+        yield lines, (of + done, at - begins[of], at - begins[of] + LEAST_WORDS, g[at])
+        done += n
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -95,20 +175,16 @@ def extract(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable):
         import pyarrow as pa
 
-        hashes = WordHashes()
+        names = ["doc_id", "row", "first", "last", "node", "sig"]
         for b in slices(batches, 512):
-            ids, keys, rows = [], [], []
-            for doc_id, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), byte_texts(b.column(2))):
-                got = paragraphs(text, hashes)
-                rows += got
-                ids += [doc_id] * len(got)
-                keys += [key] * len(got)
-            node = signed(np.array([r[2] for r in rows], np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, b.schema.field(0).type), pa.array(keys, pa.int64()), pa.array([r[0] for r in rows], pa.int32()),
-                 pa.array([r[1] for r in rows], pa.int32()), pa.array(node), pa.array([r[3] for r in rows], pa.binary())],
-                names=["doc_id", "row", "first", "last", "node", "sig"],
-            )
+            for parts in paragraphs(byte_texts(b.column(2))):
+                for of, first, last, node, *sig in parts:
+                    of = pa.array(of)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(of), b.column(1).take(of), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(signed(node)),
+                         pa.array(sig[0], pa.binary()) if sig else pa.nulls(len(of), pa.binary())],
+                        names=names,
+                    )
 
     src = docs.filter("doc_id IS NOT NULL").select("doc_id", row_key().alias("row"), text_of("text").alias("text"))
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, row bigint, first int, last int, node bigint, sig binary")
@@ -122,13 +198,12 @@ def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterable):
         import pyarrow as pa
 
-        hashes = WordHashes()
         for t in slices(batches, 512):
             rows = []
-            for text, node, a, b in zip(byte_texts(t.column(0)), *[t.column(i).to_pylist() for i in (1, 2, 3)]):
-                words = text.lower().split()[a:b]
-                if signed(np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64))[0] == node:
-                    x, c = np.unique(shingles(hashes.of(words), K), return_counts=True)
+            for h, node, a, b in zip(words_of(byte_texts(t.column(0))), *[t.column(i).to_pylist() for i in (1, 2, 3)]):
+                h = h[a:b]
+                if signed(line_hashes(h, np.array([0]), np.array([len(h)])))[0] == node:
+                    x, c = np.unique(run_hashes(h, K), return_counts=True)
                     rows.append((node, x.tobytes(), np.ones(len(c), np.uint32).tobytes()))
             yield pa.RecordBatch.from_pydict(
                 {"node": pa.array([r[0] for r in rows], pa.int64()), "x": pa.array([r[1] for r in rows], pa.binary()), "c": pa.array([r[2] for r in rows], pa.binary())}
@@ -158,7 +233,7 @@ def line_links(docs: DataFrame, rows: DataFrame, similarity: float = 0.8) -> Dat
 def _contexts(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """node, side, ctx, n, doc_id, row, first, lo_doc, lo_first: the ``REACH`` words before (side 0, nearest first)
     and after (side 1) each shared run, as 6 bytes of each word's hash; ``n`` of them are in the text."""
-    asked = runs.groupBy("row").agg(F.collect_list(F.struct("first", "node", F.col("lo.doc_id").alias("lo_doc"), F.col("lo.first").alias("lo_first"))).alias("_r"))
+    asked = runs.groupBy("row").agg(F.collect_set(F.struct("first", "node", F.col("lo.doc_id").alias("lo_doc"), F.col("lo.first").alias("lo_first"))).alias("_r"))
     asked = asked.select(F.col("row").alias("_row"), *[F.col(f"_r.{c}").alias(f"_{c}") for c in ("first", "node", "lo_doc", "lo_first")])
     src = docs.filter("doc_id IS NOT NULL").select("doc_id", row_key().alias("row"), text_of("text").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
@@ -167,12 +242,11 @@ def _contexts(docs: DataFrame, runs: DataFrame) -> DataFrame:
     def run(batches: Iterable):
         import pyarrow as pa
 
-        hashes = WordHashes()
         at = np.arange(REACH)
         for t in slices(batches, 256):
             ctx, n, back = [], [], []
-            for i, (text, first) in enumerate(zip(byte_texts(t.column(2)), t.column(3).to_pylist())):
-                h = np.maximum(hashes.of(text.lower().split()) >> np.uint64(16), np.uint64(1)) << np.uint64(16)
+            for i, (h, first) in enumerate(zip(words_of(byte_texts(t.column(2))), t.column(3).to_pylist())):
+                h = np.maximum(h >> np.uint64(16), np.uint64(1)) << np.uint64(16)
                 padded = np.zeros(len(h) + 2 * REACH, ">u8")
                 padded[REACH : REACH + len(h)] = h
                 p = np.array(first, np.int64)
@@ -309,7 +383,7 @@ def embedded(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     ctx = _contexts(docs, runs).withColumn("later", (F.col("doc_id") != F.col("lo_doc")) | (F.col("first") != F.col("lo_first")))
-    ctx = ctx.repartition("node").sortWithinPartitions("node", "side", "later", "ctx", "doc_id", "first", "row")
+    ctx = ctx.repartition("node", "side").sortWithinPartitions("node", "side", "later", "ctx", "doc_id", "first", "row")
 
     def reach(batches: Iterable):
         import pyarrow as pa

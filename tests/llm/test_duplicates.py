@@ -240,6 +240,44 @@ def test_run_hashes_are_those_of_their_words_in_order(n):
         assert passages.run_hashes(swapped, n)[0] != got[0]
 
 
+def test_paragraphs_of_texts_hashed_together_equal_a_plain_search(documents):
+    texts = [(r.text or "").encode() for r in documents.limit(150).collect()]
+    numbered = [b" ".join(b"w%d" % i for i in range(n)) for n in (0, 1, 19, 20, 21, 48, 49, 50)]
+    some = [b"", b" \n\n ", b"A a\tA\x0bb\r\n" * 30, b"x " * 70, *numbered, b"y" * 700_000 + b" z", *texts]
+    lines, runs = ([[] for _ in some] for _ in range(2))
+    for a, b in passages.paragraphs(some):
+        for of, first, last, node, sig in zip(*a, strict=True):
+            lines[of].append((first, last, int(node), sig))
+        for of, first, last, node in zip(*b, strict=True):
+            runs[of].append((first, last, int(node)))
+    by_word, by_line = {}, {}
+    for text, h, got, chosen in zip(some, passages.words_of(some), lines, runs, strict=True):
+        words = text.lower().split()
+        assert all(by_word.setdefault(w, x) == x for w, x in zip(words, h.tolist(), strict=True))
+        want, at = [], 0
+        for line in text.split(b"\n"):
+            want.append((at, at + len(line.split())))
+            at = want[-1][1]
+        assert [x[:2] for x in got] == [x for x in want if x[1] - x[0] >= 20]
+        for a, b, node, sig in got:
+            assert by_line.setdefault(tuple(words[a:b]), (node, sig)) == (node, sig)
+        g = passages.run_hashes(h).tolist() if len(h) >= 20 else []
+        places = {max(range(i, min(i + 30, len(g))), key=lambda j: (-g[j], j)) for i in range(max(len(g) - 29, 1) if g else 0)}
+        assert chosen == [(p, p + 20, g[p]) for p in sorted(places)]
+    assert len(set(by_word.values())) == len(by_word) and len({n for n, _ in by_line.values()}) == len(by_line)
+
+
+def test_equal_rows_and_a_run_in_all_documents(spark):
+    run = " ".join(f"c{i}" for i in range(60))
+    rows = [(1, f"{run}\n" + " ".join(f"a{i}" for i in range(240)))] * 200
+    rows += [(i, " ".join([*(f"b{i}_{j}" for j in range(i % 7)), run, *(f"e{i}_{j}" for j in range(30))])) for i in range(2, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    runs = passages.extract(df).filter("sig IS NULL").withColumn("lo", F.struct("doc_id", "first"))
+    assert passages._contexts(df, runs).count() <= 200 * 2 * runs.distinct().count()
+    got = {(r.doc_id, r.first_word, r.end_word, r.removed) for r in passages.repeats(df).collect()}
+    assert got >= {(i, i % 7, i % 7 + 60, True) for i in range(2, 300)} and (1, 0, 60, False) in got
+
+
 def test_overlaps_of_multisets_in_slabs():
     rng = np.random.default_rng(9)
     bags = []
