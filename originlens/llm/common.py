@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable
 
 import numpy as np
@@ -95,6 +96,13 @@ def drop(*tables: DataFrame) -> None:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs: it does so when the driver collects garbage,
+    which a small driver with much memory may not do before the disks are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as the signed ones Spark stores."""
     return x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64)

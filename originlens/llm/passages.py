@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from originlens.llm.bagminhash import bands, loose_links, row_key, screen, settle, stars, verify
-from originlens.llm.common import GOLDEN, byte_texts, mix64, signed, slices, text_of
+from originlens.llm.common import GOLDEN, byte_texts, drop, mix64, release, signed, slices, text_of
 from originlens.llm.components import components
 from originlens.session import materialise
 
@@ -212,22 +212,27 @@ def _bags(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return src.select("text", "_node", "_a", "_b").mapInArrow(run, "node bigint, x binary, c binary").dropDuplicates(["node"])
 
 
-def line_links(docs: DataFrame, rows: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """a, b: nodes of different lines whose shingle sets have at least this Jaccard similarity."""
+def line_links(docs: DataFrame, rows: DataFrame, similarity: float = 0.8) -> tuple[DataFrame, list[DataFrame]]:
+    """a, b: nodes of different lines whose shingle sets have at least this Jaccard similarity; and the tables
+    they are read from, to be dropped after them."""
     lines = rows.filter("sig IS NOT NULL")
     nodes = lines.groupBy("node").agg(F.min(F.struct("doc_id", "first", "last")).alias("at"), F.first("sig").alias("sig"))
     nodes = materialise(nodes.select("node", "at.*", "sig"), "line-nodes")
     members, star = stars(bands(nodes, width=4, m=2 * COMPONENTS))
 
+    used = [nodes, members]
+
     def fetch(asked: DataFrame) -> DataFrame:
-        return materialise(_bags(docs, nodes.drop("sig").join(asked.distinct(), "node")), "line-bags")
+        used.append(materialise(_bags(docs, nodes.drop("sig").join(asked.distinct(), "node")), "line-bags"))
+        return used[-1]
 
     star = materialise(screen(star, nodes, SLACK), "line-candidates")
     ends = star.select(F.explode(F.array("a", "b")).alias("node"))
     links = materialise(verify(star, fetch(ends), similarity).select("a", "b"), "line-links")
     roots = components(links)
     loose = materialise(loose_links(members, roots, nodes, SLACK), "loose-lines")
-    return links.unionByName(settle(loose, nodes, roots, fetch, similarity)) if loose.head(1) else links
+    used += [star, links, loose]
+    return (links.unionByName(settle(loose, nodes, roots, fetch, similarity)) if loose.head(1) else links), used
 
 
 def _contexts(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -445,13 +450,16 @@ def embedded(docs: DataFrame, runs: DataFrame) -> DataFrame:
 def _repeats(docs: DataFrame, similarity: float) -> DataFrame:
     """:func:`repeats` with the row's key."""
     rows = materialise(extract(docs), "paragraphs")
-    roots = components(line_links(docs, rows, similarity))
+    links, used = line_links(docs, rows, similarity)
+    roots = components(links)
     place = F.struct("doc_id", "first")
     seen = rows.groupBy("node").agg(F.min(place).alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n"))
     seen = seen.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = seen.groupBy("root").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter(F.col("lo.doc_id") < F.col("hi"))
     found = materialise(seen.select("node", "root").join(classes, "root").select("node", "lo"), "repeated-nodes")
     out = materialise(rows.select("doc_id", "row", "first", "last", "node", F.col("sig").isNull().alias("run")).join(found, "node"), "repeated-paragraphs")
+    drop(rows, found, *used)
+    release(docs.sparkSession)
     lines = out.filter("NOT run").select(
         "doc_id",
         "row",
