@@ -20,7 +20,7 @@ LEAST_WORDS = 20  #: of a line that counts as a paragraph, and of the common run
 SLIDING = 49  #: words of a sliding paragraph
 REACH = SLIDING - LEAST_WORDS  #: words from the edge of a common sliding paragraph to its run, at most
 COMPONENTS = 16  #: of a line's signature: 8 bands of 2; a pair at similarity 0.8 shares one but for 3e-4
-SLACK = 0.4  #: least share of equal components worth the exact check: 5.6 standard deviations below 0.8
+SLACK = 0.4  #: least share of equal components worth the exact check: of pairs at similarity 0.8, 2.5e-4 have less
 
 #: Odd multipliers: shingle hashes are mixed already, so a product gives each component an order of its own.
 _SEEDS = [np.uint64(mix64(np.array([i + 1], np.uint64))[0]) | np.uint64(1) for i in range(COMPONENTS)]
