@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 # Fixed value: the published pattern that cuts a text into pieces, which no token crosses.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 
+PIECE_BYTES = 1 << 20  #: of text that a task holds as Python tokens at once
+
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     """Byte strings and their merge ranks from a file of ``base64 rank`` lines; as many as the vocabulary has."""
@@ -19,6 +21,20 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     return {base64.b64decode(r.p[0]): int(r.p[1]) for r in lines.collect()}
 
 
+def _pieces(batch, text: str) -> Iterator:
+    """Slices of a batch with about PIECE_BYTES of text each, or one longer text."""
+    import pyarrow.compute as pc
+
+    start, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+        if held and held + n > PIECE_BYTES:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def subword_tokens(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", pattern: str = PATTERN) -> DataFrame:
     """Add ``token_ids`` (array of int) and ``tokens`` (array of string) of each whole text.
 
@@ -37,7 +53,7 @@ def subword_tokens(docs: DataFrame, ranks: dict[bytes, int], text: str = "text",
 
         ranks, names = shared.value
         coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        for b in batches:
+        for b in (part for whole in batches for part in _pieces(whole, text)):
             ids = [None if t is None else coder.encode_ordinary(t) for t in b.column(text).to_pylist()]
             tokens = [None if x is None else [names[i] for i in x] for x in ids]
             cols = [b.column(n) for n in kept]

@@ -51,3 +51,15 @@ def test_ngrams_over_subwords(spark, ranks):
     scored = ngram.score_documents(docs, ngram.fit(docs, "tokens"), "id", "tokens").collect()
     assert sorted((r.id, r.pos, r.token) for r in scored) == sorted((i, n, t) for i, ts in tokens.items() for n, t in enumerate(ts))
     assert all(0 < r.p3 <= 1 for r in scored)
+
+
+def test_long_batches_are_cut(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(subwords, "PIECE_BYTES", 10)
+    texts = ["abcd", None, "abcdefgh", "x" * 30, "", "ab", None]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    parts = [p.column("text").to_pylist() for p in subwords._pieces(batch, "text")]
+    assert [t for p in parts for t in p] == texts
+    assert max(sum(len(t or "") for t in p) for p in parts if len(p) > 1) <= 10 and len(parts) == 4
+    assert list(subwords._pieces(batch.slice(0, 0), "text")) == []
