@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,9 @@ from originlens.session import materialise
 BLOCK_ROWS = 8192
 MAX_CELLS = 4096
 SLACK_ANGLE = 1e-6  # beyond what arc cosines of rounded products are off
-TILE_ROWS = 1024
+TILE_ROWS = 128
+TILE_CELLS = 1 << 20  # pairs of a row and a cell that a task works on at once
+OUT_ROWS = 4096  # rows of a frame that a task returns, at most
 DECIMALS = 8
 
 
@@ -65,6 +68,31 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype("float64")
 
 
+def tiles(d: pd.DataFrame, cells: int) -> Iterator[pd.DataFrame]:
+    """Slices of a frame for which a matrix of rows by cells stays small, whatever the number of cells."""
+    step = max(1, TILE_CELLS // max(cells, 1))
+    for start in range(0, len(d), step):
+        yield d.iloc[start : start + step]
+
+
+def copies(d: pd.DataFrame, at: np.ndarray, **columns: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The rows ``at`` of a frame, which may repeat, with further columns, in frames of bounded size."""
+    for start in range(0, len(at), OUT_ROWS):
+        part = slice(start, start + OUT_ROWS)
+        yield d.iloc[at[part]].assign(**{n: c[part] for n, c in columns.items()})
+
+
+def dealt_rows(d: pd.DataFrame, own: np.ndarray, other: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Rows of a cell in ``own[cell]`` parts by id, each once for every part of the other side."""
+    for tile in tiles(d, int(other.max(initial=1))):
+        cell = tile["cell"].to_numpy()
+        n = other[cell]
+        mine = (tile["id"].to_numpy() * 2654435761 % 2**32) % own[cell]
+        theirs = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(np.arange(len(tile)), n)
+        yield from copies(tile, at, mine=mine[at].astype("int64"), theirs=theirs.astype("int64"))
+
+
 def _centres(units: DataFrame, cell_rows: int) -> np.ndarray:
     """Unit vectors of a bounded sample of rows, one for about each ``cell_rows`` of them."""
     n = max(1, min(MAX_CELLS, -(-units.count() // cell_rows)))
@@ -76,8 +104,8 @@ def _placed(units: DataFrame, cells: np.ndarray) -> DataFrame:
     """id, v, cell, angle: rows with their nearest centre."""
 
     def run(frames):
-        for d in frames:
-            if len(d):
+        for frame in frames:
+            for d in tiles(frame, len(cells)):
                 cosine = _matrix(d["v"]) @ cells.T
                 at = cosine.argmax(axis=1)
                 angle = np.arccos(np.clip(cosine[np.arange(len(d)), at], -1.0, 1.0))
@@ -98,11 +126,8 @@ def _dealt(df: DataFrame, own: np.ndarray, other: np.ndarray, name: str) -> Data
 
     def run(frames):
         for d in frames:
-            n = other[d["cell"].to_numpy()]
-            mine = (d["id"].to_numpy() * 2654435761 % 2**32) % own[d["cell"].to_numpy()]
-            copies = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out = d.loc[d.index.repeat(n), ["id", "v", "cell"]]
-            yield out.rename(columns={"id": name}).assign(mine=np.repeat(mine, n).astype("int64"), theirs=copies.astype("int64"))
+            for out in dealt_rows(d, own, other):
+                yield out.rename(columns={"id": name})
 
     return df.select("id", "v", "cell").mapInPandas(run, f"{name} bigint, v array<double>, cell int, mine bigint, theirs bigint")
 
@@ -167,11 +192,10 @@ def knn_cosine(
 
     def visits(asked: DataFrame, which) -> DataFrame:
         def run(frames):
-            for d in frames:
-                if len(d):
+            for frame in frames:
+                for d in tiles(frame, len(centres)):
                     row, cell = np.nonzero(which(_matrix(d["v"]), d))
-                    out = d.iloc[row][["id", "v"]].assign(cell=cell.astype("int32"), angle=0.0)
-                    yield out
+                    yield from copies(d[["id", "v"]], row, cell=cell.astype("int32"), angle=np.zeros(len(row)))
 
         return asked.mapInPandas(run, "id bigint, v array<double>, cell int, angle double")
 

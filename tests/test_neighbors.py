@@ -1,6 +1,9 @@
 """Neighbours against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +107,36 @@ def test_no_nested_loop_or_broadcast_of_tables(spark):
     e = spark.range(100).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2)).alias("embedding"))
     plan = neighbors.knn_cosine(e, e, 3)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "BroadcastExchange" not in plan
+
+
+def _peak(run) -> int:
+    """Bytes that numpy and pandas hold at most while ``run`` yields."""
+    tracemalloc.start()
+    for _ in run:
+        pass
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return top
+
+
+def test_tasks_hold_slices_whatever_the_cells(spark):
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(4000, 4))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    d = pd.DataFrame({"id": np.arange(4000), "v": list(m), "cell": np.arange(4000, dtype="int32") % 7})
+    own, other = np.full(7, 3), np.full(7, 200)
+    # 800,000 copies, and matrices of 4000 rows by 4096 cells
+    assert _peak(neighbors.dealt_rows(d, own, other)) < 40e6
+    cells = neighbors.Cells(rng.normal(size=(4096, 4)), np.full(4096, 3), np.zeros(4096))
+    sliced = [cells.first(np.stack(t["v"].to_numpy()), 5) for t in neighbors.tiles(d.head(600), 4096)]
+    assert (np.concatenate(sliced) == cells.first(m[:600], 5)).all()
+    assert _peak(cells.first(np.stack(t["v"].to_numpy()), 5) for t in neighbors.tiles(d, 4096)) < 100e6
+    out = pd.concat(neighbors.dealt_rows(d.head(50), own, other))
+    assert len(out) == 50 * 200 and set(out["theirs"]) == set(range(200)) and out.groupby("id")["mine"].nunique().max() == 1
+
+
+def test_a_block_of_queries_is_searched_in_small_tiles():
+    rng = np.random.default_rng(3)
+    t = pd.DataFrame({"tid": np.arange(8192), "v": list(rng.normal(size=(8192, 4)))})
+    q = pd.DataFrame({"qid": np.arange(1024), "v": list(rng.normal(size=(1024, 4)))})
+    assert _peak(neighbors._block_top_k(5, False, 8)(q, t) for _ in range(1)) < 60e6
