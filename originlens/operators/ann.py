@@ -143,14 +143,16 @@ def _placed(units: DataFrame, centres: np.ndarray, planes: np.ndarray, cells: in
     """Each row in its nearest cells, with the sides of the planes through the cell's centre on which it lies."""
 
     def run(frames):
-        for d in frames:
-            if len(d):
+        seen = centres @ planes
+        for frame in frames:
+            for d in neighbors.tiles(frame, len(centres)):
                 v = _matrix(d["v"])
                 near = np.argsort(-(v @ centres.T), axis=1, kind="stable")[:, :cells]
                 at, cell = np.repeat(np.arange(len(d)), near.shape[1]), near.ravel().astype("int32")
-                signs = (v @ planes)[at] > (centres @ planes)[cell]
-                out = d.iloc[at].assign(sketch=[s.tobytes() for s in np.packbits(signs, axis=1)], cell=cell)
-                yield out[["id", "v", "sketch", "cell"]]
+                sides = v @ planes
+                for out in neighbors.copies(d, at, cell=cell, _at=at):
+                    signs = sides[out["_at"].to_numpy()] > seen[out["cell"].to_numpy()]
+                    yield out.assign(sketch=[s.tobytes() for s in np.packbits(signs, axis=1)])[["id", "v", "sketch", "cell"]]
 
     return units.mapInPandas(run, ROW)
 
@@ -160,12 +162,7 @@ def _dealt(df: DataFrame, own: np.ndarray, other: np.ndarray) -> DataFrame:
 
     def run(frames):
         for d in frames:
-            cell = d["cell"].to_numpy()
-            mine = (d["id"].to_numpy() * 2654435761 % 2**32) % own[cell]
-            n = other[cell]
-            copies = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            at = np.repeat(np.arange(len(d)), n)
-            yield d.iloc[at].assign(mine=mine[at].astype("int64"), theirs=copies.astype("int64"))
+            yield from neighbors.dealt_rows(d, own, other)
 
     return df.mapInPandas(run, f"{ROW}, mine bigint, theirs bigint")
 
@@ -179,7 +176,7 @@ def _closest(k: int, share: float, exclude_self: bool):
         refs = refs.sort_values("id")
         tid, words, m = refs["id"].to_numpy(), _words(refs["sketch"]), _matrix(refs["v"])
         kept = min(len(refs), max(LEAST * k + exclude_self, int(np.ceil(share * len(refs)))))
-        step = max(1, (1 << 22) // max(kept * m.shape[1], len(refs)))
+        step = max(1, (1 << 20) // max(kept * m.shape[1], len(refs)))
         found = []
         for start in range(0, len(queries), step):
             some = queries.iloc[start : start + step]
