@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from originlens.functions import vectors as V
 from originlens.functions.hashing import uniform
-from originlens.operators import features, ngram, subwords
+from originlens.operators import features, ngram, packed, subwords
 from originlens.plans import duck, views
 from originlens.plans.registry import query
 from originlens.plans.views import rounded, single
@@ -40,8 +40,8 @@ def g1_subword_tokens(spark, sf):
     UNION ALL SELECT w1, w2, w3, c, ct, cf FROM tri JOIN tri_ctx USING (w1, w2)""",
 )
 def g2_ngram_counts(spark, sf):
-    d = views.texts(spark, sf)
-    return ngram.ngram_counts(d, 2).unionByName(ngram.ngram_counts(d, 3), allowMissingColumns=True)
+    g = packed.grams(views.texts(spark, sf), "doc_id").filter("c > 0")
+    return g.select("w1", "w2", "w3", "c", "ctx_total", "ctx_followers")
 
 
 @query(
@@ -70,9 +70,8 @@ def g4_kneser_ney_unigram(spark, sf):
     f"WITH {duck.TOKEN_PROBS} SELECT DISTINCT w2 AS w1, w3 AS w2, {duck.single('p1')} AS p1, {duck.single('p2')} AS p2 FROM two",
 )
 def g5_backoff_bigram(spark, sf):
-    d = views.texts(spark, sf)
-    targets = ngram.occurrences(d, "doc_id").select(F.col("w2").alias("w1"), F.col("w3").alias("w2")).distinct()
-    return single(ngram.backoff_bigram(targets, views.language_model(spark, sf)).drop("laplace2"), "p1", "p2")
+    g = packed.grams(views.texts(spark, sf), "doc_id").filter("w3 is null")
+    return single(g.select("w1", "w2", "p1", "p2"), "p1", "p2")
 
 
 @query(
@@ -81,9 +80,8 @@ def g5_backoff_bigram(spark, sf):
     FROM two o JOIN token_probs t USING (doc_id, pos)""",
 )
 def g6_backoff_trigram(spark, sf):
-    d = views.texts(spark, sf)
-    targets = ngram.occurrences(d, "doc_id").select("w1", "w2", "w3").distinct()
-    return single(ngram.backoff_trigram(targets, views.language_model(spark, sf)).select("w1", "w2", "w3", "p3"), "p3")
+    g = packed.grams(views.texts(spark, sf), "doc_id").filter("w3 is not null")
+    return single(g.select("w1", "w2", "w3", "p3"), "p3")
 
 
 @query(
@@ -93,7 +91,7 @@ def g6_backoff_trigram(spark, sf):
 )
 def g7_score_documents(spark, sf):
     d = views.texts(spark, sf)
-    scored = ngram.score_documents(d, views.language_model(spark, sf), "doc_id")
+    scored = packed.scored(packed.vectors(d, "doc_id"), "doc_id")
     out = scored.select("doc_id", "pos", F.col("p3").alias("trigram"), F.col("p1").alias("unigram"))
     return single(out, "trigram", "unigram")
 

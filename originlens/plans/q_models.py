@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from originlens.functions.hashing import uniform
-from originlens.operators import ensembles, features, kernels, models, ngram
+from originlens.operators import ensembles, features, kernels, models, packed
 from originlens.operators.metrics import model_summary
 from originlens.operators.sampling import holdout_permutation
 from originlens.plans import duck, views
@@ -30,9 +30,10 @@ def _feature_table(spark, sf, seed="report"):
     parts = materialise(holdout_permutation(labels, seed, 0.8, "doc_id"), "parts")
     test = parts.filter("part = 'test'").select("doc_id")
     texts = views.texts(spark, sf)
-    model = ngram.fit(texts.join(test, "doc_id", "left_anti"))
-    scored = ngram.score_documents(texts.join(parts.select("doc_id"), "doc_id", "left_semi"), model, "doc_id")
-    long = materialise(features.custom_features(ngram.probability_vectors(scored, "doc_id"), "doc_id"), "features")
+    model = packed.Corpus.make(texts.join(test, "doc_id", "left_anti"), "doc_id")
+    asked = texts.join(parts.select("doc_id"), "doc_id", "left_semi")
+    rows = packed.by_key(packed.vectors(asked, "doc_id", model), asked.select("doc_id"), "doc_id", every=False)
+    long = materialise(features.custom_features(rows, "doc_id"), "features")
     z = features.zscore(long, long.join(test, "doc_id", "left_anti"), ["series", "stat"])
     z = z.select("doc_id", "series", "stat", F.col("z").alias("value"))
     return materialise(features.feature_matrix(z, "doc_id").join(parts, "doc_id"), "matrix")
