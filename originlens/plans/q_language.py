@@ -10,6 +10,7 @@ from originlens.operators import features, ngram, packed, subwords
 from originlens.plans import duck, views
 from originlens.plans.registry import query
 from originlens.plans.views import rounded, single
+from originlens.session import materialise
 
 #: Merge ranks of a public vocabulary of byte pairs.
 SUBWORD_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -55,9 +56,9 @@ def g2_ngram_counts(spark, sf):
 def g3_laplace_prob(spark, sf):
     """Bigrams of the benchmark texts under the counts of the documents."""
     targets = ngram.raw_counts(views.table(spark, sf, "benchmark"), 2).select("w1", "w2")
-    d = views.texts(spark, sf)
-    words = ngram.raw_counts(d, 1).count()
-    return single(ngram.laplace_prob(targets, ngram.raw_counts(d, 2), 2, words), "p")
+    found = materialise(ngram.asked_bigrams(views.texts(spark, sf), targets), "asked-bigrams")
+    words = found.select("w1").distinct().count()
+    return single(ngram.laplace_prob(targets, found.filter("w2 is not null"), 2, words), "p")
 
 
 @query("g4_kneser_ney_unigram", f"WITH {duck.GRAMS} SELECT token, n_pred, {duck.single('p')} AS p FROM kn")

@@ -163,3 +163,13 @@ def test_stored_scaling(spark, tmp_path):
     other = df.withColumn("value", F.when(F.col("id") == 3, -7.0).otherwise(F.col("value")))
     a, b = ({r.id: r.z for r in features.zscore(d, d.filter("id < 3"), ["f"]).collect() if r.id < 3} for d in (df, other))
     assert a == b
+
+
+def test_asked_bigrams_keep_every_follower_of_a_target(spark, monkeypatch):
+    d = spark.createDataFrame([(1, "a b a c d"), (2, "b a"), (3, ""), (4, None), (5, "z")], "doc_id int, text string")
+    targets = spark.createDataFrame([("a", "b"), ("a", "x"), ("q", "r")], "w1 string, w2 string")
+    got = {(r.w1, r.w2): r.c for r in ngram.asked_bigrams(d, targets).collect()}
+    assert got == {("a", "b"): 1, ("a", "c"): 1, ("a", None): 1, ("b", None): 2, ("c", None): 1, ("d", None): 1, ("z", None): 1}
+    monkeypatch.setattr(ngram, "FLAGS", 1)  # all words share a slot
+    every = {(r.w1, r.w2): r.c for r in ngram.asked_bigrams(d, targets).filter("w2 is not null").collect()}
+    assert every == {(r.w1, r.w2): r.c for r in ngram.raw_counts(d, 2).collect()}
