@@ -10,12 +10,12 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from originlens.operators.sampling import stratified_kfold
 from originlens.session import materialise
@@ -23,10 +23,19 @@ from originlens.session import materialise
 COMPONENTS = 256
 SMOOTHING = (0.1, 0.01, 0.002)  #: widths of the bend that stands for the corner of a loss, the last one counts
 PART_BYTES = 32 << 20
+SLICE = 2048  #: rows whose mapped features a task holds at once
 HINGE_STEPS = 30  #: of a hinge fit, at most
 MEMORY = 10  #: steps that the quasi-Newton fit remembers
 
 
+def _matrix(x: pa.Array) -> np.ndarray:
+    """The arrays of a column as the rows of a matrix; they must have one length."""
+    lengths = x.value_lengths()
+    if lengths.null_count or len(lengths.unique()) > 1:
+        raise ValueError("features must be arrays of one length")
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+
+
 @dataclass(frozen=True)
 class FourierFeatures:
     """sqrt(2/D) cos(x W + b) with seeded W, normal with variance 2 gamma, and uniform b."""
@@ -41,23 +50,39 @@ class FourierFeatures:
         return cls(w, rng.uniform(0.0, 2.0 * np.pi, components))
 
     def map(self, x: np.ndarray) -> np.ndarray:
-        return np.sqrt(2.0 / len(self.shifts)) * np.cos(x @ self.weights + self.shifts)
+        z = x @ self.weights
+        z += self.shifts
+        np.cos(z, out=z)
+        z *= np.sqrt(2.0 / len(self.shifts))
+        return z
+
+    def slices(self, x: np.ndarray) -> Iterable[tuple[slice, np.ndarray]]:
+        """The mapped rows of ``x``, SLICE at a time, with their places."""
+        for at in range(0, len(x), SLICE):
+            own = slice(at, at + SLICE)
+            yield own, self.map(x[own])
 
     def column(self, features: str) -> Column:
         """The mapped features as an array."""
 
-        @pandas_udf("array<double>")
-        def mapped(x: pd.Series) -> pd.Series:
-            return pd.Series(list(self.map(np.stack(x.to_numpy())))) if len(x) else pd.Series([], dtype=object)
+        @arrow_udf("array<double>")
+        def mapped(x: pa.Array) -> pa.Array:
+            d = len(self.shifts)
+            z = np.empty((len(x), d))
+            if len(x):
+                for own, part in self.slices(_matrix(x)):
+                    z[own] = part
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype="int32") * d), pa.array(z.reshape(-1)))
 
         return mapped(F.col(features))
 
     def margin(self, features: str, w: np.ndarray, intercept: float) -> Column:
         """The linear form of the mapped features; they stay inside the batch."""
 
-        @pandas_udf("double")
-        def margin(x: pd.Series) -> pd.Series:
-            return pd.Series(self.map(np.stack(x.to_numpy())) @ w + intercept) if len(x) else pd.Series([], dtype="float64")
+        @arrow_udf("double")
+        def margin(x: pa.Array) -> pa.Array:
+            m = [z @ w + intercept for _, z in self.slices(_matrix(x))] if len(x) else []
+            return pa.array(np.concatenate([np.empty(0), *m]))
 
         return margin(F.col(features))
 
@@ -74,7 +99,7 @@ def scale_gamma(df: DataFrame, features: str) -> tuple[int, int, float]:
 
 
 def _stored(rows: DataFrame, n: int, components: int) -> DataFrame:
-    """``rows`` in the shared folder, in files of about PART_BYTES of mapped features, which every pass reads."""
+    """``rows`` in the shared folder, in files whose mapped features are about PART_BYTES, which every pass reads."""
     return materialise(rows.repartition(max(1, -(-n * components * 8 // PART_BYTES))), "fourier")
 
 
@@ -171,24 +196,24 @@ def _bend(t: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
     return inside**2 / (2 * width) + np.maximum(t - width, 0.0), inside / width
 
 
-def tube_loss(rows: DataFrame, w: np.ndarray, epsilon: float, width: float) -> tuple[float, np.ndarray, int]:
-    """Sum of the epsilon-insensitive losses of ``rows`` (y, z) under the weights (the last one is the intercept),
-    its gradient, and the number of rows. Tasks return one row per weight, which Spark sums before the driver sees them."""
+def tube_loss(rows: DataFrame, f: FourierFeatures, w: np.ndarray, epsilon: float, width: float) -> tuple[float, np.ndarray, int]:
+    """Sum of the epsilon-insensitive losses of ``rows`` (y, x) under the weights of the mapped x (the last one is the intercept),
+    its gradient, and the number of rows. Tasks map SLICE rows at a time, so that a pass reads the few features and not
+    the mapped ones; they return one row per weight, which Spark sums before the driver sees them."""
 
     def run(batches: Iterable):
-        import pyarrow as pa
-
         total = np.zeros(len(w) + 2)
         for b in batches:
             if b.num_rows:
-                z = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
-                off = z @ w[:-1] + w[-1] - b.column(0).to_numpy()
-                loss, slope = _bend(np.abs(off) - epsilon, width)
-                slope = slope * np.sign(off)
-                total += [*(z.T @ slope), slope.sum(), loss.sum(), b.num_rows]
+                y = b.column(0).to_numpy()
+                for own, z in f.slices(_matrix(b.column(1))):
+                    off = z @ w[:-1] + w[-1] - y[own]
+                    loss, slope = _bend(np.abs(off) - epsilon, width)
+                    slope = slope * np.sign(off)
+                    total += [*(z.T @ slope), slope.sum(), loss.sum(), len(off)]
         yield pa.RecordBatch.from_pydict({"pos": list(range(len(total))), "v": total.tolist()})
 
-    sums = rows.select("y", "z").mapInArrow(run, "pos bigint, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect()
+    sums = rows.select("y", "x").mapInArrow(run, "pos bigint, v double").groupBy("pos").agg(F.sum("v").alias("v")).collect()
     v = np.array([r.v for r in sorted(sums)])
     return float(v[-2]), v[:-2], int(v[-1])
 
@@ -198,17 +223,17 @@ def fit_svr(
 ) -> KernelMachine:
     """Epsilon-insensitive regression: least |w|^2 / 2 + C x the sum of max(0, |y - f(x)| - epsilon).
 
-    A quasi-Newton fit, one distributed pass over the stored features for each value and gradient. The corners of the
+    A quasi-Newton fit, one distributed pass over the stored rows for each value and gradient. The corners of the
     loss are rounded, less with each of SMOOTHING, and the fit goes on from the one before; the loss ends within
     half the last width, per row, of the least."""
     n, dims, gamma = scale_gamma(train, features)
     f = FourierFeatures.make(dims, gamma, components, seed)
-    rows = _stored(train.select(F.col(label).cast("double").alias("y"), f.column(features).alias("z")), n, components)
+    rows = _stored(train.select(F.col(label).cast("double").alias("y"), F.col(features).alias("x")), n, components)
     w = np.zeros(components + 1)
     for width in SMOOTHING:
 
         def evaluate(w: np.ndarray, width: float = width) -> tuple[float, np.ndarray]:
-            loss, g, n = tube_loss(rows, w, epsilon, width)
+            loss, g, n = tube_loss(rows, f, w, epsilon, width)
             own = np.append(w[:-1], 0.0) / (c * n)
             return loss / n + w[:-1] @ w[:-1] / (2 * c * n), g / n + own
 

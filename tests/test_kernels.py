@@ -86,3 +86,21 @@ def test_minimise_a_bowl():
     a = np.diag(np.geomspace(1, 1000, 12))
     x = kernels.minimise(lambda x: (0.5 * (x - 1) @ a @ (x - 1), a @ (x - 1)), np.zeros(12))
     assert x == pytest.approx(np.ones(12), abs=1e-4)
+
+
+def test_svr_passes_read_rows_and_map_them_in_slices(spark, monkeypatch):
+    stored, store = [], kernels.materialise
+    monkeypatch.setattr(kernels, "materialise", lambda df, name: stored.append(store(df, name)) or stored[-1])
+    monkeypatch.setattr(kernels, "SLICE", 7)
+    monkeypatch.setattr(kernels, "minimise", lambda evaluate, w, tolerance: w + 0 * evaluate(w)[0])  # one pass
+    _, _, train = rings(spark, 40, 5)
+    machine = kernels.fit_svr(train, components=8)
+    assert {len(r.x) for r in stored[0].collect()} == {2}  # two features, not eight mapped ones
+    f, w = machine.features, np.arange(9.0)
+    x, y = (np.array([r[c] for r in stored[0].collect()]) for c in ("x", "y"))
+    loss, _, n = kernels.tube_loss(stored[0], f, w, 0.1, 0.01)
+    off = np.abs(f.map(x) @ w[:-1] + w[-1] - y) - 0.1
+    assert n == 40 and loss == pytest.approx(kernels._bend(off, 0.01)[0].sum())
+    ragged = spark.createDataFrame([(0, 1.0, [1.0]), (1, 0.0, [1.0, 2.0])], "id int, y double, features array<double>")
+    with pytest.raises(Exception):  # noqa: B017
+        machine.score(ragged).collect()
