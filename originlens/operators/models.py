@@ -19,6 +19,7 @@ from originlens.operators.sampling import holdout_permutation, stratified_kfold
 from originlens.session import materialise
 
 KINDS = ["log_reg", "svc", "linear_svc", "svr", "elastic", "sgd", "rfc", "knnc", "vote"]
+VOTERS = ["svc", "rfc"]
 MIN_META_MODELS = 2
 FOREST_DEPTH = 30  # the deepest trees Spark grows
 
@@ -143,7 +144,8 @@ def fit_classifier(
             return _drop_ml(model.transform(as_vectors(df, features)).withColumn("score", F.col("prediction")))
     elif kind == "rfc":
         model = RandomForestClassifier(
-            featuresCol="features_vec", labelCol=label, numTrees=100, maxDepth=FOREST_DEPTH, maxBins=100, seed=42
+            featuresCol="features_vec", labelCol=label, numTrees=100, maxDepth=FOREST_DEPTH, maxBins=100, seed=42,
+            cacheNodeIds=True,  # the same trees; no level walks down from the roots again
         ).fit(v)
 
         def score(df):
@@ -160,16 +162,39 @@ def fit_classifier(
             )
             return df.join(ratio, key)
     elif kind == "vote":
-        parts = [fit_classifier(k, train, label, features, key, c) for k in ("svc", "rfc")]
-
-        def score(df):
-            first = parts[0].score(df).withColumnRenamed("score", "_a")
-            return parts[1].score(first).withColumn("score", (F.col("_a") + F.col("score")) / F.lit(2.0)).drop("_a")
+        return voted(*[fit_classifier(k, train, label, features, key, c) for k in VOTERS])
     else:
         raise ValueError(f"unknown classifier {kind!r}")
     return FittedClassifier(kind, score)
 
 
+def voted(first: FittedClassifier, second: FittedClassifier) -> FittedClassifier:
+    """The mean of the scores of two fitted classifiers."""
+
+    def score(df: DataFrame) -> DataFrame:
+        one = first.score(df).withColumnRenamed("score", "_a")
+        return second.score(one).withColumn("score", (F.col("_a") + F.col("score")) / F.lit(2.0)).drop("_a")
+
+    return FittedClassifier("vote", score)
+
+
+def fit_classifiers(
+    kinds: list[str], train: DataFrame, label: str = "y", features: str = "features", key: str = "id", c: float = 1.0, neighbours: int = 5
+) -> dict[str, FittedClassifier]:
+    """Each of ``kinds`` fitted on ``train``; ``vote`` takes the members that are among them, so that none is fitted twice."""
+    fitted: dict[str, FittedClassifier] = {}
+
+    def fit(kind: str) -> FittedClassifier:
+        if kind not in fitted:
+            if kind == "vote":
+                fitted[kind] = voted(*[fit(k) for k in VOTERS])
+            else:
+                fitted[kind] = fit_classifier(kind, train, label, features, key, neighbours if kind == "knnc" else c)
+        return fitted[kind]
+
+    return {kind: fit(kind) for kind in kinds}
+
+
 def calibrated(
     kind: str, train: DataFrame, seed, cv: int = 5, label: str = "y", features: str = "features", key: str = "id", c: float = 1.0
 ) -> FittedClassifier:

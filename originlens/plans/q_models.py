@@ -92,9 +92,7 @@ def m2_fit_classifier(spark, sf):
     f = _score_features(spark, sf)
     train, test = f.filter("split = 'val'"), f.filter("split = 'test'")
     out = None
-    for kind in models.KINDS:
-        c = 5.0 if kind == "knnc" else 1.0
-        fitted = models.fit_classifier(kind, train, key="doc_id", c=c)
+    for kind, fitted in models.fit_classifiers(models.KINDS, train, key="doc_id").items():
         part = fitted.score(test).select("doc_id", "y", F.lit(kind).alias("model"), "score")
         out = part if out is None else out.unionByName(part)
     return out

@@ -77,3 +77,16 @@ def test_batched_scores_and_nulls(spark):
     got = {r.id: r.score for r in models.score_batches(df, make, batch_size=2).collect()}
     assert got[2] is None
     assert [got[i] for i in (1, 3, 4)] == pytest.approx([0.5, 1 / (1 + np.exp(2)), 1 / (1 + np.exp(-2))])
+
+
+def test_vote_fits_no_member_twice(table, monkeypatch):
+    fits = []
+
+    def fit(kind, *a, **b):
+        fits.append(kind)
+        return models.FittedClassifier(kind, lambda df: df.selectExpr("*", f"{len(kind)}.0D AS score"))
+
+    monkeypatch.setattr(models, "fit_classifier", fit)
+    fitted = models.fit_classifiers(["rfc", "linear_svc", "vote"], table)
+    assert list(fitted) == ["rfc", "linear_svc", "vote"] and fits == ["rfc", "linear_svc", "svc"]
+    assert {r.score for r in fitted["vote"].score(table).select("score").collect()} == {3.0}
