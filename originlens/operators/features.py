@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Callable, Iterator
+from itertools import zip_longest
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from originlens.functions import vectors as V
 from originlens.session import materialise
@@ -29,6 +36,9 @@ RATIOS = [
 ]
 CLIP_MIN, CLIP_MAX = 1e-4, 1e5
 IGNORE_FIRST = 25
+TOP = 25  # of s-avg-top-25
+BLOCK_VALUES = 1 << 20  # of vectors that are reduced at once, or one longer vector
+OUT_VALUES = 1 << 17  # in a batch that a task returns, about
 
 
 def vector_combinations() -> list[tuple[str, ...]]:
@@ -63,10 +73,111 @@ def sample_expressions(n: int, seed=0) -> list[str]:
     return sorted(enumerate_expressions(), key=rank)[:n]
 
 
-def _vector(combo: tuple[str, ...]) -> Column:
-    if len(combo) == 1:
-        return F.col(VECTORS[combo[0]])
-    return V.vector_op(combo[1], VECTORS[combo[0]], VECTORS[combo[2]])
+def _applied(op: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """One of ``V.VECTOR_OPS`` on arrays; as in Spark, NaN is above all numbers and equals itself."""
+    if op in ("v->", "v-<"):
+        x, y = (x, y) if op == "v->" else (y, x)
+        return ((x > y) | (np.isnan(x) & ~np.isnan(y))).astype("float64")
+    with np.errstate(all="ignore"):
+        if op == "v-div":
+            return np.where(y == 0.0, 0.0, x / y)
+        return {"v-add": np.add, "v-sub": np.subtract, "v-mul": np.multiply}[op](x, y)
+
+
+def _scalars(m: np.ndarray) -> np.ndarray:
+    """``V.SCALAR_OPS`` of the rows of a matrix with columns, one row for each function."""
+    n = m.shape[1]
+    with np.errstate(all="ignore"):
+        avg = m.sum(axis=1) / n
+        top = m if n <= TOP else np.partition(m, n - TOP, axis=1)[:, n - TOP :]
+        of = {
+            "s-max": m.max(axis=1),
+            "s-min": np.fmin.reduce(m, axis=1),
+            "s-avg": avg,
+            "s-avg-top-25": top.mean(axis=1),
+            "s-len": np.full(len(m), float(n)),
+            "s-var": np.square(m - avg[:, None]).sum(axis=1) / n,
+            "s-l2": np.sqrt(np.square(m).sum(axis=1)),
+        }
+    return np.stack([of[fn] for fn in V.SCALAR_OPS])
+
+
+def _clipped(x: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(x), CLIP_MAX, np.clip(x, CLIP_MIN, CLIP_MAX))
+
+
+def _skipped(x: np.ndarray) -> np.ndarray:
+    return x if len(x) <= IGNORE_FIRST else x[IGNORE_FIRST:]
+
+
+def _statistics(m: np.ndarray, scale: float) -> np.ndarray:
+    """STATISTICS of the rows of a matrix with columns, one row for each."""
+    n = m.shape[1]
+    with np.errstate(all="ignore"):
+        m = np.sort(m, axis=1)
+        avg = m.sum(axis=1) / n
+        of = {
+            "min": m[:, 0],
+            "max": m[:, -1],
+            "mean": avg,
+            "l2": np.sqrt(np.square(m).sum(axis=1)),
+            "var": np.square(m - avg[:, None]).sum(axis=1) / n,
+        }
+        for name, q in QUANTILES.items():
+            at = (q if name == "median" else q * scale) * (n - 1)
+            low = m[:, math.floor(at)]
+            of[name] = low + (m[:, math.ceil(at)] - low) * (at - math.floor(at))
+    return np.stack([of[name] for name in STATISTICS])
+
+
+def _of_row(columns: list, row: int) -> list[np.ndarray | list | None]:
+    """The vectors of a row of Arrow lists, as arrays; as lists, or None for NULL, where one is NULL, holds one or is longer than another."""
+    own = [c[row].values for c in columns]
+    if any(v is None or v.null_count for v in own) or len({len(v) for v in own}) > 1:
+        return [None if v is None else v.to_pylist() for v in own]
+    return [v.to_numpy() for v in own]
+
+
+def _reduced(df: DataFrame, key: str, names: list[str], of_row: Callable[[list], np.ndarray | list]) -> DataFrame:
+    """key and ``f``, what ``of_row`` makes of the vectors of a row, as one array. There is no shuffle."""
+
+    def run(batches) -> Iterator:
+        for batch in batches:
+            columns = [batch.column(n) for n in names]
+            held, at = [], 0
+            for row in range(batch.num_rows):
+                held.append(pa.array(of_row(_of_row(columns, row)), pa.float64()))
+                size = len(held[0])
+                if len(held) * size >= OUT_VALUES or row + 1 == batch.num_rows:
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1) * size, pa.int32()), pa.concat_arrays(held))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(held)), lists], names=["key", "f"])
+                    held, at = [], row + 1
+
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType)]).add("f", T.ArrayType(T.DoubleType()))
+    return df.select(F.col(key).alias("key"), *names).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def _paired(op: str, x: list | None, y: list | None) -> list | None:
+    """:func:`_applied` for lists; the shorter one is filled up with NULL."""
+    if x is None or y is None:
+        return None
+    out = []
+    for a, b in zip_longest(x, y):
+        known = a is not None and b is not None
+        out.append(0.0 if op == "v-div" and b == 0.0 else float(_applied(op, np.array(a), np.array(b))) if known else None)
+    return out
+
+
+def _odd_scalars(v: list | None) -> list[float | None]:
+    """:func:`_scalars` of a list: NULL does not count for the extremes, comes last, and leaves no sum."""
+    if v is None or not v:
+        return [None if v is None or fn not in ("s-len", "s-l2") else 0.0 for fn in V.SCALAR_OPS]
+    held = np.array([x for x in v if x is not None], "float64")
+    of = dict(zip(V.SCALAR_OPS, _scalars(held[None])[:, 0].tolist())) if len(held) else {}
+    if len(held) < len(v):
+        top = of.get("s-avg-top-25") if len(held) >= min(TOP, len(v)) else None
+        of = {"s-max": of.get("s-max"), "s-min": of.get("s-min"), "s-avg-top-25": top, "s-len": float(len(v))}
+    return [of.get(fn) for fn in V.SCALAR_OPS]
 
 
 def symbolic_features(df: DataFrame, key: str, expressions: list[str]) -> DataFrame:
@@ -76,39 +187,50 @@ def symbolic_features(df: DataFrame, key: str, expressions: list[str]) -> DataFr
     for e in expressions:
         *combo, fn = e.split(" ")
         wanted.setdefault(tuple(combo), []).append(fn)
-    vecs = F.array(
-        *[
-            F.struct(
-                F.lit(" ".join(c)).alias("name"),
-                F.array(*[F.lit(f) for f in fns]).alias("fns"),
-                _vector(c).alias("v"),
-            )
-            for c, fns in wanted.items()
-        ]
-    )
-    rows = df.select(key, F.explode(vecs).alias("e")).select(key, "e.name", "e.fns", "e.v")
-    rows = rows.withColumn("avg", V.mean("v"))
-    fns = F.array(
-        *[
-            F.struct(F.lit(fn).alias("fn"), V.scalar_op(fn, "v", F.col("avg")).alias("feat"))
-            for fn in V.SCALAR_OPS
-        ]
-    )
-    out = rows.select(key, "name", "fns", F.explode(fns).alias("s"))
-    return out.filter(F.array_contains("fns", F.col("s.fn"))).select(
-        key, F.concat_ws(" ", "name", "s.fn").alias("expr"), F.col("s.feat").alias("feat")
-    )
-
-
-def _skip(v) -> Column:
-    v = F.col(v) if isinstance(v, str) else v
-    return F.when(F.size(v) <= IGNORE_FIRST, v).otherwise(
-        F.slice(v, F.lit(IGNORE_FIRST + 1), F.greatest(F.size(v) - IGNORE_FIRST, F.lit(0)))
-    )
-
-
-def _clip(v: Column) -> Column:
-    return F.transform(v, lambda x: F.least(F.greatest(x, F.lit(CLIP_MIN)), F.lit(CLIP_MAX)))
+    combos = list(wanted)
+    asked = [(i, k) for i, c in enumerate(combos) for k, fn in enumerate(V.SCALAR_OPS) if fn in wanted[c]]
+    labels = [" ".join([*combos[i], V.SCALAR_OPS[k]]) for i, k in asked]
+    places = np.array([i * len(V.SCALAR_OPS) + k for i, k in asked], "int64")
+
+    def of_row(vectors: list) -> np.ndarray | list:
+        own = dict(zip(VECTORS, vectors))
+        if any(v is None or isinstance(v, list) or not len(v) for v in vectors):
+            own = {n: v if v is None else list(v) for n, v in own.items()}
+            every = [_odd_scalars(own[c[0]] if len(c) == 1 else _paired(c[1], own[c[0]], own[c[2]])) for c in combos]
+            return [every[i][k] for i, k in asked]
+        step = max(1, BLOCK_VALUES // len(vectors[0]))
+        out = []
+        for start in range(0, len(combos), step):
+            some = [own[c[0]] if len(c) == 1 else _applied(c[1], own[c[0]], own[c[2]]) for c in combos[start : start + step]]
+            out.append(_scalars(np.stack(some)).T)
+        return np.concatenate(out).ravel()[places]
+
+    rows = _reduced(df, key, list(VECTORS.values()), of_row)
+    named = F.arrays_zip(F.array(*[F.lit(x) for x in labels]).alias("expr"), F.col("f").alias("feat"))
+    return rows.select(key, F.inline(named).alias("expr", "feat"))
+
+
+def _odd_ratio(x: list | None, y: list | None) -> list | None:
+    if x is None or y is None:
+        return None
+    x, y = ([float(_clipped(np.array(CLIP_MIN if e is None else e))) for e in v] for v in (x, y))
+    return [None if a is None or b is None else a / b for a, b in zip_longest(x, y)]
+
+
+def _odd_statistics(v: list | None, scale: float) -> list[float | None]:
+    """:func:`_statistics` of a list: NULL comes first in its order and leaves no sum."""
+    if not v:
+        return [None] * len(STATISTICS)
+    held = np.array([x for x in v if x is not None], "float64")
+    if len(held) == len(v):
+        return _statistics(held[None], scale)[:, 0].tolist()
+    order = [None] * (len(v) - len(held)) + np.sort(held).tolist()
+    of = {"min": order[0], "max": order[-1]}
+    for name, q in QUANTILES.items():
+        at = (q if name == "median" else q * scale) * (len(v) - 1)
+        low, high = order[math.floor(at)], order[math.ceil(at)]
+        of[name] = None if low is None or high is None else low + (high - low) * (at - math.floor(at))
+    return [of.get(name) for name in STATISTICS]
 
 
 def custom_features(df: DataFrame, key: str, compat: bool = False) -> DataFrame:
@@ -121,35 +243,22 @@ def custom_features(df: DataFrame, key: str, compat: bool = False) -> DataFrame:
     each one is sorted once.
     """
     scale = 0.01 if compat else 1.0
-    base = df.select(key, *[_skip(s).alias(s) for s in SERIES])
-    parts = [F.struct(F.lit(s).alias("series"), F.col(s).alias("v")) for s in SERIES]
-    parts += [
-        F.struct(
-            F.lit(f"{a}/{b}").alias("series"),
-            F.zip_with(_clip(F.col(a)), _clip(F.col(b)), lambda x, y: x / y).alias("v"),
-        )
-        for a, b in RATIOS
-    ]
-    rows = base.select(key, F.explode(F.array(*parts)).alias("p")).select(
-        key, "p.series", F.sort_array("p.v").alias("v")
-    )
-    rows = rows.withColumn("avg", V.mean("v"))
-
-    def stat(name: str) -> Column:
-        if name == "median":
-            return V.quantile("v", 0.5)
-        if name in QUANTILES:
-            return V.quantile("v", QUANTILES[name] * scale)
-        return {
-            "min": F.element_at("v", 1),
-            "max": F.element_at("v", -1),
-            "mean": F.col("avg"),
-            "l2": V.l2_norm("v"),
-            "var": V.variance("v", F.col("avg")),
-        }[name]
-
-    stats = F.array(*[F.struct(F.lit(s).alias("stat"), F.when(F.size("v") > 0, stat(s)).alias("value")) for s in STATISTICS])
-    return rows.select(key, "series", F.explode(stats).alias("s")).select(key, "series", "s.stat", "s.value")
+
+    def of_row(vectors: list) -> np.ndarray | list:
+        own = {n: v if v is None else _skipped(v) for n, v in zip(SERIES, vectors)}
+        if any(v is None or isinstance(v, list) or not len(v) for v in own.values()):
+            own = {n: v if v is None else list(v) for n, v in own.items()}
+            series = [*own.values(), *[_odd_ratio(own[a], own[b]) for a, b in RATIOS]]
+            return [x for v in series for x in _odd_statistics(v, scale)]
+        cut = {n: _clipped(v) for n, v in own.items()}
+        series = [*own.values(), *[cut[a] / cut[b] for a, b in RATIOS]]
+        step = max(1, BLOCK_VALUES // len(series[0]))
+        return np.concatenate([_statistics(np.stack(series[i : i + step]), scale).T.ravel() for i in range(0, len(series), step)])
+
+    rows = _reduced(df, key, SERIES, of_row)
+    names = [(s, t) for s in [*SERIES, *[f"{a}/{b}" for a, b in RATIOS]] for t in STATISTICS]
+    columns = [F.array(*[F.lit(n[i]) for n in names]).alias(c) for i, c in enumerate(("series", "stat"))]
+    return rows.select(key, F.inline(F.arrays_zip(*columns, F.col("f").alias("value"))).alias("series", "stat", "value"))
 
 
 def feature_matrix(long: DataFrame, key: str) -> DataFrame:

@@ -173,3 +173,37 @@ def test_asked_bigrams_keep_every_follower_of_a_target(spark, monkeypatch):
     monkeypatch.setattr(ngram, "FLAGS", 1)  # all words share a slot
     every = {(r.w1, r.w2): r.c for r in ngram.asked_bigrams(d, targets).filter("w2 is not null").collect()}
     assert every == {(r.w1, r.w2): r.c for r in ngram.raw_counts(d, 2).collect()}
+
+
+def test_odd_vectors(spark):
+    """NULL vectors and values, and vectors of unlike lengths, as Spark's array functions have them."""
+    rows = [(1, [], [], [], []), (2, None, [0.5], [0.25], [1.0]), (3, [0.5, None, 2.0], [1.0, 0.0], [0.0] * 30, [4.0])]
+    df = spark.createDataFrame(rows, "id int, llm1 array<double>, llm2 array<double>, trigram array<double>, unigram array<double>")
+    got = {(r.id, r.expr): r.feat for r in features.symbolic_features(df, "id", features.enumerate_expressions()).collect()}
+    assert len(got) == 322 * 3
+    assert [got[1, f"llm1-probs {s}"] for s in SCALAR_OPS] == [None, None, None, None, 0.0, None, 0.0]
+    assert [got[2, f"llm2-probs v-add llm1-probs {s}"] for s in SCALAR_OPS] == [None] * 7
+    assert [got[3, f"llm1-probs {s}"] for s in SCALAR_OPS] == [2.0, 0.5, None, None, 3.0, None, None]
+    assert [got[3, f"llm1-probs v-div llm2-probs {s}"] for s in ("s-max", "s-min", "s-len", "s-avg")] == [0.5, 0.0, 3.0, None]
+    assert got[3, "trigram-probs s-avg-top-25"] == 0.0 and got[3, "unigram-probs v-> trigram-probs s-len"] == 30.0
+    own = {(r.id, r.series, r.stat): r.value for r in features.custom_features(df, "id").collect()}
+    assert len(own) == 300 and {v for (i, *_), v in own.items() if i == 1} == {None}
+    assert [own[3, "llm1", s] for s in ("min", "max", "mean", "median", "q90")] == [None, 2.0, None, 0.5, pytest.approx(1.7)]
+    assert [own[3, "llm1/llm2", s] for s in ("max", "min", "l2")] == [1.0, None, None]
+    assert own[2, "llm2", "l2"] == 0.5 and own[2, "llm1/llm2", "max"] is None
+
+
+def test_long_vectors_are_reduced_in_blocks(spark, monkeypatch, vectors):
+    rows, df = vectors
+    want = [sorted(f(df, "id").collect()) for f in (lambda d, k: features.symbolic_features(d, k, features.enumerate_expressions()), features.custom_features)]
+    for name in ("BLOCK_VALUES", "OUT_VALUES"):
+        monkeypatch.setattr(features, name, 100)
+    got = [sorted(f(df, "id").collect()) for f in (lambda d, k: features.symbolic_features(d, k, features.enumerate_expressions()), features.custom_features)]
+    assert got == want
+
+
+def test_features_are_not_interpreted_value_by_value(vectors):
+    _, df = vectors
+    for long in (features.symbolic_features(df, "id", features.enumerate_expressions()), features.custom_features(df, "id")):
+        plan = long._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan and "aggregate(" not in plan and "Exchange" not in plan
