@@ -263,7 +263,7 @@ def s5_custom_features_compat(spark, sf):
     FROM f JOIN p USING (series, stat)""",
 )
 def s6_zscore(spark, sf):
-    """Parameters from the train rows only."""
-    long = features.custom_features(views.probs(spark, sf), "doc_id")
+    """Parameters from the train rows only. The features, which two passes read, are stored: the vectors are made once."""
+    long = materialise(features.custom_features(views.probs(spark, sf), "doc_id"), "features")
     train = long.filter(uniform("zs", "doc_id") < 0.8)
     return rounded(features.zscore(long, train, ["series", "stat"]).select("doc_id", "series", "stat", "z"), 5)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from originlens.functions.vectors import SCALAR_OPS
 from originlens.operators import features, ngram
+from originlens.plans import q_language
 
 TEXTS = ["the cat sat on the mat", "the cat ran", "a dog", "", "the the the the", "cat"]
 NEW = ["the cat flew", "zebra", "a dog sat on the cat"]
@@ -207,3 +208,8 @@ def test_features_are_not_interpreted_value_by_value(vectors):
     for long in (features.symbolic_features(df, "id", features.enumerate_expressions()), features.custom_features(df, "id")):
         plan = long._jdf.queryExecution().executedPlan().toString()
         assert "lambda" not in plan and "aggregate(" not in plan and "Exchange" not in plan
+
+
+def test_zscore_query_makes_the_vectors_once(spark, sf):
+    plan = q_language.s6_zscore(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" not in plan
