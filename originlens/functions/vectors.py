@@ -27,10 +27,11 @@ def l2_norm(v) -> Column:
 
 
 def l2_normalize(v) -> Column:
-    """Unit-length copy; a zero vector is returned unchanged."""
+    """Unit-length copy; a zero vector is returned unchanged. The norm is repeated as an array: inside a lambda it
+    would be computed for every value."""
     v = _col(v)
     norm = F.greatest(l2_norm(v), F.lit(1e-12))
-    return F.transform(v, lambda x: x / norm)
+    return F.zip_with(v, F.array_repeat(norm, F.size(v)), lambda x, n: x / n)
 
 
 def variance(v, avg: Column | None = None) -> Column:

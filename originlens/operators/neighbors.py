@@ -18,6 +18,9 @@ BLOCK_ROWS = 8192
 MAX_CELLS = 4096
 SLACK_ANGLE = 1e-6  # beyond what arc cosines of rounded products are off
 TILE_ROWS = 128
+TILE_PAIRS = 1 << 20  # pairs of a query and a reference row whose distances a task holds at once
+GROUP = 8  # blocks of rows in a part, and in the cells that a query visits as one, at most
+GROUP_CELLS = 62  # their bits are one long
 TILE_CELLS = 1 << 20  # pairs of a row and a cell that a task works on at once
 OUT_ROWS = 4096  # rows of a frame that a task returns, at most
 DECIMALS = 8
@@ -121,15 +124,16 @@ def _counts(df: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, top
 
 
-def _dealt(df: DataFrame, own: np.ndarray, other: np.ndarray, name: str) -> DataFrame:
-    """Rows of a cell in ``own[cell]`` parts by id, each once for every part of the other side."""
+def _dealt(df: DataFrame, own: np.ndarray, other: np.ndarray, name: str, carry: str = "") -> DataFrame:
+    """Rows of a cell in ``own[cell]`` parts by id, each once for every part of the other side. ``carry``: the schema of further columns."""
+    schema = "".join([f"{name} bigint, v array<double>, cell int, ", carry and f"{carry}, ", "mine bigint, theirs bigint"])
 
     def run(frames):
         for d in frames:
             for out in dealt_rows(d, own, other):
                 yield out.rename(columns={"id": name})
 
-    return df.select("id", "v", "cell").mapInPandas(run, f"{name} bigint, v array<double>, cell int, mine bigint, theirs bigint")
+    return df.select("id", "v", "cell", *[c.split()[0] for c in carry.split(", ") if c]).mapInPandas(run, schema)
 
 
 def _block_top_k(k: int, exclude_self: bool, decimals: int):
@@ -140,8 +144,9 @@ def _block_top_k(k: int, exclude_self: bool, decimals: int):
         tid = refs["tid"].to_numpy()
         ref_matrix = np.stack(refs["v"].to_numpy()).astype("float64")
         found = []
-        for start in range(0, len(queries), TILE_ROWS):
-            tile = queries.iloc[start : start + TILE_ROWS]
+        step = max(1, min(TILE_ROWS, TILE_PAIRS // len(refs)))
+        for start in range(0, len(queries), step):
+            tile = queries.iloc[start : start + step]
             qid = tile["qid"].to_numpy()
             dist = np.round(1.0 - np.stack(tile["v"].to_numpy()).astype("float64") @ ref_matrix.T, decimals) + 0.0
             if exclude_self:
@@ -159,6 +164,61 @@ def _block_top_k(k: int, exclude_self: bool, decimals: int):
     return cell
 
 
+def _groups(rows: np.ndarray, group_rows: int) -> np.ndarray:
+    """The group of each cell: cells that follow each other, of about ``group_rows`` rows together, GROUP_CELLS at most."""
+    out, held, cells = np.zeros(len(rows), np.int64), 0, 0
+    for i in range(1, len(rows)):
+        held, cells = held + rows[i - 1], cells + 1
+        new = held + rows[i] > group_rows or cells == GROUP_CELLS
+        out[i] = out[i - 1] + new
+        if new:
+            held = cells = 0
+    return out
+
+
+def _asked_groups(d: pd.DataFrame, need: np.ndarray, group: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Each row once for each group that holds a cell it needs, with these cells as bits."""
+    for g in range(group[-1] + 1):
+        own = np.flatnonzero(group == g)
+        bits = need[:, own] @ (1 << np.arange(len(own)))
+        row = np.flatnonzero(bits)
+        yield from copies(d, row, cell=np.full(len(row), g, "int32"), bits=bits[row])
+
+
+def _group_top_k(k: int, exclude_self: bool, decimals: int, group: np.ndarray):
+    """As :func:`_block_top_k`, for a group of cells: a query meets the cells among its bits, and only rows within its bound count."""
+    top_k = _block_top_k(k, exclude_self, decimals)
+
+    def search(queries: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or refs.empty:
+            return top_k(queries, refs)
+        first = int(np.searchsorted(group, refs["cell"].iloc[0]))  # the group's first cell
+        v, bits = _matrix(queries["v"]), queries["bits"].to_numpy()
+        qid, bound = queries["qid"].to_numpy(), queries["bound"].fillna(np.inf).to_numpy()
+        found = []
+        for at, part in refs.groupby("at"):
+            asking = np.flatnonzero(bits >> (int(at) - first) & 1)
+            tid, m = part["tid"].to_numpy(), np.ascontiguousarray(_matrix(part["v"]).T)
+            step = max(1, TILE_PAIRS // len(part))
+            for start in range(0, len(asking), step):
+                some = asking[start : start + step]
+                cosine = v[some] @ m
+                near = np.flatnonzero(cosine >= (1.0 - bound[some] - 2 * 10.0**-decimals)[:, None])
+                row, col = near // len(part), near % len(part)
+                many = np.bincount(row, minlength=len(some)) > 4 * k  # no bound, or many rows at it
+                if many.any():
+                    found.append(top_k(queries.iloc[some[many]], part))
+                    row, col = row[~many[row]], col[~many[row]]
+                dist = np.round(1.0 - cosine[row, col], decimals) + 0.0
+                keep = dist <= bound[some][row]
+                if exclude_self:
+                    keep &= qid[some][row] != tid[col]
+                found.append(pd.DataFrame({"qid": qid[some][row[keep]], "tid": tid[col[keep]], "distance": dist[keep]}))
+        return pd.concat(found, ignore_index=True) if found else top_k(queries.head(0), refs)
+
+    return search
+
+
 def knn_cosine(
     train: DataFrame,
     query: DataFrame,
@@ -174,8 +234,9 @@ def knn_cosine(
     Exact, and pruned. Reference rows fall into cells around a bounded sample of them. A query first
     searches the nearest cells that hold ``k`` rows; its k-th distance there then rules out every cell that
     lies further away than this distance's angle plus the cell's own; the rest are searched too. A row is
-    copied only to the cells a query visits. Cells and their queries are cut into parts of about
-    ``block_rows`` rows, so a task holds two parts however large a cell is; no side is broadcast.
+    copied only to the cells a query visits first, and then to groups of up to GROUP times ``block_rows`` rows in cells it
+    cannot rule out. Cells, groups and their queries are cut into parts of so many rows, so a task holds two parts however
+    large a cell is, and a row is copied once for each part at most; no side is broadcast.
     Distances are rounded to ``decimals`` and ties broken by id, so the result does not depend on the cells.
     """
     unit = l2_normalize(F.transform(vector, lambda x: x.cast("double")))
@@ -190,37 +251,50 @@ def knn_cosine(
     cells = Cells(centres, *_counts(refs, len(centres)))
     need = k + exclude_self
 
-    def visits(asked: DataFrame, which) -> DataFrame:
-        def run(frames):
-            for frame in frames:
-                for d in tiles(frame, len(centres)):
-                    row, cell = np.nonzero(which(_matrix(d["v"]), d))
-                    yield from copies(d[["id", "v"]], row, cell=cell.astype("int32"), angle=np.zeros(len(row)))
+    # so many parts on either side as blocks are in a part: few copies, and enough tasks
+    part_rows = block_rows * int(np.clip(np.sqrt(cells.rows.sum() / block_rows), 1, GROUP))
 
-        return asked.mapInPandas(run, "id bigint, v array<double>, cell int, angle double")
+    def parts(rows: np.ndarray) -> np.ndarray:
+        return np.maximum(1, -(-rows // part_rows))
 
-    def searched(visited: DataFrame) -> DataFrame:
-        visited = materialise(visited, "visits")
-        parts = np.maximum(1, -(-cells.rows // block_rows))
-        own = np.maximum(1, -(-_counts(visited, len(centres))[0] // block_rows))
-        q = _dealt(visited, own, parts, "qid").groupBy("cell", F.col("mine").alias("qp"), F.col("theirs").alias("tp"))
-        t = _dealt(refs, parts, own, "tid").groupBy("cell", F.col("theirs").alias("qp"), F.col("mine").alias("tp"))
-        return q.cogroup(t).applyInPandas(_block_top_k(k, exclude_self, decimals), "qid bigint, tid bigint, distance double")
+    def visits(frames):
+        for frame in frames:
+            for d in tiles(frame, len(centres)):
+                row, cell = np.nonzero(cells.first(_matrix(d["v"]), need))
+                yield from copies(d[["id", "v"]], row, cell=cell.astype("int32"), angle=np.zeros(len(row)))
+
+    def searched(visited: DataFrame, refs: DataFrame, rows: np.ndarray, top_k, carry: str = "", of_refs: str = "") -> DataFrame:
+        theirs, own = parts(rows), parts(_counts(visited, len(rows))[0])
+        q = _dealt(visited, own, theirs, "qid", carry).groupBy("cell", F.col("mine").alias("qp"), F.col("theirs").alias("tp"))
+        t = _dealt(refs, theirs, own, "tid", of_refs).groupBy("cell", F.col("theirs").alias("qp"), F.col("mine").alias("tp"))
+        return q.cogroup(t).applyInPandas(top_k, "qid bigint, tid bigint, distance double")
 
     w = Window.partitionBy("qid").orderBy("distance", "tid")
 
     def best(near: DataFrame) -> DataFrame:
         return near.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 
-    found = searched(visits(units(query), lambda v, _: cells.first(v, need)))
+    visited = units(query).mapInPandas(visits, "id bigint, v array<double>, cell int, angle double")
+    found = searched(materialise(visited, "visits"), refs, cells.rows, _block_top_k(k, exclude_self, decimals))
     if len(centres) == 1:
         return best(found)
     found = materialise(best(found).drop("rn"), "near-first")
     kth = found.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("bound"))
     kth = kth.select(F.col("qid").alias("id"), F.when(F.col("n") >= k, F.col("bound")).alias("bound"))
-    asked = units(query).join(kth, "id", "left")
-    rest = visits(asked, lambda v, d: cells.further(v, d["bound"].fillna(np.inf).to_numpy(), need, decimals))
-    return best(found.unionByName(searched(rest)))
+    asked = materialise(units(query).join(kth, "id", "left"), "asked")  # visits are made of it twice, as they are many
+    group = _groups(cells.rows, part_rows)
+
+    def asks(frames):
+        for frame in frames:
+            for d in tiles(frame, len(centres)):
+                reached = cells.further(_matrix(d["v"]), d["bound"].fillna(np.inf).to_numpy(), need, decimals)
+                yield from _asked_groups(d.assign(angle=0.0), reached, group)
+
+    rest = asked.mapInPandas(asks, "id bigint, v array<double>, bound double, angle double, cell int, bits bigint")
+    of_group = F.array(*[F.lit(int(g)) for g in group])
+    grouped = refs.select("id", "v", F.get(of_group, F.col("cell")).alias("cell"), F.col("cell").alias("at"))
+    rows = np.bincount(group, cells.rows).astype("int64")
+    return best(found.unionByName(searched(rest, grouped, rows, _group_top_k(k, exclude_self, decimals, group), "bound double, bits bigint", "at int")))
 
 
 def neighbour_summary(neighbours: DataFrame, labels: DataFrame, key: str = "vec_id", label: str = "y") -> DataFrame:

@@ -140,3 +140,22 @@ def test_a_block_of_queries_is_searched_in_small_tiles():
     t = pd.DataFrame({"tid": np.arange(8192), "v": list(rng.normal(size=(8192, 4)))})
     q = pd.DataFrame({"qid": np.arange(1024), "v": list(rng.normal(size=(1024, 4)))})
     assert _peak(neighbors._block_top_k(5, False, 8)(q, t) for _ in range(1)) < 60e6
+
+
+@pytest.mark.parametrize("exclude", [False, True])
+def test_a_row_is_copied_to_groups_of_cells(spark, monkeypatch, exclude):
+    rng = np.random.default_rng(5)
+    t = rng.normal(size=(640, 24))  # no cell can be ruled out
+    t[100:140] = t[100]
+    dealt, keep = [], neighbors._dealt
+    monkeypatch.setattr(neighbors, "_dealt", lambda df, *a: dealt.append(out := keep(df, *a)) or out)
+    e = frame(spark, range(640), t)
+    out = neighbors.knn_cosine(e, e, 5, exclude_self=exclude, block_rows=10)
+    assert got(out) == brute(range(640), t, range(640), t, 5, exclude=exclude)
+    # 64 cells of about 10 rows: each would be visited by nearly every row
+    assert sum(df.count() for df in dealt) < 640 * 64 / 2
+
+
+def test_groups_of_cells():
+    assert neighbors._groups(np.array([5, 5, 1, 30, 0, 2]), 10).tolist() == [0, 0, 1, 2, 3, 3]
+    assert np.bincount(neighbors._groups(np.zeros(200), 10)).max() == neighbors.GROUP_CELLS
